@@ -119,16 +119,22 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def stretches(rows: DataFrame, kind: Kind) -> DataFrame:
-    """h, stretch, id, place: the stretches of all documents."""
+    """deal, h, stretch, id, place, live: the stretches of all documents.
+
+    Of equal stretches in a batch only the first goes on to its anchor (where only other documents count, those of the first document):
+    the others were there before whatever the rest of the corpus holds. So a passage that very many documents share, or
+    one repeats, sends one row a batch to its anchor's task; the rest are dealt out evenly.
+    """
 
     def batches(it):
         for b in it:
             got = []
             for i, tag, text in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("text")):
                 s = kind.symbols(text.as_py())
+                h = s
                 for h, stretch, anchor, first, last in anchors(s, kind.window, kind.gram):
                     got.append((h, stretch, np.full(len(h), i), packed(tag, anchor, first, last)))
-                if sum(len(g[0]) for g in got[-1:]) > 50_000 or len(got) > 256:
+                if len(got) >= 1000 or len(h) > 50_000:
                     yield _batch(got)
                     got = []
             if got:
@@ -136,9 +142,16 @@ def stretches(rows: DataFrame, kind: Kind) -> DataFrame:
 
     def _batch(got):
         h, s, i, p = (np.concatenate(x) for x in zip(*got))
-        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(i), pa.array(p)], names=["h", "stretch", "id", "place"])
+        both = mixed(h ^ mixed(s))
+        order = np.lexsort((p, i, both))
+        first = np.flatnonzero(np.diff(both[order], prepend=~both[order[:1]]) != 0)
+        lead = np.repeat(order[first], np.diff(np.append(first, len(order))))
+        live = np.empty(len(h), bool)
+        live[order] = (i[order] == i[lead]) & (not kind.same_document) | (order == lead) | (h[order] != h[lead]) | (s[order] != s[lead])
+        deal = np.where(live, h, both + p.astype(np.uint64) * np.uint64(_BASE) + i.astype(np.uint64)).view(np.int64)
+        return pa.record_batch([pa.array(deal), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(i), pa.array(p), pa.array(live)], names=["deal", "h", "stretch", "id", "place", "live"])
 
-    return rows.select("id", "tag", "text").mapInArrow(batches, "h long, stretch long, id long, place long")
+    return rows.select("id", "tag", "text").mapInArrow(batches, "deal long, h long, stretch long, id long, place long, live boolean")
 
 
 def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
@@ -152,7 +165,12 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
         held: list[tuple] = []  # open rows of the anchor that may go on: (id, place)
         kinds, hot = 0, False  # its distinct stretches so far; whether it was found hot
         for b in it:
+            live = b.column("live").to_numpy(zero_copy_only=False)
             h, s, i, p = (b.column(c).to_numpy() for c in ("h", "stretch", "id", "place"))
+            dead = ~live
+            if dead.any():
+                yield from _batches([(h[dead], i[dead], p[dead], np.zeros(int(dead.sum()), np.int8))])
+                h, s, i, p = h[live], s[live], i[live], p[live]
             if not len(h):
                 continue
             new_h = np.diff(h, prepend=h[0]) != 0
@@ -363,7 +381,7 @@ def marked(docs: DataFrame, kind: Kind) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = tagged(docs)
     sorted_by = ["h", "stretch", "id", "place"]
-    sieve = written(sifted(stretches(texts, kind).repartition("h").sortWithinPartitions(*sorted_by), kind), "sieve")
+    sieve = written(sifted(stretches(texts, kind).repartition("deal").drop("deal").sortWithinPartitions(*sorted_by), kind), "sieve")
     whole = sieve.where("what = 0").select(
         "id",
         F.shiftright("place", 48).cast("int").alias("tag"),
