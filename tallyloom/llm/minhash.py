@@ -15,8 +15,7 @@ from tallyloom.llm.repeats import mixed
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5  # at a similarity of 0.8 one pair in 20,000 shares no band
 SIZE = BANDS * ROWS
-LEAST = 0.6  # estimate below which a pair left over in a bucket is not verified: five deviations under 0.8
-BLOCK = 256  # documents of a bucket that are compared at a time
+BLOCK = 512  # documents of a bucket that are compared at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 _hashes = Memo(xxhash.xxh3_64_intdigest, 300_000)
@@ -94,7 +93,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b (128 bits that tell different word sequences apart), signature, bands (empty for texts without words)."""
+    """doc_id, a, b (128 bits that tell different word sequences apart), bands (empty for texts without words)."""
     small_batches(docs.sparkSession)
 
     def batches(it):
@@ -107,11 +106,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[2]) for x in found), ">i8").reshape(-1, 2)
                 keys = pa.array([k if len(x[0]) else [] for x, k in zip(found, bands.tolist())], pa.list_(pa.int64()))
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(sums[:, 0].astype("i8")), pa.array(sums[:, 1].astype("i8")), pa.array([s.tobytes() for s in signatures], pa.binary()), keys],
-                    names=["doc_id", "a", "b", "signature", "bands"],
+                    [part.column("doc_id"), pa.array(sums[:, 0].astype("i8")), pa.array(sums[:, 1].astype("i8")), keys],
+                    names=["doc_id", "a", "b", "bands"],
                 )
 
-    return docs.mapInArrow(batches, "doc_id long, a long, b long, signature binary, bands array<long>")
+    return docs.mapInArrow(batches, "doc_id long, a long, b long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -136,29 +135,57 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(batches, "a long, b long").distinct()
 
 
-def bucket_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in the same bucket whose signatures agree in LEAST of their places.
+def block_links(ids: np.ndarray, component: np.ndarray, texts: list[str], similar: float) -> tuple[list[int], list[int]]:
+    """Links between documents of different components, as few as join those that belong together.
+
+    Exact overlaps of one document with all others are added up at once over the block's shingles. Documents of the
+    block's largest component are only met by others.
+    """
+    sets = [shingles(t)[:2] for t in texts]
+    sizes = np.array([len(x[0]) for x in sets], np.int64)
+    totals = np.array([x[1].sum() for x in sets], np.int64)
+    place = np.unique(np.concatenate([x[0] for x in sets]), return_inverse=True)[1]
+    count = np.concatenate([x[1] for x in sets])
+    start = np.cumsum(sizes) - sizes
+    own = np.zeros(int(place.max()) + 1, np.int64)
+    values, label, n = np.unique(component, return_inverse=True, return_counts=True)
+    group = list(range(len(values)))
+
+    def root(g):
+        while group[g] != g:
+            group[g] = group[group[g]]
+            g = group[g]
+        return g
+
+    a, b = [], []
+    for x in np.flatnonzero(label != n.argmax()):
+        mine = slice(start[x], start[x] + sizes[x])
+        own[place[mine]] = count[mine]
+        both = np.add.reduceat(np.minimum(count, own[place]), start)
+        own[place[mine]] = 0
+        for y in np.flatnonzero((both >= similar * (totals + totals[x] - both)) & (label != label[x])):
+            g, h = root(int(label[x])), root(int(label[y]))
+            if g != h:
+                group[g] = h
+                a.append(int(min(ids[x], ids[y])))
+                b.append(int(max(ids[x], ids[y])))
+    return a, b
+
+
+def bucket_links(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Verified links (a, b) between different components in the same bucket.
 
     A bucket is cut into blocks of about BLOCK documents and each two blocks are compared in a task of their own, so no
-    bucket is too large for one, and only pairs worth verifying leave it.
+    bucket is too large for one, and only links leave it.
     """
     n = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", "key"), n).cast("int")
-    cells = rows.join(sketched.select("doc_id", "signature"), "doc_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "signature")
+    cells = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).join(texts, "doc_id")
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", "text")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, component, side = (t.column(c).to_numpy() for c in ("doc_id", "component", "own"))
-        signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(ids), SIZE)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        got = []
-        for x in left:
-            agree = (signatures[right] == signatures[x]).mean(axis=1)
-            y = right[(agree >= LEAST) & (component[right] != component[x])]
-            got.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])]))
-        pairs = np.unique(np.concatenate(got, axis=1), axis=1) if got else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        a, b = block_links(t.column("doc_id").to_numpy(), t.column("component").to_numpy(), t.column("text").to_pylist(), similar)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -193,8 +220,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     component = connected_components(links)
     placed = buckets.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     open_keys = placed.where("n > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = bucket_pairs(placed.join(open_keys, "key"), sketched).join(tried, ["a", "b"], "left_anti")
-    more = written(verified(rest, texts, similar), "links")
+    more = written(bucket_links(placed.join(open_keys, "key"), texts, similar), "links")
     classes = connected_components(links.union(more).union(same_id))
     out = base.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
