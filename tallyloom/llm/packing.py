@@ -10,31 +10,44 @@ from __future__ import annotations
 import functools
 import os
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import NULL_ID, id_and_text, small_batches, table, written
+from tallyloom.llm.bpe import byte_letters
+from tallyloom.llm.common import NULL_ID, Memo, id_and_text, small_batches, table, written
 
 END_ID = 0
 
+# The vocabulary's public splitting pattern, and what keeps a chunk from being split here.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+SPECIAL = regex.compile(r"<\||[^\x21-\x7e\xa1-\xac\xae-\xff]")
+
 
 class Encoder:
-    """Token ids of whole texts from the tokenizers library, each distinct chunk between white space encoded once."""
+    """Token ids of whole texts by the tokenizers library, each distinct chunk between white space encoded once.
+
+    A chunk of ASCII and Latin-1 letters and signs is in normal form, so it is lower-cased and split here and its parts
+    go to the library's merging alone; any other chunk, and any that might hold a special token, goes through all of it.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, bytes] = {}
         self.most = most
+        letters = byte_letters()
+        merge = self.tokenizer.model.tokenize
+        self.part = Memo(lambda p: array("I", [t.id for t in merge("".join([letters[b] for b in p.encode()]))]).tobytes(), 300_000)
 
     def learn(self, texts: list[str]) -> None:
         chunks = set()
@@ -44,17 +57,25 @@ class Encoder:
         if len(self.chunks) + len(new) > self.most:
             self.chunks.clear()
             new = list(chunks)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        rest, part = [], self.part
+        for c in new:
+            if c.isascii() and c.isalpha():
+                self.chunks[c] = part[c.lower()]
+            elif not SPECIAL.search(c):
+                self.chunks[c] = b"".join([part[p] for p in PARTS.findall(c.lower())])
+            else:
+                rest.append(c)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
             for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.chunks[c] = tuple(e.ids)
+                self.chunks[c] = array("I", e.ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """No token of this vocabulary crosses white space. The four separators that Python alone takes for white space
         send a text to the library whole."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, text.split())), "<u4")
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), np.uint32).astype("<u4", copy=False)
 
 
 @functools.lru_cache(maxsize=1)
