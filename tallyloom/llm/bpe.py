@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import functools
-import heapq
 import json
+from heapq import heapify, heappop, heappush
 
 import regex
 
@@ -27,7 +27,7 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """Merge ranks as one integer table: (left id << 20 | right id) -> (rank << 20 | merged id)."""
+    """Merge ranks by left and right symbol, each shifted so that a place fits below it, and what a rank merges to."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -35,13 +35,18 @@ class Vocabulary:
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         self.byte_ids = [vocab[c] for c in letters]
-        self.pairs = {}
+        size = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
+        none: dict[int, int] = {}
+        self.ranks = [none] * size
+        self.merges = []
         for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
+            left, right = (vocab[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
+            if self.ranks[left] is none:
+                self.ranks[left] = {}
+            self.ranks[left][right] = rank << 32
+            self.merges.append(vocab["".join(pair) if isinstance(pair, list) else pair.replace(" ", "")])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {c: b for b, c in enumerate(letters)}
-        size = 1 + max([*vocab.values(), *self.special.values()])
         self.token_bytes = [b""] * size
         for token, i in vocab.items():
             self.token_bytes[i] = bytes(back[c] for c in token)
@@ -61,33 +66,43 @@ class Vocabulary:
     def merged(self, word: bytes) -> tuple[int, list[int]]:
         """Number of merges in a word, and its symbols with -1 where one went into its left neighbour.
 
-        The heap holds (rank, merged id, place); an entry whose pair has changed since is skipped. Equal ranks are
-        taken from the left.
+        The heap holds rank and place of adjacent pairs, the lists hold each symbol's neighbours. An entry whose pair
+        has changed since is skipped. Equal ranks are taken from the left.
         """
-        ids, pairs = self.byte_ids, self.pairs
-        symbols = [ids[b] for b in word]
-        n = len(symbols)
-        heap = [(pair << 32) | i for i in range(n - 1) if (pair := pairs.get(symbols[i] << 20 | symbols[i + 1])) is not None]
+        ranks, merges = self.ranks, self.merges
+        symbols = list(map(self.byte_ids.__getitem__, word))
+        n, done = len(symbols), 0
+        pair_at = [ranks[a].get(b) for a, b in zip(symbols, symbols[1:])]
+        heap = [r | i for i, r in enumerate(pair_at) if r is not None]
         if not heap:
             return 0, symbols
-        heapq.heapify(heap)
-        after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
+        pair_at.append(None)
+        heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            entry = heapq.heappop(heap)
-            i, pair = entry & 0xFFFFFFFF, entry >> 32
-            j = after[i]
-            if symbols[i] < 0 or j >= n or pairs.get(symbols[i] << 20 | symbols[j]) != pair:
+            entry = heappop(heap)
+            i = entry & 0xFFFFFFFF
+            if pair_at[i] != entry ^ i:
                 continue
-            symbols[i], symbols[j] = pair & 0xFFFFF, -1
+            j = after[i]
+            symbols[i] = s = merges[entry >> 32]
+            symbols[j] = -1
+            pair_at[j] = None
             after[i] = k = after[j]
-            merges += 1
+            done += 1
             if k < n:
                 before[k] = i
-                if (pair := pairs.get(symbols[i] << 20 | symbols[k])) is not None:
-                    heapq.heappush(heap, (pair << 32) | i)
-            if (h := before[i]) >= 0 and (pair := pairs.get(symbols[h] << 20 | symbols[i])) is not None:
-                heapq.heappush(heap, (pair << 32) | h)
-        return merges, symbols
+                pair_at[i] = r = ranks[s].get(symbols[k])
+                if r is not None:
+                    heappush(heap, r | i)
+            else:
+                pair_at[i] = None
+            h = before[i]
+            if h >= 0:
+                pair_at[h] = r = ranks[symbols[h]].get(s)
+                if r is not None:
+                    heappush(heap, r | h)
+        return done, symbols
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token: initial symbols minus merges; no identifiers are made."""

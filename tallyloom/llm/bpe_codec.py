@@ -142,7 +142,7 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
         def rows():
             words: Counter = Counter()
             for chunk, n in counts.items():
-                for w in bpe.words(" " + chunk):
+                for w in [" " + chunk] if chunk.isalpha() else bpe.words(" " + chunk):
                     if len(w) <= 64:
                         words[w] += n
             counts.clear()
@@ -170,7 +170,7 @@ class Codec:
         self.transducer = Transducer(transducer)
         self.words: dict[str, tuple[int, ...]] = {}
         chunk = lambda c: tuple(chain.from_iterable(map(self.word, bpe.words(c))))
-        self.first, self.later = Memo(chunk, 50_000), Memo(lambda c: chunk(" " + c), 250_000)
+        self.first, self.later = Memo(chunk, 50_000), Memo(lambda c: self.word(" " + c) if c.isalpha() else chunk(" " + c), 400_000)
         self.newline = self.vocabulary.ids("\n")
         self.token_bytes = self.vocabulary.token_bytes
         self.numbers = list(map(str, range(len(self.token_bytes))))
@@ -184,12 +184,15 @@ class Codec:
         chunks = set()
         for t in texts:
             chunks.update(t.split())
-        if len(self.words) > 250_000:
+        if len(self.words) > 400_000:
             self.words.clear()
         new = set()
         for c in chunks:
             if c not in self.later and len(c) <= 64:
-                new.update(bpe.words(" " + c))
+                if c.isalpha():  # letters alone are one pre-token
+                    new.add(" " + c)
+                else:
+                    new.update(bpe.words(" " + c))
         new = [w for w in new if w not in self.words]
         for word, ids in zip(new, self.transducer.lookup([w.encode("utf-8") for w in new])):
             self.words[word] = self.vocabulary.ids(word) if ids is None else ids

@@ -20,10 +20,11 @@ class Counter:
     def __init__(self, path: str):
         vocabulary = bpe.vocabulary(path)
         self.parts = vocabulary.parts
-        self.words = Memo(vocabulary.count, 400_000)
+        self.words = Memo(vocabulary.count, 1_000_000)
         of_chunk = lambda chunk: sum(map(self.words.__getitem__, bpe.words(chunk)))
         self.first = Memo(of_chunk, 100_000)
-        self.later = Memo(lambda chunk: of_chunk(" " + chunk), 400_000)
+        # a chunk of letters alone is one pre-token
+        self.later = Memo(lambda chunk: self.words[" " + chunk] if chunk.isalpha() else of_chunk(" " + chunk), 300_000)
 
     def count(self, text: str) -> int:
         total = 0
