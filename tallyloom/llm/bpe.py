@@ -13,6 +13,7 @@ SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+NEVER = 1 << 62  # the rank of a pair that is never merged
 
 
 def byte_letters() -> list[str]:
@@ -110,7 +111,25 @@ class Vocabulary:
         return len(word) - self.merged(word)[0]
 
     def ids(self, word: str) -> tuple[int, ...]:
-        return tuple(i for i in self.merged(word.encode("utf-8"))[1] if i >= 0)
+        """Token ids of one pre-token. A short one is merged by scanning for its lowest rank, which comes to the same."""
+        word = word.encode("utf-8")
+        if len(word) > 24:
+            return tuple(i for i in self.merged(word)[1] if i >= 0)
+        ranks, merges = self.ranks, self.merges
+        symbols = list(map(self.byte_ids.__getitem__, word))
+        pairs = [ranks[a].get(b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            r = min(pairs)
+            if r == NEVER:
+                break
+            i = pairs.index(r)
+            symbols[i] = s = merges[r >> 32]
+            del symbols[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = ranks[symbols[i - 1]].get(s, NEVER)
+            if i < len(pairs):
+                pairs[i] = ranks[s].get(symbols[i + 1], NEVER)
+        return tuple(symbols)
 
 
 @functools.lru_cache(maxsize=2)
