@@ -214,13 +214,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     centre = buckets.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("centre"))
     spokes = buckets.join(centre, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
     tried = written(spokes.distinct(), "pairs")
-    candidates = buckets.select("doc_id").distinct()
+    candidates = written(buckets.select("doc_id").distinct(), "candidates")  # of known size, so a small one spares the texts a shuffle
     texts = written(base.join(candidates, "doc_id", "left_semi"), "texts")
     links = written(verified(tried, texts, similar), "links")
     component = connected_components(links)
     placed = buckets.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     open_keys = placed.where("n > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    more = written(bucket_links(placed.join(open_keys, "key"), texts, similar), "links")
+    unsettled = written(placed.join(open_keys, "key"), "unsettled")
+    more = written(bucket_links(unsettled, texts, similar), "links")
     classes = connected_components(links.union(more).union(same_id))
     out = base.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
