@@ -24,26 +24,31 @@ class Ledger:
         return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def current(self) -> dict:
+        """The current version and what was merged so far, as (run, batch, version it was merged into)."""
         at, fs = self._pointer()
         if not fs.exists(at):
-            return {"version": None, "batches": {}}
+            return {"version": None, "merged": []}
         return json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0])
 
     def read(self) -> DataFrame:
-        version = self.current()["version"]
+        return self._version(self.current()["version"])
+
+    def _version(self, version: str | None) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], LEDGER)
 
     def merge(self, rows: DataFrame, batch: str, run: str) -> DataFrame:
-        """Merge a batch of rows and give their dispositions. A batch and run merged before leave the ledger as it is."""
+        """Merge a batch of rows and give their dispositions. A batch and run merged before leave the ledger as it is and
+        get the dispositions they had then."""
         state = self.current()
-        out, after = core.merge(rows, self.read(), batch, run)
-        if state["batches"].get(run) == batch:
-            return out
-        version = f"v{len(state['batches']) + 1:08d}"
+        for r, b, base in state["merged"]:
+            if (r, b) == (run, batch):
+                return core.merge(rows, self._version(base), batch, run)[0]
+        out, after = core.merge(rows, self._version(state["version"]), batch, run)
+        version = f"v{len(state['merged']) + 1:08d}"
         after.write.mode("overwrite").parquet(f"{self.path}/{version}")
         at, fs = self._pointer()
         stream = fs.create(at, True)
-        stream.write(bytearray(json.dumps({"version": version, "batches": {**state["batches"], run: batch}}).encode()))
+        stream.write(bytearray(json.dumps({"version": version, "merged": [*state["merged"], (run, batch, state["version"])]}).encode()))
         stream.close()
         return out
 

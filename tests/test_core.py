@@ -209,3 +209,12 @@ def test_stream_merges_once(spark, tmp_path):
     before = ledger.current()
     ledger.merge(spark.createDataFrame([(0, "z", "1")], schema), "epoch-0", "epoch-0")
     assert ledger.current() == before
+    again = ledger.merge(spark.createDataFrame([(0, "a", "1"), (1, "b", "2"), (2, "c", "1")], schema), "epoch-1", "epoch-1")
+    assert Counter(r.disposition for r in again.collect()) == {"inserted": 1, "unchanged": 1, "updated": 1}
+
+
+def test_a_run_can_merge_several_batches(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    for batch, fp in (("b1", "1"), ("b2", "2"), ("b3", "3")):
+        ledger.merge(spark.createDataFrame([(0, "a", fp)], "row_index long, ledger_key string, fp string"), batch, "r1")
+    assert [(r.fp, r.batch) for r in ledger.read().collect()] == [("3", "b3")]
