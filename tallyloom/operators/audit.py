@@ -82,6 +82,13 @@ def rows_per_key_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return out.where("a_rows <> b_rows")
 
 
+def id_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, side: the distinct ids that only one of the two has, with its name, a or b."""
+    both = a.select(key, F.lit("a").alias("side")).unionByName(b.select(key, F.lit("b").alias("side")))
+    sides = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("side").alias("side"), F.max("side").alias("_other"))
+    return sides.where("side = _other").drop("_other")
+
+
 def positional_compare(a: DataFrame, b: DataFrame, columns: list[str], order: str = "row_index") -> DataFrame:
     """field, rows, matches, match_rate, first_difference of rows with the same place in two files."""
     joined = a.select(order, F.struct(*columns).alias("x")).join(b.select(order, F.struct(*columns).alias("y")), order)
@@ -141,6 +148,23 @@ def infer_types(df: DataFrame, columns: list[str], threshold: float = 0.6) -> Da
     return fields.join(seen, "field", "left").select("field", F.when(F.col("n").isNull(), "empty").otherwise(fits).alias("type"))
 
 
+def dataset_profile(df: DataFrame, columns: list[str], order: str = "row_index") -> DataFrame:
+    """field, non_empty_rate, unique_rate, type, and whether a column may be a key, a date or a phone number."""
+    p = column_profile(df, columns, order, most=(1 << 62)).join(infer_types(df, columns), "field")
+    filled = F.col("non_empty") / F.greatest("total", F.lit(1))
+    unique = F.coalesce(F.col("distinct_values") / F.nullif("non_empty", F.lit(0)), F.lit(0.0))
+    named = F.col("field").rlike("電話|TEL|FAX")
+    return p.select(
+        "field",
+        F.round(filled, 4).alias("non_empty_rate"),
+        F.round(unique, 4).alias("unique_rate"),
+        "type",
+        ((filled > 0.95) & (unique > 0.8)).alias("key_candidate"),
+        (F.col("type") == "date").alias("date_candidate"),
+        ((F.col("type") == "phone") | named).alias("phone_candidate"),
+    )
+
+
 def mojibake(df: DataFrame, column: str, key: str) -> DataFrame:
     """key, replaced, latin, control: signs of text that was decoded wrongly."""
     c = text.text(F.col(column))

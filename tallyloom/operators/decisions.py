@@ -5,10 +5,14 @@ Rules are small fixed tables given by the caller; what they are applied to is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import similarity
+from tallyloom.functions.text import trimmed
 from tallyloom.operators.audit import latest_before
 
 
@@ -80,6 +84,62 @@ def run_diff(runs: DataFrame) -> DataFrame:
     return out.select("run_id", change.alias("change"), (F.col("row_count") - F.col("o_rows")).alias("row_delta"))
 
 
+def pre_run_diff(runs: DataFrame) -> DataFrame:
+    """run_id, previous_run, column_delta, change, duplicate_warning, schema_drift: each run against the latest completed
+    run of its source before it.
+
+    runs: run_id, source, status, started_at, file_fp, schema_fp, column_count. What is not known about a previous run
+    doesn't count as a change of it.
+    """
+    w = Window.partitionBy("source").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    old = F.last(F.when(F.col("status") == "completed", F.struct("run_id", "file_fp", "schema_fp", "column_count")), ignorenulls=True).over(w)
+    out = runs.withColumn("_old", old)
+    delta = F.col("column_count") - F.col("_old.column_count")
+    drift = F.coalesce(delta != 0, F.lit(False)) | F.coalesce(F.col("_old.schema_fp") != F.col("schema_fp"), F.lit(False))
+    same = F.coalesce(F.col("_old.file_fp") == F.col("file_fp"), F.lit(False))
+    change = F.when(F.col("_old").isNull(), "first_import").when(same, "same_file").when(drift, "column_changed").otherwise("row_changed")
+    out = out.select("run_id", F.col("_old.run_id").alias("previous_run"), delta.alias("column_delta"), change.alias("change"))
+    return out.withColumns({"duplicate_warning": F.col("change") == "same_file", "schema_drift": F.col("change") == "column_changed"})
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A known kind of file: patterns of names (* for anything), the spellings of each of its columns, and its family."""
+
+    name: str
+    files: tuple[str, ...] = ()
+    columns: tuple[tuple[str, ...], ...] = ()
+    column_count: int | None = None
+    headerless_suitable: bool = False
+    default_has_header: bool = True
+    family: str | None = None
+
+
+def _points(p: Profile) -> Column:
+    glob = "|".join(".*".join(re.escape(x) for x in g.split("*")) for g in p.files)
+    names = F.transform(F.col("columns"), trimmed)
+    hits = [F.arrays_overlap(names, F.array(*[F.lit(h) for h in hints])).cast("int") for hints in p.columns if hints]
+    found = sum(hits[1:], hits[0]) if hits else F.lit(0)
+    off = F.abs(F.col("column_count") - (p.column_count or len(p.columns)))
+    bare = 20 if p.headerless_suitable else 0 if p.default_has_header else 10
+    return (
+        F.when(F.col("file").rlike(f"(?iu)^({glob})\\z") if p.files else F.lit(False), 100).otherwise(0)
+        + F.when(F.col("headerless"), bare).otherwise(F.round(found / max(len(p.columns), 1) * 50))
+        + F.when(F.col("column_count") > 0, F.when(off == 0, 25).when(off == 1, 15).when(off == 2, 8).otherwise(0)).otherwise(0)
+        + F.when(F.col("family").eqNullSafe(F.lit(p.family)) & F.col("family").isNotNull(), 80).otherwise(0)
+    ).cast("int")
+
+
+def match_profile(files: DataFrame, profiles: list[Profile]) -> DataFrame:
+    """files (file, columns, column_count, headerless, family) with profile, score, confidence; of equal scores the first
+    profile given. A name that fits counts 100, known columns up to 50, their number up to 25, a family 80."""
+    scored = F.array(*[F.struct(_points(p).alias("score"), F.lit(-i).alias("o"), F.lit(p.name).alias("name")) for i, p in enumerate(profiles)])
+    out = files.withColumn("_best", F.array_max(F.filter(scored, lambda s: s["score"] > 0)))
+    score = F.coalesce("_best.score", F.lit(0))
+    confidence = F.when(score >= 100, "high").when(score >= 30, "medium").when(score > 0, "low").otherwise("none")
+    return out.withColumns({"profile": F.col("_best.name"), "score": score, "confidence": confidence}).drop("_best")
+
+
 def eligibility(low: int, total: int) -> str:
     """How far a template with so many doubtful decisions may be applied by itself."""
     return "full" if low == 0 else "partial" if low <= 0.2 * total else "review_required"

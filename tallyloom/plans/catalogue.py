@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, hashing, similarity, text
-from tallyloom.operators import audit, core, decisions
+from tallyloom.operators import audit, core, decisions, reviews
 from tallyloom.plans import duck
 from tallyloom.plans.views import CALLS, CONTACT, DATED, MIXED, view
 
@@ -543,3 +543,169 @@ def auto_apply_resolution(memory, asks):
 @query("select a.id as a, b.id as b, cast(levenshtein(a.name, b.name) as int) as distance from n a join n b on a.block = b.block and a.id < b.id and abs(length(a.name) - length(b.name)) <= 2 where levenshtein(a.name, b.name) <= 2", n="select min(c_custkey) as id, c_name as name, substring(c_name, 1, 17) as block from {customer} group by c_name, substring(c_name, 1, 17)")
 def soft_dedupe_levenshtein(n):
     return audit.close_names(n, "id", "name", F.col("block"))
+
+
+_KNOWN = [
+    decisions.Profile("blog", files=("blog*",), columns=(("blog", "weblog"), ("http:", "https:"), ("com",)), family="f1"),
+    decisions.Profile("shop", files=("shop*", "*.example.net"), columns=(("shop",), ("https:",), ("item",), ("en",)), column_count=5, headerless_suitable=True),
+    decisions.Profile("list", columns=(("https:",), ()), column_count=6, default_has_header=False, family="f2"),
+]
+_FILES = "select page_id, lower(url) as url, page_id % 4 = 0 as headerless, case when page_id % 9 = 0 then 'f1' when page_id % 9 = 1 then 'f2' end as family from {pages}"
+_SPREAD = "case when {n} > 0 then case abs({n} - {e}) when 0 then 25 when 1 then 15 when 2 then 8 else 0 end else 0 end"
+_HAS = "cast(list_has_any(parts, [{0}]) as int)"
+
+
+@query(
+    "select page_id, p.name as profile, coalesce(p.score, 0) as score, case when p.score >= 100 then 'high' when p.score >= 30 then 'medium' when p.score > 0 then 'low' else 'none' end as confidence from (select page_id, list_max(list_filter(["
+    f"{{'score': cast(case when regexp_matches(host, '^blog') then 100 else 0 end + case when headerless then 0 else round(({_HAS.format("'blog', 'weblog'")} + {_HAS.format("'http:', 'https:'")} + {_HAS.format("'com'")}) / 3.0 * 50) end + {_SPREAD.format(n='len(parts)', e=3)} + case when family = 'f1' then 80 else 0 end as int), 'o': 0, 'name': 'blog'}}, "
+    f"{{'score': cast(case when regexp_matches(host, '^shop|[.]example[.]net$') then 100 else 0 end + case when headerless then 20 else round(({_HAS.format("'shop'")} + {_HAS.format("'https:'")} + {_HAS.format("'item'")} + {_HAS.format("'en'")}) / 4.0 * 50) end + {_SPREAD.format(n='len(parts)', e=5)} as int), 'o': -1, 'name': 'shop'}}, "
+    f"{{'score': cast(case when headerless then 10 else round({_HAS.format("'https:'")} / 2.0 * 50) end + {_SPREAD.format(n='len(parts)', e=6)} + case when family = 'f2' then 80 else 0 end as int), 'o': -2, 'name': 'list'}}"
+    "], lambda s: s.score > 0)) as p from (select *, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) as host, list_filter(regexp_split_to_array(url, '[/.]'), lambda x: x <> '') as parts from files))",
+    files=_FILES,
+)
+def profile_match(files):
+    parts = F.filter(F.split("url", "[/.]"), lambda x: x != "")
+    named = files.withColumns({"file": F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1), "columns": parts}).withColumn("column_count", F.size("columns"))
+    return decisions.match_profile(named, _KNOWN).select("page_id", "profile", "score", "confidence")
+
+
+_IMPORTS = "select o_orderkey as run_id, o_custkey as source, case when o_orderstatus = 'P' then 'failed' else 'completed' end as status, o_orderdate as started_at, case when o_orderkey % 3 = 0 then 'x' else o_orderpriority end as file_fp, o_orderstatus as schema_fp, cast(o_orderkey % 2 + 10 as int) as column_count from {orders}"
+
+
+@query(
+    ", placed as (select *, last_value(case when status = 'completed' then run_id end ignore nulls) over (partition by source order by started_at, run_id rows between unbounded preceding and 1 preceding) as previous_run from runs), "
+    "seen as (select p.run_id, p.previous_run, p.column_count - o.column_count as column_delta, case when p.previous_run is null then 'first_import' when o.file_fp = p.file_fp then 'same_file' when o.column_count <> p.column_count or o.schema_fp <> p.schema_fp then 'column_changed' else 'row_changed' end as change from placed p left join runs o on o.run_id = p.previous_run) "
+    "select *, change = 'same_file' as duplicate_warning, change = 'column_changed' as schema_drift from seen",
+    runs=_IMPORTS,
+)
+def pre_run_diff(runs):
+    return decisions.pre_run_diff(runs)
+
+
+@query("select coalesce(x.k, y.k) as o_custkey, case when y.k is null then 'a' else 'b' end as side from (select distinct o_custkey as k from orders) x full join (select c_custkey as k from customer where c_custkey % 10 <> 0) y on x.k = y.k where x.k is null or y.k is null")
+def id_set_difference(spark, sf_dir):
+    thin = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey"))
+    return audit.id_differences(table(spark, sf_dir, "orders"), thin, "o_custkey")
+
+
+@contact_query(
+    f"{_CELLS}, kinds as (select field, case {_TYPE_CASE} else 'text' end as k from cells), types as (select f.field, case when count(k) = 0 then 'empty' " + " ".join(f"when count(*) filter (k = '{t}') / count(*) > 0.6 then '{t}'" for t in ("date", "phone", "email", "number", "boolean")) + f" else 'text' end as type from {_FIELDS} f left join kinds c on c.field = f.field group by 1), "
+    f"rates as (select f.field, coalesce(sum(n), 0) / (select count(*) from normalized) as filled, coalesce(count(n) / nullif(sum(n), 0), 0) as uniq from {_FIELDS} f left join counted c on c.field = f.field group by 1) "
+    "select field, round(filled, 4) as non_empty_rate, round(uniq, 4) as unique_rate, type, filled > 0.95 and uniq > 0.8 as key_candidate, type = 'date' as date_candidate, type = 'phone' as phone_candidate from rates join types using (field)"
+)
+def dataset_profile(n):
+    return audit.dataset_profile(n, _PROFILED)
+
+
+# --- review sheets ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    _MATCHED + ", parts as (select ids, unnest(ids) as id from (select distinct ids from matched where is_hit)), named as (select ids, string_agg(coalesce(nullif(c.customer_name, ''), '?'), ' / ' order by id) as names from parts left join contact c on c.row_index = id group by 1) "
+    "select m.row_index, n.names from matched m left join named n on m.is_hit and m.ids = n.ids",
+    calls=CALLS,
+    contact=CONTACT,
+)
+def candidate_enrichment(calls, contact):
+    return reviews.enriched(calls_matched(calls, contact), "candidates", contact, "row_index", F.col("customer_name"), "names").select("row_index", "names")
+
+
+_HIGH = _QUEUE + ", high as (select normalized_phone, count(*) as call_count, min(row_index) as first_row, array_to_string(arg_min(ids, row_index), ';') as candidates, cast(len(arg_min(ids, row_index)) as int) as candidate_count from queue where severity = 'high' group by 1)"
+
+
+@query(_HIGH + " select printf('HR-%04d', row_number() over (order by first_row, normalized_phone)) as review_id, normalized_phone, candidates, candidate_count, call_count, '' as decision_status from high", calls=CALLS, contact=CONTACT)
+def manual_resolution_template(calls, contact):
+    return reviews.resolution_template(audit.review_queue(calls_matched(calls, contact))).drop("chosen_customer_id", "chosen_strategy", "note")
+
+
+def answered(queue):
+    """The high-severity numbers with answers that follow from their last digit."""
+    digit = F.right("normalized_phone", F.lit(1))
+    numbers = queue.where("severity = 'high'").groupBy("normalized_phone").agg(F.min("row_index").alias("review_id"), F.min("candidates").alias("candidates"))
+    return numbers.select("normalized_phone", "review_id", F.when(digit < "6", "resolved").otherwise("defer").alias("decision_status"), F.when(digit.isin("0", "2", "4", "6", "8"), "assign_all").otherwise("split").alias("chosen_strategy"), F.split("candidates", ";")[0].alias("chosen_customer_id"))
+
+
+_ANSWERED = _HIGH + ", answers as (select normalized_phone, split_part(candidates, ';', 1) as chosen from high where right(normalized_phone, 1) in ('0', '2', '4'))"
+
+
+@query(
+    _ANSWERED + " select row_index, case when chosen is not null then 'manual_resolved' else match_type end as match_type, case when chosen is not null then chosen when match_type in ('exact', 'normalized') then cast(ids[1] as varchar) end as matched_customer_id, case when chosen is not null then 1 when is_hit then cast(len(ids) as int) else 0 end as candidate_count "
+    "from (select m.*, case when m.match_type = 'multi_match' and m.row_index % 2 = 0 then a.chosen end as chosen from matched m left join answers a using (normalized_phone))",
+    calls=CALLS,
+    contact=CONTACT,
+)
+def manual_resolution_applied(calls, contact):
+    m = calls_matched(calls, contact)
+    return reviews.apply_resolutions(m, answered(audit.review_queue(m)), F.col("row_index") % 2 == 0).select("row_index", "match_type", "matched_customer_id", "candidate_count")
+
+
+_SHEET = """select concat('R', cast(c_custkey as string)) as review_id,
+  case c_custkey % 6 when 1 then 'skip' when 2 then '' when 3 then 'done' else 'resolved' end as decision_status,
+  case c_custkey % 5 when 0 then 'assign_all' when 1 then 'assign_by_date' when 2 then '' when 3 then 'merge' else 'split' end as chosen_strategy,
+  case when c_custkey % 7 = 0 then ' ' else concat('C', cast(c_custkey % 3 as string)) end as chosen_customer_id,
+  case when c_custkey % 11 = 0 then '' else 'C1; C2 ;' end as candidate_customer_ids,
+  case when c_custkey % 4 = 0 then 'from 2024' else '' end as note,
+  case when c_custkey % 8 = 0 then '' else 'yes' end as answer,
+  case when c_custkey % 9 < 4 then '' else 'waiting' end as confirmed_stage,
+  case when c_custkey % 10 < 5 then ' ' else 'staff' end as confirmed_by from {customer}"""
+
+
+def _fault(when, severity, field, code):
+    return f"case when {when} then {{'severity': '{severity}', 'field': '{field}', 'code': '{code}'}} end"
+
+
+_UNKNOWN = _fault("decision_status not in ('resolved', 'skip', 'unclear', 'defer', '')", "error", "decision_status", "unknown_value")
+_FAULTS = {
+    "packet": [
+        _UNKNOWN,
+        _fault("decision_status = 'resolved' and trim(chosen_customer_id) = ''", "error", "chosen_customer_id", "resolved_without_customer"),
+        _fault("decision_status = 'resolved' and trim(chosen_customer_id) <> '' and candidate_customer_ids <> '' and chosen_customer_id not in ('C1', 'C2')", "warning", "chosen_customer_id", "not_a_candidate"),
+        _fault("decision_status = ''", "info", "decision_status", "open"),
+    ],
+    "template": [
+        _UNKNOWN,
+        _fault("chosen_strategy not in ('assign_all', 'assign_by_date', 'split', '')", "error", "chosen_strategy", "unknown_value"),
+        _fault("decision_status = 'resolved' and chosen_strategy = ''", "warning", "chosen_strategy", "resolved_without_strategy"),
+        _fault("chosen_strategy = 'assign_by_date' and note = ''", "warning", "note", "dates_missing"),
+    ],
+    "hearing": [
+        _fault("answer <> '' and confirmed_stage = ''", "warning", "confirmed_stage", "answer_without_stage"),
+        _fault("confirmed_stage <> '' and trim(confirmed_by) = ''", "warning", "confirmed_by", "stage_without_name"),
+    ],
+}
+
+
+@query(" union all ".join(f"select '{name}' as file, review_id, u.severity as severity, u.field as field, u.code as code from (select review_id, unnest([{', '.join(rules)}]) as u from sheet) where u is not null" for name, rules in _FAULTS.items()), sheet=_SHEET)
+def human_input_issues(sheet):
+    found = {"packet": reviews.packet_issues(sheet), "template": reviews.template_issues(sheet), "hearing": reviews.hearing_issues(sheet.withColumnRenamed("review_id", "status_value")).withColumnRenamed("status_value", "review_id")}
+    packet, template, hearing = (df.withColumn("file", F.lit(name)) for name, df in found.items())
+    return packet.unionByName(template).unionByName(hearing)
+
+
+@query(
+    "select count(*) as packet_rows, count(*) as template_rows, count(*) filter (decision_status = 'resolved') as resolved, count(*) filter (confirmed_stage <> '') as confirmed, case when count(*) = 0 then 'NO-GO' else 'CONDITIONAL-GO' end as verdict, case when count(*) = 0 then 'input_missing' when count(*) filter (decision_status = 'resolved' or confirmed_stage <> '') = 0 then 'no_answers' else 'some_answers' end as reason from sheet",
+    sheet=_SHEET,
+)
+def go_no_go(sheet):
+    return reviews.verdict(sheet, sheet, sheet)
+
+
+@query(
+    "with d as (select o_orderpriority as value, count(*) as n, list_slice(list_sort(list(distinct o_custkey)), 1, 3) as ids from orders group by 1), "
+    "s as (select *, case value when '1-URGENT' then 'waiting' when '3-MEDIUM' then 'on_hold?' when '5-LOW' then 'in_progress' else 'unresolved' end as stage from d where value <> '2-HIGH') "
+    "select value, n, stage, (select string_agg(c.c_name, ' / ' order by c.c_custkey) from customer c where list_contains(s.ids, c.c_custkey)) as samples, case stage when 'waiting' then 'waiting_before_work' when 'on_hold?' then 'stopped' when 'in_progress' then 'under_way' else 'unknown' end as hypothesis from s"
+)
+def status_hearing_sheet(spark, sf_dir):
+    known = {"1-URGENT": "waiting", "3-MEDIUM": "on_hold?", "5-LOW": "in_progress"}
+    d = audit.dictionary(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey").where("value <> '2-HIGH'")
+    stage = F.element_at(F.create_map(*[F.lit(x) for p in known.items() for x in p]), F.col("value"))
+    sheet = reviews.hearing_sheet(d.withColumn("stage", F.coalesce(stage, F.lit("unresolved"))), table(spark, sf_dir, "customer"), "c_custkey", F.col("c_name"))
+    return sheet.select("value", "n", "stage", "samples", "hypothesis")
+
+
+_LOADS = "select row_index, case when row_index % 13 = 0 then 'source_c' when row_index % 2 = 0 then 'source_a' else 'source_b' end as source_kind, case when row_index % 5 = 0 then '' else call_date end as call_date, case when row_index % 15 = 0 then ' ' else content end as content from (" + CALLS + ") k"
+
+
+@query("select row_index, case when source_kind = 'source_c' then 'bad_source_kind' else 'no_date_and_content' end as reject_reason from calls where source_kind = 'source_c' or (call_date = '' and trim(content) = '')", calls=_LOADS)
+def load_rejects(calls):
+    return reviews.load_rejects(calls).select("row_index", "reject_reason")
