@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe
-from tallyloom.llm.common import Memo, id_and_text, small_batches, table
+from tallyloom.llm.common import Memo, id_and_text, small_batches, table, written
 
 
 # --- the transducer -------------------------------------------------------------------------------------------------
@@ -130,10 +130,11 @@ class Transducer:
 
 
 def frequent_words(docs: DataFrame, size: int) -> list[str]:
-    """The size most frequent pre-tokens of all texts, most frequent first; ties in code-point order.
+    """The most frequent pre-tokens of all texts, at most size, most frequent first; ties in code-point order.
 
     Chunks between white space are counted in each task and summed by Spark; a chunk's pre-tokens are taken as after
-    a blank. What reaches the driver is bounded by size.
+    a blank. Levels of frequency (a sixteenth of a doubling each) are taken whole while they fit, so what all partitions
+    together send to the driver is at most size words and one count a level.
     """
 
     def count(it):
@@ -156,7 +157,15 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
         yield rows()
 
     counted = id_and_text(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = written(counted.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    lowest, room = 0, size
+    for r in counted.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # at most 1,024 rows
+        room -= r.words
+        if room < 0:
+            lowest = r.level + 1
+            break
+    kept = counted.where(F.col("level") >= lowest).select("word", "n").collect()
+    return [r.word for r in sorted(kept, key=lambda r: (-r.n, r.word))]
 
 
 # --- the codec ------------------------------------------------------------------------------------------------------

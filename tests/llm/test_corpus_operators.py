@@ -351,3 +351,11 @@ def test_pipeline(spark):
         docs = after
     out = corpus_pipeline.run(spark, SMALL)
     assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_frequent_words_stay_within_their_bound(spark, empty):
+    texts = [(i, f"often often often some some {('left', 'right')[i % 2]}", "en", "s", 0) for i in range(40)]
+    d = spark.createDataFrame(texts, DOCS).repartition(3)
+    assert bpe_codec.frequent_words(d, 4) == [" often", " some", " left", " right"]
+    assert bpe_codec.frequent_words(d, 3) == [" often", " some"]  # the next level has two
+    assert bpe_codec.frequent_words(d, 0) == bpe_codec.frequent_words(empty, 3) == []
