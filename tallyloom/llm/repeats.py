@@ -99,10 +99,12 @@ def anchors(s: np.ndarray, window: int, gram: int):
         yield h[anchor[first]], stretch, anchor[first] + at, first + at, last + at
 
 
-# A stretch's place in one long: 15 bits that tell rows of one doc_id apart, 34 bits of the anchor's place, and 7 bits each
-# of the way back to the first window and on to the last.
-def packed(tag: int, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (tag << 48) | (anchor << 14) | ((anchor - first) << 7) | (last - first)
+# A document is a doc_id and a text. Texts of one doc_id are told apart by 79 bits,
+# the 64 of `tag` and 15 of another hash, `check`, that stand above the places in one long.
+# A stretch's place in one long: check, 34 bits of the anchor's place, and 7 bits each of the way back to the first window
+# and on to the last.
+def packed(check: int, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (check << 48) | (anchor << 14) | ((anchor - first) << 7) | (last - first)
 
 
 def unpacked(place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -112,28 +114,30 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def tagged(docs: DataFrame) -> DataFrame:
-    """id, text, tag and the row's other columns as one struct, so no name clashes."""
+    """id, text, tag, check and the row's other columns as one struct, so no name clashes."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text.alias("text"), F.crc32(text.cast("binary")).bitwiseAND(F.lit(0x7FFF)).cast("int").alias("tag"), F.struct(*rest).alias("rest"))
+    check = F.crc32(text.cast("binary")).bitwiseAND(F.lit(0x7FFF)).cast("int")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("tag"), check.alias("check"), F.struct(*rest).alias("rest"))
 
 
 def stretches(rows: DataFrame, kind: Kind) -> DataFrame:
-    """deal, h, stretch, id, place, live: the stretches of all documents.
+    """h, stretch, id, tag, place, live: the stretches of all documents, to be dealt by h.
 
     Of equal stretches in a batch only the first goes on to its anchor (where only other documents count, those of the first document):
     the others were there before whatever the rest of the corpus holds. So a passage that very many documents share, or
-    one repeats, sends one row a batch to its anchor's task; the rest are dealt out evenly.
+    one repeats, sends one row a batch to its anchor's task; the rest get an h of their own that deals them out evenly.
     """
 
     def batches(it):
         for b in it:
             got = []
-            for i, tag, text in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("text")):
+            for document in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("check").to_pylist(), b.column("text")):
+                i, tag, check, text = document
                 s = kind.symbols(text.as_py())
                 h = s
                 for h, stretch, anchor, first, last in anchors(s, kind.window, kind.gram):
-                    got.append((h, stretch, np.full(len(h), i), packed(tag, anchor, first, last)))
+                    got.append((h, stretch, np.full(len(h), i), np.full(len(h), tag), packed(check, anchor, first, last)))
                 if len(got) >= 1000 or len(h) > 50_000:
                     yield _batch(got)
                     got = []
@@ -141,36 +145,36 @@ def stretches(rows: DataFrame, kind: Kind) -> DataFrame:
                 yield _batch(got)
 
     def _batch(got):
-        h, s, i, p = (np.concatenate(x) for x in zip(*got))
+        h, s, i, t, p = (np.concatenate(x) for x in zip(*got))
         both = mixed(h ^ mixed(s))
-        order = np.lexsort((p, i, both))
+        order = np.lexsort((p, t, i, both))
         first = np.flatnonzero(np.diff(both[order], prepend=~both[order[:1]]) != 0)
         lead = np.repeat(order[first], np.diff(np.append(first, len(order))))
         live = np.empty(len(h), bool)
         live[order] = (i[order] == i[lead]) & (not kind.same_document) | (order == lead) | (h[order] != h[lead]) | (s[order] != s[lead])
-        deal = np.where(live, h, both + p.astype(np.uint64) * np.uint64(_BASE) + i.astype(np.uint64)).view(np.int64)
-        return pa.record_batch([pa.array(deal), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(i), pa.array(p), pa.array(live)], names=["deal", "h", "stretch", "id", "place", "live"])
+        h = np.where(live, h, both + (p ^ t).astype(np.uint64) * np.uint64(_BASE) + i.astype(np.uint64))
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(i), pa.array(t), pa.array(p), pa.array(live)], names=["h", "stretch", "id", "tag", "place", "live"])
 
-    return rows.select("id", "tag", "text").mapInArrow(batches, "deal long, h long, stretch long, id long, place long, live boolean")
+    return rows.select("id", "tag", "check", "text").mapInArrow(batches, "h long, stretch long, id long, tag long, place long, live boolean")
 
 
 def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
-    """h, id, place, what (0 removed whole, 1 open, 2 open and hot) from stretches sorted by h, stretch, id, place.
+    """h, id, tag, place, what (0 removed whole, 1 open, 2 open and hot) from stretches sorted by h, stretch, id, tag, place.
 
     Reads its partition as a stream; of an anchor that spans batches it keeps HOT rows at most.
     """
 
     def batches(it):
         last_h = last_s = first_id = None
-        held: list[tuple] = []  # open rows of the anchor that may go on: (id, place)
+        held: list[tuple] = []  # open rows of the anchor that may go on: (id, tag, place)
         kinds, hot = 0, False  # its distinct stretches so far; whether it was found hot
         for b in it:
             live = b.column("live").to_numpy(zero_copy_only=False)
-            h, s, i, p = (b.column(c).to_numpy() for c in ("h", "stretch", "id", "place"))
+            h, s, i, t, p = (b.column(c).to_numpy() for c in ("h", "stretch", "id", "tag", "place"))
             dead = ~live
             if dead.any():
-                yield from _batches([(h[dead], i[dead], p[dead], np.zeros(int(dead.sum()), np.int8))])
-                h, s, i, p = h[live], s[live], i[live], p[live]
+                yield from _batches([(h[dead], i[dead], t[dead], p[dead], np.zeros(int(dead.sum()), np.int8))])
+                h, s, i, t, p = h[live], s[live], i[live], t[live], p[live]
             if not len(h):
                 continue
             new_h = np.diff(h, prepend=h[0]) != 0
@@ -181,7 +185,7 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
             lead = np.maximum.accumulate(np.where(new_s, np.arange(len(h)), -1))
             lead_id = np.where(lead >= 0, i[np.maximum(lead, 0)], 0 if first_id is None else first_id)
             again = ~new_s & ((i > lead_id) if not kind.same_document else True)
-            out = [(h[again], i[again], p[again], np.zeros(int(again.sum()), np.int8))]
+            out = [(h[again], i[again], t[again], p[again], np.zeros(int(again.sum()), np.int8))]
             group = np.cumsum(new_h)  # 0: goes on from the batch before
             count = np.bincount(group, minlength=group[-1] + 1)
             distinct = np.bincount(group, weights=new_s, minlength=len(count)).astype(np.int64)
@@ -195,16 +199,16 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
             ended = rows[(group[rows] > 0) & (group[rows] < tail)]
             g = group[ended]
             ended = ended[distinct[g] > 1]
-            out.append((h[ended], i[ended], p[ended], np.where(opened[group[ended]] > HOT, 2, 1).astype(np.int8)))
+            out.append((h[ended], i[ended], t[ended], p[ended], np.where(opened[group[ended]] > HOT, 2, 1).astype(np.int8)))
             for g in {0, tail}:
                 if not count[g]:
                     continue
                 own = rows[group[rows] == g]
                 kinds += int(distinct[g])
                 if hot:
-                    out.append((h[own], i[own], p[own], np.full(len(own), 2, np.int8)))
+                    out.append((h[own], i[own], t[own], p[own], np.full(len(own), 2, np.int8)))
                 else:
-                    held += zip(i[own].tolist(), p[own].tolist())
+                    held += zip(i[own].tolist(), t[own].tolist(), p[own].tolist())
                     if len(held) > HOT:
                         hot = True
                         out += _rows(int(h[own[0]]) if len(own) else last_h, held, 2)
@@ -218,8 +222,8 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
             yield from _batches(_flush(last_h, held, kinds, hot))
 
     def _rows(h, held, what):
-        i, p = (np.array(x, np.int64) for x in zip(*held))
-        return [(np.full(len(i), h), i, p, np.full(len(i), what, np.int8))]
+        i, t, p = (np.array(x, np.int64) for x in zip(*held))
+        return [(np.full(len(i), h), i, t, p, np.full(len(i), what, np.int8))]
 
     def _flush(h, held, kinds, hot):
         return _rows(h, held, 1) if held and not hot and kinds > 1 else []
@@ -227,20 +231,23 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
     def _batches(out):
         out = [x for x in out if len(x[0])]
         if out:
-            h, i, p, what = (np.concatenate(x) for x in zip(*out))
-            yield pa.record_batch([pa.array(h), pa.array(i), pa.array(p), pa.array(what)], names=["h", "id", "place", "what"])
+            h, i, t, p, what = (np.concatenate(x) for x in zip(*out))
+            yield pa.record_batch([pa.array(h), pa.array(i), pa.array(t), pa.array(p), pa.array(what)], names=["h", "id", "tag", "place", "what"])
 
-    return dealt.mapInArrow(batches, "h long, id long, place long, what byte")
+    return dealt.mapInArrow(batches, "h long, id long, tag long, place long, what byte")
 
 
 def contents(open_rows: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
-    """key, content, id, tag, start, anchor: the open stretches with what they hold. Equal windows keep equal keys."""
-    wanted = open_rows.groupBy("id", F.shiftright("place", 48).cast("int").alias("tag")).agg(F.collect_list(F.struct("h", "place", "what")).alias("wanted"))
+    """key, content, id, tag, start, anchor: the open stretches with what they hold. Equal windows keep equal keys.
+
+    A start has the document's check above it.
+    """
+    wanted = open_rows.groupBy("id", "tag", F.shiftright("place", 48).cast("int").alias("check")).agg(F.collect_list(F.struct("h", "place", "what")).alias("wanted"))
 
     def batches(it):
         for b in it:
             got, size = [], 0
-            for i, tag, text, wanted in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("text"), b.column("wanted")):
+            for i, tag, check, text, wanted in zip(*(b.column(c).to_pylist() for c in ("id", "tag", "check")), b.column("text"), b.column("wanted")):
                 c = kind.content(text.as_py())
                 w = wanted.values
                 h, place, what = (w.field(f).to_numpy() for f in ("h", "place", "what"))
@@ -255,7 +262,7 @@ def contents(open_rows: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
                             parts.append((key ^ own, max(f, a - GRID * j - GRID + 1), min(l, a - GRID * j)))
                     for key_of, x, y in parts:
                         content = c[x : y + kind.window].tobytes()
-                        got.append((key_of, content, i, tag, x, a - x))
+                        got.append((key_of, content, i, tag, check << 48 | x, a - x))
                         size += len(content)
                 if size > 1 << 22:
                     yield _batch(got)
@@ -264,10 +271,10 @@ def contents(open_rows: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
                 yield _batch(got)
 
     def _batch(got):
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*got), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["key", "content", "id", "tag", "start", "anchor"])
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*got), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["key", "content", "id", "tag", "start", "anchor"])
 
-    joined = texts.select("id", "tag", "text").join(wanted, ["id", "tag"])
-    return joined.select("id", "tag", "text", "wanted").mapInArrow(batches, "key long, content binary, id long, tag int, start long, anchor int")
+    joined = texts.select("id", "tag", "check", "text").join(wanted, ["id", "tag", "check"])
+    return joined.select("id", "tag", "check", "text", "wanted").mapInArrow(batches, "key long, content binary, id long, tag long, start long, anchor int")
 
 
 def _short(data: bytes) -> bytes:
@@ -370,28 +377,31 @@ def resolved(dealt: DataFrame, kind: Kind) -> DataFrame:
 
     def _batch(out):
         i, tag, start, stop = (np.concatenate(x) for x in zip(*out))
-        return pa.record_batch([pa.array(i), pa.array(tag.astype(np.int32)), pa.array(start), pa.array(stop)], names=["id", "tag", "start", "stop"])
+        return pa.record_batch([pa.array(i), pa.array(tag), pa.array(start), pa.array(stop)], names=["id", "tag", "start", "stop"])
 
     kind_item = kind.content("").itemsize
-    return dealt.mapInArrow(batches, "id long, tag int, start long, stop long")
+    return dealt.mapInArrow(batches, "id long, tag long, start long, stop long")
 
 
 def marked(docs: DataFrame, kind: Kind) -> DataFrame:
-    """id, text, tag, rest, removed: each row of docs with the symbol ranges to remove, which may overlap; null for none."""
+    """id, text, tag, check, rest, removed: each row of docs with the symbol ranges to remove, which may overlap; null for none."""
     small_batches(docs.sparkSession)
     texts = tagged(docs)
-    sorted_by = ["h", "stretch", "id", "place"]
-    sieve = written(sifted(stretches(texts, kind).repartition("deal").drop("deal").sortWithinPartitions(*sorted_by), kind), "sieve")
+    sorted_by = ["h", "stretch", "id", "tag", "place"]
+    sieve = written(sifted(stretches(texts, kind).repartition("h").sortWithinPartitions(*sorted_by), kind), "sieve")
     whole = sieve.where("what = 0").select(
         "id",
-        F.shiftright("place", 48).cast("int").alias("tag"),
+        "tag",
+        F.shiftright("place", 48).cast("int").alias("check"),
         (F.expr("(shiftright(place, 14) & 17179869183) - (shiftright(place, 7) & 127)")).alias("start"),
         F.expr(f"(shiftright(place, 14) & 17179869183) - (shiftright(place, 7) & 127) + (place & 127) + {kind.window}").alias("stop"),
     )
     held = contents(sieve.where("what > 0"), texts, kind)
     shared = resolved(held.repartition("key").sortWithinPartitions("key", "content", "id", "tag", "start"), kind)
-    ranges = whole.union(shared).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("removed"))
-    return texts.join(ranges, ["id", "tag"], "left")
+    low = F.lit((1 << 48) - 1)
+    shared = shared.select("id", "tag", F.shiftright("start", 48).cast("int").alias("check"), F.col("start").bitwiseAND(low).alias("start"), F.col("stop").bitwiseAND(low).alias("stop"))
+    ranges = whole.union(shared).groupBy("id", "tag", "check").agg(F.collect_list(F.struct("start", "stop")).alias("removed"))
+    return texts.join(ranges, ["id", "tag", "check"], "left")
 
 
 def covered(removed, n: int) -> np.ndarray:

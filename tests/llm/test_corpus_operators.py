@@ -262,6 +262,30 @@ def test_repeated_words(docs, empty):
     assert substring_dedup.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("times", [1])
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_repeated_rows_and_rows_of_one_id(spark, monkeypatch, hot, times):
+    """Every row occurs so many times; some texts of one id agree in 15 bits of their CRC and hold other passages, or none."""
+    import tallyloom.llm.repeats as repeats
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    low = lambda t: zlib.crc32(t.encode()) & 0x7FFF
+    texts = [(0, PASSAGE + " tail"), (5, " ".join(BASE)), (None, "one " + PASSAGE[:300]), (None, " ".join(BASE[:90])), (None, None), (7, ""), (7, "more " + PASSAGE)]
+    for i, text in ((20, "long " * 70 + PASSAGE + " end"), (None, "far " * 70 + PASSAGE + " end")):
+        other = next(x for k in range(10**7) if low(x := f"other text {k} " + " ".join(BASE[100:160])) == low(text))
+        texts += [(i, text), (i, other)]
+    df = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in texts * times], DOCS)
+    first = lambda i: -1 if i is None else i
+    found = df.distinct().selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()
+    ordered = [(r.doc_id, r.text) for r in sorted(found, key=lambda r: (first(r.doc_id), r.h))]
+    every = lambda counts: Counter({k: times * n for k, n in counts.items()})
+    for d in (df.repartition(1), df.repartition(5)):
+        assert rows(suffix_dedup.digests(d).drop("n_spans")) == every(covered(ordered, 100, lambda a, b: a != b, lambda t: t.encode(), bytes))
+        assert rows(substring_dedup.digests(d)) == every(covered(ordered, 50, lambda a, b: first(a[0]) < first(b[0]), lambda t: t.encode().split(), b" ".join))
+    kept = suffix_dedup.without_repeats(df)
+    assert kept.count() == len(texts) * times and kept.where("doc_id = 5 and n_chars > 0").count() == times
+
+
 def test_hot_passage_is_split(spark, monkeypatch):
     import tallyloom.llm.repeats as repeats
 
