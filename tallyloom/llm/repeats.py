@@ -99,7 +99,7 @@ def anchors(s: np.ndarray, window: int, gram: int):
         yield h[anchor[first]], stretch, anchor[first] + at, first + at, last + at
 
 
-# A document is a doc_id and a text. Texts of one doc_id are told apart by 79 bits,
+# A document is a doc_id and a text: rows that agree in both are one document. Texts of one doc_id are told apart by 79 bits,
 # the 64 of `tag` and 15 of another hash, `check`, that stand above the places in one long.
 # A stretch's place in one long: check, 34 bits of the anchor's place, and 7 bits each of the way back to the first window
 # and on to the last.
@@ -127,20 +127,24 @@ def stretches(rows: DataFrame, kind: Kind) -> DataFrame:
     Of equal stretches in a batch only the first goes on to its anchor (where only other documents count, those of the first document):
     the others were there before whatever the rest of the corpus holds. So a passage that very many documents share, or
     one repeats, sends one row a batch to its anchor's task; the rest get an h of their own that deals them out evenly.
+    A document that a batch holds twice counts once.
     """
 
     def batches(it):
         for b in it:
-            got = []
+            got, seen = [], set()
             for document in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), b.column("check").to_pylist(), b.column("text")):
                 i, tag, check, text = document
+                if document[:3] in seen:
+                    continue
+                seen.add(document[:3])
                 s = kind.symbols(text.as_py())
                 h = s
                 for h, stretch, anchor, first, last in anchors(s, kind.window, kind.gram):
                     got.append((h, stretch, np.full(len(h), i), np.full(len(h), tag), packed(check, anchor, first, last)))
                 if len(got) >= 1000 or len(h) > 50_000:
                     yield _batch(got)
-                    got = []
+                    got, seen = [], set()
             if got:
                 yield _batch(got)
 
@@ -161,11 +165,12 @@ def stretches(rows: DataFrame, kind: Kind) -> DataFrame:
 def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
     """h, id, tag, place, what (0 removed whole, 1 open, 2 open and hot) from stretches sorted by h, stretch, id, tag, place.
 
-    Reads its partition as a stream; of an anchor that spans batches it keeps HOT rows at most.
+    Reads its partition as a stream; of an anchor that spans batches it keeps HOT rows at most. Equal rows come from rows
+    of docs that are one document and count once.
     """
 
     def batches(it):
-        last_h = last_s = first_id = None
+        last_h = last_s = first_id = last_place = None
         held: list[tuple] = []  # open rows of the anchor that may go on: (id, tag, place)
         kinds, hot = 0, False  # its distinct stretches so far; whether it was found hot
         for b in it:
@@ -177,6 +182,13 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
                 h, s, i, t, p = h[live], s[live], i[live], t[live], p[live]
             if not len(h):
                 continue
+            same = np.zeros(len(h), bool)
+            same[1:] = (p[1:] == p[:-1]) & (t[1:] == t[:-1]) & (i[1:] == i[:-1]) & (s[1:] == s[:-1]) & (h[1:] == h[:-1])
+            same[0] = last_h is not None and (h[0], s[0], i[0], t[0], p[0]) == (last_h, last_s, *last_place)
+            if same.any():
+                h, s, i, t, p = h[~same], s[~same], i[~same], t[~same], p[~same]
+            if not len(h):
+                continue
             new_h = np.diff(h, prepend=h[0]) != 0
             new_h[0] = last_h is None or h[0] != last_h
             new_s = new_h.copy()
@@ -217,6 +229,7 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
                     out += _flush(int(h[0]), held, kinds, hot)
                     held, kinds, hot = [], 0, False
             last_h, last_s, first_id = int(h[-1]), int(s[-1]), int(lead_id[-1])
+            last_place = (int(i[-1]), int(t[-1]), int(p[-1]))
             yield from _batches(out)
         if last_h is not None:
             yield from _batches(_flush(last_h, held, kinds, hot))
@@ -240,14 +253,18 @@ def sifted(dealt: DataFrame, kind: Kind) -> DataFrame:
 def contents(open_rows: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
     """key, content, id, tag, start, anchor: the open stretches with what they hold. Equal windows keep equal keys.
 
-    A start has the document's check above it.
+    A start has the document's check above it. Rows of docs that are one document may come more than once.
     """
     wanted = open_rows.groupBy("id", "tag", F.shiftright("place", 48).cast("int").alias("check")).agg(F.collect_list(F.struct("h", "place", "what")).alias("wanted"))
 
     def batches(it):
+        before = None
         for b in it:
             got, size = [], 0
             for i, tag, check, text, wanted in zip(*(b.column(c).to_pylist() for c in ("id", "tag", "check")), b.column("text"), b.column("wanted")):
+                if (i, tag, check) == before:
+                    continue
+                before = (i, tag, check)
                 c = kind.content(text.as_py())
                 w = wanted.values
                 h, place, what = (w.field(f).to_numpy() for f in ("h", "place", "what"))
@@ -314,13 +331,13 @@ def trimmed(keys: list[int], texts: list[bytes], anchor: list[int], kind: Kind,
 def resolved(dealt: DataFrame, kind: Kind) -> DataFrame:
     """id, tag, start, stop of windows that were there before, from contents sorted by key, content, id, tag, start.
 
-    Keys are gathered to about BUFFER bytes of distinct stretches and resolved together.
+    Keys are gathered to about BUFFER bytes of distinct stretches and resolved together. Equal rows count once.
     """
 
     def batches(it):
         keys, anchor = [], []
         texts, firsts, same = [], [], []  # distinct stretches, their first place, and places with the first's verdict
-        size, key_before, text_before = 0, None, None
+        size, key_before, text_before, place_before = 0, None, None, None
         out = []
 
         def flush():
@@ -362,12 +379,14 @@ def resolved(dealt: DataFrame, kind: Kind) -> DataFrame:
                     firsts.append((i, tag, start))
                     size += len(content)
                     text_before = content
+                elif (i, tag, start) == place_before:
+                    pass
                 elif kind.same_document or i != firsts[-1][0]:
                     n = len(content) // kind_item
                     out.append(tuple(np.array([x], np.int64) for x in (i, tag, start, start + n)))
                 else:
                     same.append((len(texts) - 1, i, tag, start))
-                key_before = key
+                key_before, place_before = key, (i, tag, start)
             if out:
                 yield _batch(out)
                 out = []

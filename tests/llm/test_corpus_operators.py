@@ -262,7 +262,7 @@ def test_repeated_words(docs, empty):
     assert substring_dedup.digests(empty).count() == 0
 
 
-@pytest.mark.parametrize("times", [1])
+@pytest.mark.parametrize("times", [1, 2])
 @pytest.mark.parametrize("hot", [2, 2000])
 def test_repeated_rows_and_rows_of_one_id(spark, monkeypatch, hot, times):
     """Every row occurs so many times; some texts of one id agree in 15 bits of their CRC and hold other passages, or none."""
