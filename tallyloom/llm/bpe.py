@@ -148,6 +148,6 @@ def plain_lines(text: str) -> list[list[str]] | None:
     No pre-token then crosses from one chunk to the next: a blank goes with the chunk after it and a line end stands
     alone. Otherwise None.
     """
-    if not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+    if not text or text.split() != text.replace("\n", " ").split(" "):
         return None
     return [line.split(" ") for line in text.split("\n")]

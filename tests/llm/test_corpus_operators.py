@@ -73,6 +73,17 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, BYTE_BPE).count() == 0
 
 
+def test_runs_of_white_space_beside_tabs(spark):
+    """As many blanks and line ends in runs as there are words joined by other white space."""
+    texts = enumerate(["a\n\n\nb\tc\td", "a   b\u3000c\xa0d", "\n\nb\tc\td", "\t b\tc", "a \n\nb\tc\x1cd", "a b\nc"])
+    d = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in texts], DOCS)
+    t = Tokenizer.from_file(BYTE_BPE)
+    ids = {r.doc_id: t.encode(r.text, add_special_tokens=False).ids for r in d.collect()}
+    assert len(ids[0]) == 8
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(d, BYTE_BPE).collect()} == {i: len(x) for i, x in ids.items()}
+    assert {r.doc_id: list(r.ids) for r in bpe_codec.encode_decode(d, BYTE_BPE, keep_ids=True).collect()} == ids
+
+
 def test_merging_is_by_lowest_rank():
     v = bpe.vocabulary(BYTE_BPE)
     t = Tokenizer.from_file(BYTE_BPE)
