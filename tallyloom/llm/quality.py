@@ -188,9 +188,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier does not reject. Scored in place, without a join."""
+    """The rows of docs, with all their columns, that the classifier does not reject. Scored in place, without a join.
+
+    Where the labels don't suffice to fit it (fewer than 20, or of one kind), nothing is known against a row and all stay.
+    """
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    fitted = fit(docs, labels)
+    if fitted[1].weights is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def batches(it):
         vectors, network = model.value

@@ -376,6 +376,12 @@ def test_quality_without_labels(docs, empty, spark):
     assert quality.kept_documents(docs, none).columns == docs.columns
 
 
+def test_too_few_labels_drop_nothing(docs, spark):
+    for labels in ([], [(0, 0, 0), (1, 1, 0)], [(i, 0, 0) for i in range(15)], [(i + 1000, i % 2, 0) for i in range(100)]):
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        assert rows(quality.kept_documents(docs, known)) == rows(docs)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
