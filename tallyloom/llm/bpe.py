@@ -6,6 +6,7 @@ import functools
 import json
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import regex
 
 # The public byte-level splitting pattern, with white space spelt as the Unicode property.
@@ -13,7 +14,11 @@ SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-NEVER = 1 << 62  # the rank of a pair that is never merged
+SLOTS = 20  # bits of a place in the table of pairs
+
+
+def slot(pair: np.ndarray) -> np.ndarray:
+    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
 def byte_letters() -> list[str]:
@@ -111,25 +116,77 @@ class Vocabulary:
         return len(word) - self.merged(word)[0]
 
     def ids(self, word: str) -> tuple[int, ...]:
-        """Token ids of one pre-token. A short one is merged by scanning for its lowest rank, which comes to the same."""
-        word = word.encode("utf-8")
-        if len(word) > 24:
-            return tuple(i for i in self.merged(word)[1] if i >= 0)
-        ranks, merges = self.ranks, self.merges
-        symbols = list(map(self.byte_ids.__getitem__, word))
-        pairs = [ranks[a].get(b, NEVER) for a, b in zip(symbols, symbols[1:])]
-        while pairs:
-            r = min(pairs)
-            if r == NEVER:
+        """Token ids of one pre-token."""
+        return tuple(i for i in self.merged(word.encode("utf-8"))[1] if i >= 0)
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        """An open hash table of all pairs: slots that hold a pair's rank or -1, and by rank the pair's number (left * 2^32 +
+        right) and what it merges to."""
+        number = np.full(len(self.merges) + 1, -1, np.int64)
+        slots = np.full(1 << SLOTS, -1, np.int32)
+        for left, own in enumerate(self.ranks):
+            for right, r in own.items():
+                number[r >> 32] = left << 32 | right
+        for rank, at in enumerate(slot(number[:-1]).tolist()):
+            while slots[at] >= 0:
+                at = at + 1 & len(slots) - 1
+            slots[at] = rank
+        return slots, number, np.array(self.merges or [0], np.int64)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; one more than the last rank for pairs that never merge."""
+        slots, number, _ = self.pairs
+        key = (left << 32 | right).ravel()
+        at = slot(key)
+        rank = slots[at]
+        again = np.flatnonzero((number[rank] != key) & (rank >= 0))
+        while len(again):
+            at[again] = at[again] + 1 & len(slots) - 1
+            rank[again] = slots[at[again]]
+            again = again[(number[rank[again]] != key[again]) & (rank[again] >= 0)]
+        return np.where(rank < 0, len(self.merges), rank).reshape(left.shape)
+
+    def ids_of_block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pre-tokens of similar length, a row each, and how many there are in a row.
+
+        All words are merged side by side: a round takes the lowest rank of each, the leftmost of equals, closes the gap
+        and looks up the two pairs that changed. A word that has no pair left is done with.
+        """
+        merges = self.pairs[2]
+        never = len(self.merges)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(lengths.max()) + 1  # a place behind the end that no pair holds
+        column = np.arange(width)
+        symbols = np.full((len(words), width), -1, np.int64)
+        inside = column < lengths[:, None]
+        symbols[inside] = np.array(self.byte_ids)[np.frombuffer(b"".join(words), np.uint8)]
+
+        ranks = np.full((len(words), width), never, np.int32)
+        ranks[:, :-1] = np.where(inside[:, 1:], self.ranks_of(symbols[:, :-1], symbols[:, 1:]), never)
+        out, n = np.full((len(words), width), -1, np.int64), lengths.copy()
+        own = np.arange(len(words))
+        while len(own):
+            at = ranks.argmin(axis=1)
+            row = np.arange(len(own))
+            lowest = ranks[row, at]
+            go = lowest < never
+            if not go.all():
+                out[own[~go], : symbols.shape[1]] = symbols[~go]
+                own, symbols, ranks, at, lowest = own[go], symbols[go], ranks[go], at[go], lowest[go]
+                row = np.arange(len(own))
+            if not len(own):
                 break
-            i = pairs.index(r)
-            symbols[i] = s = merges[r >> 32]
-            del symbols[i + 1], pairs[i]
-            if i:
-                pairs[i - 1] = ranks[symbols[i - 1]].get(s, NEVER)
-            if i < len(pairs):
-                pairs[i] = ranks[s].get(symbols[i + 1], NEVER)
-        return tuple(symbols)
+            symbols[row, at] = merges[lowest]
+            shift = np.minimum(column + (column > at[:, None]), width - 1)
+            symbols, ranks = np.take_along_axis(symbols, shift, 1), np.take_along_axis(ranks, shift, 1)
+            merged = symbols[row, at]
+            right = symbols[row, np.minimum(at + 1, width - 1)]
+            ranks[row, at] = np.where(right >= 0, self.ranks_of(merged, right), never)
+            inner = np.flatnonzero(at > 0)
+            ranks[inner, at[inner] - 1] = self.ranks_of(symbols[inner, at[inner] - 1], merged[inner])
+            n[own] -= 1
+        return out, n
 
 
 @functools.lru_cache(maxsize=2)

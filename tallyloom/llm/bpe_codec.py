@@ -7,7 +7,6 @@ import hashlib
 import os
 import tempfile
 import uuid
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -20,6 +19,10 @@ from pyspark.sql import functions as F
 from tallyloom.llm import bpe
 from tallyloom.llm.common import Memo, id_and_text, small_batches, table, written
 
+LONGEST = 64  # characters of a word or chunk that is kept
+ENDS = frozenset(".,;:!?")  # one of these behind letters is a pre-token of its own
+SHORT = 32  # bytes of an unseen word that is merged side by side with others; a longer one goes through the heap
+
 
 # --- the transducer -------------------------------------------------------------------------------------------------
 
@@ -94,7 +97,7 @@ class Transducer:
     """A memory-mapped transducer file; looks up many words at a time, one byte of each per step."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))  # still the mapped pages
         lengths = raw[: 8 * len(FIELDS)].view("<i8")
         at = 8 * len(FIELDS)
         for (name, kind), n in zip(FIELDS, lengths):
@@ -104,6 +107,10 @@ class Transducer:
 
     def lookup(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
         """The ids of each word, None for words outside the lexicon."""
+        return [None if ids is None else tuple(np.frombuffer(ids, "<u4").tolist()) for ids in self.found(words)]
+
+    def found(self, words: list[bytes]) -> list[bytes | None]:
+        """As lookup, the ids in four bytes each."""
         if not words or not len(self.keys):
             return [None] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -111,53 +118,40 @@ class Transducer:
         text = np.frombuffer(b"".join(words), np.uint8)
         state = np.full(len(words), int(self.root[0]), np.int64)
         ordinal = np.zeros(len(words), np.int64)
+        live = np.flatnonzero(lengths)
         for step in range(int(lengths.max())):
-            live = np.flatnonzero((state >= 0) & (lengths > step))
-            if not len(live):
-                break
             key = state[live] << 8 | text[starts[live] + step]
             arc = np.searchsorted(self.keys, key)
             arc[arc == len(self.keys)] = 0
             hit = self.keys[arc] == key
-            ordinal[live] += np.where(hit, self.outputs[arc], 0)
-            state[live] = np.where(hit, self.targets[arc], -1)
+            state[live[~hit]] = -1
+            live, arc = live[hit], arc[hit]
+            ordinal[live] += self.outputs[arc]
+            state[live] = self.targets[arc]
+            live = live[lengths[live] > step + 1]
+            if not len(live):
+                break
         known = (state >= 0) & (self.accepting[np.maximum(state, 0)] > 0)
-        offsets, ids = self.offsets, self.ids
-        return [tuple(ids[offsets[o] : offsets[o + 1]].tolist()) if k else None for k, o in zip(known.tolist(), ordinal.tolist())]
+        out: list[bytes | None] = [None] * len(words)
+        at = np.flatnonzero(known)
+        ids = memoryview(self.ids).cast("B")
+        for i, a, b in zip(at.tolist(), (self.offsets[ordinal[at]] * 4).tolist(), (self.offsets[ordinal[at] + 1] * 4).tolist()):
+            out[i] = bytes(ids[a:b])
+        return out
 
 
 # --- word counts over the corpus ------------------------------------------------------------------------------------
 
 
 def frequent_words(docs: DataFrame, size: int) -> list[str]:
-    """The most frequent pre-tokens of all texts, at most size, most frequent first; ties in code-point order.
+    """The most frequent words of all texts, at most size, most frequent first; ties in code-point order.
 
-    Chunks between white space are counted in each task and summed by Spark; a chunk's pre-tokens are taken as after
-    a blank. Levels of frequency (a sixteenth of a doubling each) are taken whole while they fit, so what all partitions
-    together send to the driver is at most size words and one count a level.
+    Words are what white space stands between, each with a blank in front; those too long to be kept are not counted.
+    Levels of frequency (a sixteenth of a doubling each) are taken whole while they fit, so what all partitions together
+    send to the driver is at most size words and one count a level.
     """
-
-    def count(it):
-        counts: Counter = Counter()
-
-        def rows():
-            words: Counter = Counter()
-            for chunk, n in counts.items():
-                for w in [" " + chunk] if chunk.isalpha() else bpe.words(" " + chunk):
-                    if len(w) <= 64:
-                        words[w] += n
-            counts.clear()
-            return pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-        for b in it:
-            for t in b.column("text"):
-                counts.update(t.as_py().split())
-                if len(counts) > 300_000:
-                    yield rows()
-        yield rows()
-
-    counted = id_and_text(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = written(counted.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    words = id_and_text(docs).select(F.explode(F.split("text", r"\s+")).alias("word")).where(f"length(word) between 1 and {LONGEST}")
+    counted = written(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
     lowest, room = 0, size
     for r in counted.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # at most 1,024 rows
         room -= r.words
@@ -165,65 +159,148 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
             lowest = r.level + 1
             break
     kept = counted.where(F.col("level") >= lowest).select("word", "n").collect()
-    return [r.word for r in sorted(kept, key=lambda r: (-r.n, r.word))]
+    return [" " + r.word for r in sorted(kept, key=lambda r: (-r.n, r.word))]
 
 
 # --- the codec ------------------------------------------------------------------------------------------------------
 
 
+def laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings in one array, with where each starts and its size."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def joined(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte strings of ids one after the other, and where each ends."""
+    buffer, starts, sizes = table
+    own = sizes[ids]
+    ends = np.cumsum(own)
+    at = np.repeat(starts[ids] - ends + own, own)
+    at += np.arange(len(at))
+    return buffer[at], ends
+
+
 class Codec:
-    """Encodes and decodes whole texts with a vocabulary and a transducer of frequent words."""
+    """Encodes and decodes whole texts with a vocabulary and a transducer of frequent words.
+
+    Ids are kept as four bytes each. A text whose only white space is single blanks and line ends is put together from its
+    chunks: a blank goes with the chunk after it, a line end stands alone before its chunk. Other texts go by pre-tokens.
+    """
 
     def __init__(self, tokenizer: str, transducer: str):
         self.vocabulary = bpe.vocabulary(tokenizer)
         self.transducer = Transducer(transducer)
-        self.words: dict[str, tuple[int, ...]] = {}
-        chunk = lambda c: tuple(chain.from_iterable(map(self.word, bpe.words(c))))
-        self.first, self.later = Memo(chunk, 50_000), Memo(lambda c: self.word(" " + c) if c.isalpha() else chunk(" " + c), 400_000)
-        self.newline = self.vocabulary.ids("\n")
-        self.token_bytes = self.vocabulary.token_bytes
-        self.numbers = list(map(str, range(len(self.token_bytes))))
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        return self.vocabulary.ids(word) if ids is None else ids
-
-    def learn(self, texts: list[str]) -> None:
-        """Look up a batch's new words in the transducer at once and merge those it doesn't hold."""
-        chunks = set()
-        for t in texts:
-            chunks.update(t.split())
-        if len(self.words) > 400_000:
-            self.words.clear()
-        new = set()
-        for c in chunks:
-            if c not in self.later and len(c) <= 64:
-                if c.isalpha():  # letters alone are one pre-token
-                    new.add(" " + c)
-                else:
-                    new.update(bpe.words(" " + c))
-        new = [w for w in new if w not in self.words]
-        for word, ids in zip(new, self.transducer.lookup([w.encode("utf-8") for w in new])):
-            self.words[word] = self.vocabulary.ids(word) if ids is None else ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part, special in self.vocabulary.parts(text):
-            if special is not None:
-                out.append(special)
-            elif (lines := bpe.plain_lines(part)) is not None:
-                later = self.later.__getitem__
-                for i, line in enumerate(lines):
-                    if i:
-                        out += self.newline
-                    out += self.first[line[0]]
-                    out += chain.from_iterable(map(later, line[1:]))
+        self.tokens = laid_out(self.vocabulary.token_bytes)
+        self.decimals = laid_out([b"%d," % i for i in range(len(self.vocabulary.token_bytes))])
+        self.words = Memo(self.merged, 200_000)
+        self.first = Memo(lambda c: self.pieces(c) if c.split() == [c] else None, 50_000)
+        self.later: dict[str, bytes | None] = {}
+        self.newline = self.merged("\n")
+
+    def merged(self, word: str) -> bytes:
+        return np.array(self.vocabulary.ids(word), "<u4").tobytes()
+
+    def pieces(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, bpe.words(text)))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens: the short ones are merged side by side, longer ones by the heap."""
+        out = [b""] * len(words)
+        order = sorted(range(len(words)), key=list(map(len, words)).__getitem__)
+        short = [i for i in order if len(words[i]) <= SHORT]
+        for i in order[len(short) :]:
+            out[i] = self.merged(words[i].decode("utf-8"))
+        for k in range(0, len(short), 4096):
+            block = short[k : k + 4096]
+            ids, n = self.vocabulary.ids_of_block([words[i] for i in block])
+            flat = ids[np.arange(ids.shape[1]) < n[:, None]].astype("<u4").tobytes()
+            ends = (np.cumsum(n) * 4).tolist()
+            for i, a, b in zip(block, [0, *ends], ends):
+                out[i] = flat[a:b]
+        return out
+
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Give each chunk that may come after a blank its ids, or None if it holds white space but a line end in front.
+
+        New words are looked up in the transducer at once. Those it doesn't hold are merged. Returns the chunks that are
+        too long to be kept beyond this batch.
+        """
+        later, words = self.later, self.words
+        if len(later) + len(chunks) > 300_000:
+            later.clear()
+        new = chunks - later.keys()
+        letters, others, plain = [], {}, []
+        for c in new:
+            if c.isalpha():  # one pre-token
+                letters.append(c)
+            elif c[:1] != "\n":
+                plain.append(c)
+            elif c[1:].split() == [c[1:]]:
+                others[c] = bpe.words(c[1:])
             else:
-                out += chain.from_iterable(map(self.word, bpe.words(part)))
+                later[c] = None
+        asked = letters + plain
+        known = self.transducer.found([b" " + c.encode("utf-8") for c in asked])
+        later.update(zip(asked, known))
+        unseen = [c for c, ids in zip(letters, known) if ids is None]
+        later.update(zip(unseen, self.merge_all([b" " + c.encode("utf-8") for c in unseen])))
+        for c, ids in zip(plain, known[len(letters) :]):
+            if ids is None:
+                if c[-1:] in ENDS and c[:-1].isalpha():
+                    others[c] = [" " + c[:-1], c[-1]]
+                elif c.split() == [c]:
+                    others[c] = bpe.words(" " + c)
+        wanted = [w for w in set(chain.from_iterable(others.values())) if w not in words]
+        if len(words) + len(wanted) > words.most:
+            words.clear()
+            wanted = list(set(chain.from_iterable(others.values())))
+        words.update(zip(wanted, self.merge_all([w.encode("utf-8") for w in wanted])))
+        for c, parts in others.items():
+            ids = b"".join(map(words.__getitem__, parts))
+            later[c] = self.newline + ids if c[0] == "\n" else ids
+        for w in wanted:
+            if len(w) > LONGEST:
+                del words[w]
+        return [c for c in new if len(c) > LONGEST]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [[(part, special, part.replace("\n", " \n").split(" ")) for part, special in self.vocabulary.parts(t) if part] for t in texts]
+        long = self.learn(set(chain.from_iterable(chunks for parts in cut for _, _, chunks in parts)))
+        first, later, words, out = self.first, self.later.__getitem__, self.words.__getitem__, []
+        for parts in cut:
+            runs: list[bytes] = []
+            for part, special, chunks in parts:
+                if special is not None:
+                    runs.append(special.to_bytes(4, "little"))
+                    continue
+                head, own = first[chunks[0]], list(map(later, chunks[1:]))
+                if head is None or None in own:
+                    runs += map(words, bpe.words(part))
+                else:
+                    runs.append(head)
+                    runs += own
+            out.append(np.frombuffer(b"".join(runs), "<u4"))
+        for c in long:
+            del self.later[c]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def spelt(self, ids: list[np.ndarray]) -> list[bytes]:
+        """Each text's ids as decimals with commas between."""
+        found, ends = joined(self.decimals, np.concatenate(ids))
+        return [found[a : max(a, b - 1)].tobytes() for a, b in spans(ids, ends)]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of ids."""
+        found, ends = joined(self.tokens, np.concatenate(ids))
+        return [found[a:b].tobytes().decode("utf-8", "replace") for a, b in spans(ids, ends)]
+
+
+def spans(ids: list[np.ndarray], ends: np.ndarray) -> list[tuple[int, int]]:
+    """Where each text's part of joined strings lies."""
+    at = [0, *np.append(0, ends)[np.cumsum(list(map(len, ids)))].tolist()]
+    return list(zip(at, at[1:]))
 
 
 @functools.lru_cache(maxsize=1)
@@ -234,7 +311,8 @@ def codec(tokenizer: str, file: str) -> Codec:
 def ship_lexicon(docs: DataFrame, tokenizer: str, lexicon_size: int) -> str:
     """Compile the lexicon on the driver (its size is bounded by lexicon_size) and give each executor a copy to map."""
     vocabulary = bpe.vocabulary(tokenizer)
-    arrays = compile_transducer({w: vocabulary.ids(w) for w in frequent_words(docs, lexicon_size)})
+    ids = lambda word: tuple(i for w in bpe.words(word) for i in vocabulary.ids(w))
+    arrays = compile_transducer({w: ids(w) for w in frequent_words(docs, lexicon_size)})
     file = f"lexicon-{uuid.uuid4().hex}.mat"
     path = os.path.join(tempfile.mkdtemp(prefix="spark-tallyloom-"), file)
     save_transducer(arrays, path)
@@ -255,20 +333,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 50_000, k
     def batches(it):
         c = codec(tokenizer, file)
         for b in it:
-            texts = b.column("text").to_pylist()
-            c.learn(texts)
-            n, shas, plain, ids, decoded = [], [], [], [], []
-            for t in texts:
-                own = c.encode(t)
-                back = c.decode(own)
-                n.append(len(own))
-                shas.append(hashlib.sha256(",".join(map(c.numbers.__getitem__, own)).encode()).hexdigest())
-                plain.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
-                if keep_ids:
-                    ids.append(own)
-                    decoded.append(back)
-            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string())]
-            columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep_ids else []
+            if not b.num_rows:
+                continue
+            ids = c.encode(b.column("text").to_pylist())
+            decoded = c.decode(ids)
+            columns = [
+                b.column("doc_id"),
+                pa.array(list(map(len, ids)), pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in c.spelt(ids)], pa.string()),
+                pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in decoded], pa.string()),
+            ]
+            columns += [pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep_ids else []
             yield pa.record_batch(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     return id_and_text(docs).mapInArrow(batches, schema)
