@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,9 +25,12 @@ from tallyloom.llm.bpe import byte_letters
 from tallyloom.llm.common import NULL_ID, Memo, id_and_text, small_batches, table, written
 
 END_ID = 0
+ENDS = frozenset(".,;:!?")  # one of these behind letters is a part of its own
+LONGEST = 64  # characters of a chunk that is kept beyond its batch
 
 # The vocabulary's public splitting pattern, and what keeps a chunk from being split here.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 SPECIAL = regex.compile(r"<\||[^\x21-\x7e\xa1-\xac\xae-\xff]")
 
 
@@ -34,48 +39,74 @@ class Encoder:
 
     A chunk of ASCII and Latin-1 letters and signs is in normal form, so it is lower-cased and split here and its parts
     go to the library's merging alone; any other chunk, and any that might hold a special token, goes through all of it.
+    Ids of chunks and parts are kept, as four bytes each, for as many as `most` of them that are not too long.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
         self.chunks: dict[str, bytes] = {}
+        self.signs = Memo(self.merged, 10_000)
         self.most = most
-        letters = byte_letters()
-        merge = self.tokenizer.model.tokenize
-        self.part = Memo(lambda p: array("I", [t.id for t in merge("".join([letters[b] for b in p.encode()]))]).tobytes(), 300_000)
-
-    def learn(self, texts: list[str]) -> None:
-        chunks = set()
-        for t in texts:
-            chunks.update(t.split())
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.most:
-            self.chunks.clear()
-            new = list(chunks)
-        rest, part = [], self.part
+
+    def merged(self, p: str) -> bytes:
+        spelt = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
+
+    def part(self, p: str) -> bytes:
+        """Ids of one lower-case part, as the splitting pattern cuts them. Letters alone are as if they were a chunk."""
+        if not p.isalpha():
+            return self.signs[p]
+        ids = self.chunks.get(p)
+        if ids is None:
+            ids = self.merged(p)
+            if len(p) <= LONGEST:
+                self.chunks[p] = ids
+        return ids
+
+    def learn(self, chunks: set[str]) -> None:
+        own, part, rest = self.chunks, self.part, []
+        new = chunks - own.keys()
+        if len(own) + len(new) > self.most:
+            own.clear()
+            new = chunks
         for c in new:
             if c.isascii() and c.isalpha():
-                self.chunks[c] = part[c.lower()]
-            elif not SPECIAL.search(c):
-                self.chunks[c] = b"".join([part[p] for p in PARTS.findall(c.lower())])
-            else:
+                own[c] = part(c.lower())
+            elif SPECIAL.search(c):
                 rest.append(c)
+            elif c[-1] in ENDS and c[:-1].isalpha():
+                own[c] = part(c[:-1].lower()) + self.signs[c[-1]]
+            else:
+                own[c] = b"".join(map(part, PARTS.findall(c.lower())))
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
             for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.chunks[c] = array("I", e.ids).tobytes()
+                own[c] = array("I", e.ids).tobytes()
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         """No token of this vocabulary crosses white space. The four separators that Python alone takes for white space
         send a text to the library whole."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), np.uint32).astype("<u4", copy=False)
+        cut = [t.split() for t in texts]
+        chunks = set(chain.from_iterable(cut))
+        self.learn(chunks)
+        found = self.chunks.__getitem__
+        out = []
+        for t, own in zip(texts, cut):
+            if SEPARATORS.search(t):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(found, own)), np.uint32).astype("<u4", copy=False))
+        for c in chunks:
+            if len(c) > LONGEST:
+                self.chunks.pop(c, None)
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -85,16 +116,14 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut only where longer than capacity."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def batches(it):
         e = encoder(tokenizer)
         for b in it:
-            texts = b.column("text").to_pylist()
-            e.learn(texts)
             rows = []
-            for doc, t in zip(b.column("doc_id").to_pylist(), texts):
-                ids = np.append(e.ids(t), np.array([END_ID], "<u4"))
+            for doc, ids in zip(b.column("doc_id").to_pylist(), e.ids(b.column("text").to_pylist())):
+                ids = np.append(ids, np.array([END_ID], "<u4"))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity]
                     rows.append((doc, k, at, len(own), zlib.crc32(own.tobytes())))
