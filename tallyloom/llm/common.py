@@ -22,25 +22,34 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A folder of this application that driver and executors share: in spark.checkpoint.dir, or in the warehouse where that
+    is unset; with a local master, where both are one machine, in its temporary folder."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tallyloom.scratch", "")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-tallyloom-")
+        local = spark.sparkContext.master.startswith("local")
+        root = tempfile.mkdtemp(prefix="spark-tallyloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.tallyloom.scratch", root)
-    return root
+    return f"{root.rstrip('/')}/tallyloom/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: its lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tallyloom/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_root(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written so far. For when its results are stored: they still read from there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches by rows, since texts can be long. Only ever lowers the session's value."""
+    """Bound the Arrow batches by rows; by bytes Spark bounds them itself (arrow.maxBytesPerBatch, 64 MB), so very long texts
+    come few at a time. Only ever lowers the session's value, which Spark reads when a query runs, so it stays lowered."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))

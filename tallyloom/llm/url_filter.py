@@ -33,47 +33,77 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def canonical(url: Column) -> Column:
-    """The address that a server's own redirects lead to: no scheme, fragment or query, no slash or .html at the end."""
-    return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*\z", "")))
+    """The address that a server's own redirects lead to: http, no fragment or query, no slash or .html at the end."""
+    return F.when(url.contains("://"), F.concat(F.lit("http://"), host_of(url), F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*\z", "")))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an address, taken from the page's url where it is relative; null where it leads to no page."""
+    c = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    site = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    plain = F.concat(site, path_of(url))
+    rooted = F.when(c.startswith("/"), c).otherwise(F.concat(F.regexp_replace(path_of(url), r"[^/]*\z", ""), c))
+    rooted = F.when(rooted.startswith("/"), rooted).otherwise(F.concat(F.lit("/"), rooted))
+    path, tail = F.regexp_extract(rooted, r"(?s)^[^?#]*", 0), F.regexp_extract(rooted, r"(?s)[?#].*", 0)
+    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+    steps = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    return (
+        F.when(c == "", None)
+        .when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), c)
+        .when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+        .when(c.startswith("//"), F.concat(F.lit("http:"), c))
+        .when(c.startswith("?") | c.startswith("#"), F.concat(plain, c))
+        .otherwise(F.concat(site, F.array_join(steps, "/"), tail))
+    )
+
+
+# Where a page names another address of its own.
+LINK_TAG, META_TAG = r"<link\b[^>]*>", r"<meta\b[^>]*>"
+IS_CANONICAL, IS_REFRESH = r"""\srel\s*=\s*["']?canonical["'\s/>]""", r"""\shttp-equiv\s*=\s*["']?refresh["'\s/>]"""
+LINK_TARGET, META_TARGET = r"""\shref\s*=\s*["']?([^"'\s>]+)""", r"""url\s*=\s*["']?([^"'\s>]+)"""
+COMMENT = "<!--.*?-->"
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between urls: each page with its canonical form, its canonical link and its refresh redirect.
+    """Edges (a, b) between urls: each page's url with its canonical form, and with the targets of all its canonical links
+    and refresh redirects outside comments, which have canonical forms of their own.
 
-    Relative targets are taken from the page's host. Pages without :// have no edges.
+    Targets resolve as a browser resolves them. Pages without :// have no edges.
     """
-    tag = lambda name, mark: F.regexp_extract("html", rf"(?is)<{name}\b[^>]*{mark}[^>]*>", 0)
-    link = F.regexp_extract(tag("link", r"""rel\s*=\s*["']?canonical["'\s/>]"""), r"""(?is)href\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(tag("meta", r"""http-equiv\s*=\s*["']?refresh["'\s/>]"""), r"""(?is)url\s*=\s*["']?([^"'\s>]+)""", 1)
-    site = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0)
-    absolute = lambda c: F.when(c == "", None).when(c.contains("://"), c).when(c.startswith("//"), F.concat(F.lit("http:"), c)).when(c.startswith("/"), F.concat(site, c))
-    own = canonical(F.col("url"))
-    return pages.where(F.col("url").contains("://")).select(own.alias("a"), F.explode(F.array(canonical(absolute(link)), canonical(absolute(refresh)))).alias("b")).where("b is not null and a <> b").distinct()
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), f"(?s){COMMENT}", "")
+    tags = lambda tag, kind: F.filter(F.regexp_extract_all(html, F.lit(f"(?is){tag}"), F.lit(0)), lambda t: t.rlike(f"(?is){kind}"))
+    target = lambda found, pattern: F.transform(found, lambda t: F.regexp_extract(t, f"(?is){pattern}", 1))
+    every = F.concat(target(tags(LINK_TAG, IS_CANONICAL), LINK_TARGET), target(tags(META_TAG, IS_REFRESH), META_TARGET))
+    found = pages.where(F.col("url").contains("://")).select(F.col("url").alias("a"), every.alias("targets"))
+    out = found.select("a", F.explode("targets").alias("t")).select("a", resolved(F.col("t"), F.col("a")).alias("b")).where(F.col("b").contains("://"))
+    own = found.select("a").union(out.select("b")).distinct()
+    return out.union(own.select("a", canonical(F.col("a")).alias("b"))).where("a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each page.
 
-    Urls with one canonical form, and forms joined by redirects or canonical links, are one site entry. A page that a
-    rule fits takes its verdict, so allow rules hold even among blocked aliases. Any other page is blocked if a url of
-    its entry is blocked by a rule, else allowed. Null urls and urls without :// have empty host and path and are
-    allowed. Repeated rows each give a row; an empty table gives an empty table.
+    A url, the canonical form that its server redirects it to, and what its page redirects or links to as canonical are
+    aliases: they are one component of the graph of these edges. A page that a rule fits takes its verdict, so allow rules
+    hold even among blocked aliases. Any other page is blocked if a rule blocks an alias of its url, else allowed. Null
+    urls and urls without :// have empty host and path and are allowed. Repeated rows each give a row, very long pages are
+    read whole, other columns are left behind whatever their names; an empty table gives an empty table.
     """
     base = pages.select("page_id", "url", F.col("html"))
     edges = written(links(base), "links")
-    node = canonical(F.col("url"))
-    rule, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
-    judged = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), rule.alias("rule"), verdict.alias("verdict"), node.alias("node"))
+    verdict_of = lambda url: rule_of(host_of(url), path_of(url), rules)
+    rule, verdict = verdict_of(F.col("url"))
+    judged = base.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), rule.alias("rule"), verdict.alias("verdict"))
     components = connected_components(edges)
-    forms = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    form_url = F.concat(F.lit("http://"), F.col("node"))
-    blocked = judged.where("verdict = 'block' and node is not null").select("node").union(forms.where(rule_of(host_of(form_url), path_of(form_url), rules)[1] == "block")).distinct()
-    entry = lambda df: df.join(components, "node", "left").withColumn("entry", F.coalesce("component", "node"))
-    bad = entry(blocked).select("entry").distinct().withColumn("bad", F.lit(True))
-    open_nodes = entry(judged.where("verdict is null and node is not null").select("node").distinct())
-    spread = open_nodes.join(bad, "entry").select("node", "bad")
-    out = judged.join(spread, "node", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    blocked = components.where(verdict_of(F.col("node"))[1] == "block").select("component").distinct()
+    # a page that has no alias has only its own rules
+    spread = components.join(blocked, "component", "left_semi").select(F.col("node").alias("url"), F.lit("block").alias("aliases"))
+    out = judged.join(spread, "url", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "aliases", F.lit("allow")).alias("verdict"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,26 +117,29 @@ _FIT = "(p.host = r.rhost or suffix(p.host, '.' || r.rhost)) and starts_with(p.p
 
 def op6_sql() -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-    form = lambda h, p: f"{h} || regexp_replace({p}, '(/index)?(\\.html?)?/*\\z', '')"
-    absolute = lambda c: f"case when {c} = '' then null when contains({c}, '://') then {c} when starts_with({c}, '//') then 'http:' || {c} when starts_with({c}, '/') then regexp_extract(url, '^.*?://[^/?#]*', 0, 's') || {c} end"
-    link = "regexp_extract(regexp_extract(html, '<link\\b[^>]*rel\\s*=\\s*[\"'']?canonical[\"''\\s/>][^>]*>', 0, 'is'), 'href\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1, 'is')"
-    refresh = "regexp_extract(regexp_extract(html, '<meta\\b[^>]*http-equiv\\s*=\\s*[\"'']?refresh[\"''\\s/>][^>]*>', 0, 'is'), 'url\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1, 'is')"
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    tags = lambda tag, kind, target: f"list_transform(list_filter(regexp_extract_all(text, {q(tag)}, 0, 'is'), lambda t: regexp_matches(t, {q(kind)}, 'is')), lambda t: regexp_extract(t, {q(target)}, 1, 'is'))"
+    form = f"'http://' || {_HOST} || regexp_replace({_PATH}, '(/index)?(\\.html?)?/*\\z', '')"
+    scheme = "'^[A-Za-z][A-Za-z0-9+.\\-]*:"
     return f"""
 with recursive rules(rhost, rpath, rverdict) as (values {values}),
-p as (select page_id, url, html, {_HOST} as host, {_PATH} as path from pages),
-n as (select *, case when contains(url, '://') then {form('host', 'path')} end as node from p),
-t as (select node as a, unnest([{absolute(link)}, {absolute(refresh)}]) as url from n where node is not null),
-e as (select distinct a, {form('lower(' + _HOST + ')', _PATH)} as b from t where url is not null),
-both_ways as (select a, b from e where a <> b union select b, a from e where a <> b),
+p as (select page_id, url, {_HOST} as host, {_PATH} as path, regexp_replace(coalesce(html, ''), '{COMMENT}', '', 'gs') as text from pages),
+t as (select url, path, regexp_extract(url, '^.*?://[^/?#]*', 0, 's') as site, replace(unnest(list_concat({tags(LINK_TAG, IS_CANONICAL, LINK_TARGET)}, {tags(META_TAG, IS_REFRESH, META_TARGET)})), '&amp;', '&') as c from p where contains(url, '://')),
+r as (select *, case when starts_with(c, '/') then c else regexp_replace(path, '[^/]*\\z', '') || c end as r from t),
+rooted as (select *, case when starts_with(r, '/') then r else '/' || r end as full_path from r),
+steps as (select *, list_reduce(list_transform(string_split(regexp_extract(full_path, '^[^?#]*', 0, 's'), '/'), lambda x: [x]), lambda kept, x: case when x[1] = '..' then kept[:greatest(len(kept) - 1, 1)] when x[1] = '.' then kept else list_concat(kept, x) end) as kept from rooted),
+targets as (select url as a, case when c = '' then null when regexp_matches(c, {scheme}//') then c when regexp_matches(c, {scheme}') then null when starts_with(c, '//') then 'http:' || c when starts_with(c, '?') or starts_with(c, '#') then site || path || c else site || array_to_string(kept, '/') || regexp_extract(full_path, '[?#].*', 0, 's') end as b from steps),
+found as (select a, b from targets where contains(b, '://')),
+own as (select url from p where contains(url, '://') union select b from found),
+e as (select a, b from found where a <> b union select url, {form} from own where url <> {form}),
+both_ways as (select a, b from e union select b, a from e),
 reach(node, other) as (select a, a from both_ways union select r.node, x.b from reach r join both_ways x on r.other = x.a),
 entries as (select node, min(other) as entry from reach group by node),
 ruled as (select p.page_id, max_by(r.rhost || r.rpath, length(r.rhost || r.rpath)) as rule, max_by(r.rverdict, length(r.rhost || r.rpath)) as rverdict
-          from n p join rules r on {_FIT} group by p.page_id),
-forms as (select node, regexp_extract(node, '^[^/]*') as host, regexp_replace(node, '^[^/]*', '') as path from entries),
-bad_forms as (select p.node, max_by(r.rverdict, length(r.rhost || r.rpath)) as v from forms p join rules r on {_FIT} group by p.node),
-blocked as (select n.node from n join ruled using (page_id) where rverdict = 'block' and n.node is not null union select node from bad_forms where v = 'block'),
-bad as (select distinct coalesce(entry, blocked.node) as entry from blocked left join entries using (node))
-select n.page_id, n.host, n.path, ruled.rule as rule,
-       coalesce(ruled.rverdict, case when coalesce(entries.entry, n.node) in (select entry from bad) then 'block' else 'allow' end) as verdict
-from n left join ruled using (page_id) left join entries on entries.node = n.node
+          from p join rules r on {_FIT} group by p.page_id),
+nodes as (select node, entry, {_HOST.replace('url', 'node')} as host, {_PATH.replace('url', 'node')} as path from entries),
+bad as (select distinct entry from (select p.node, p.entry, max_by(r.rverdict, length(r.rhost || r.rpath)) as v from nodes p join rules r on {_FIT} group by 1, 2) where v = 'block')
+select p.page_id, p.host, p.path, ruled.rule as rule,
+       coalesce(ruled.rverdict, case when entries.entry in (select entry from bad) then 'block' else 'allow' end) as verdict
+from p left join ruled using (page_id) left join entries on entries.node = p.url
 """
