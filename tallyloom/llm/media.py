@@ -25,8 +25,10 @@ DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1
 SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xB5, 0x9F, 0x6264, 0x23E383
-CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+CONTENT_ENCODINGS, CONTENT_ENCODING, COMPRESSION, COMPRESSION_KIND, COMPRESSION_SETTINGS = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255
+HEADER_STRIPPING = 3
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 FRAME = 576  # samples in a packet; at 8,000 a second 72 ms
@@ -96,9 +98,11 @@ def store_samples(payload: bytes) -> bytes:
 
 @dataclass
 class Media:
-    """What was found: packets as (track, ticks, start, size, key frame, cluster), tracks and cues."""
+    """What was found: packets as (track, ticks, start, size, key frame, cluster), their times and durations in nanoseconds,
+    tracks, and cues as (ticks, track, place of the cluster). A cluster is named by the byte that it starts at."""
 
     packets: list[tuple[int, int, int, int, bool, int]] = field(default_factory=list)
+    times: list[tuple[int, int | None]] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     scale: int = 1_000_000
@@ -120,12 +124,12 @@ def variable(data, at: int, keep_marker: bool = False) -> tuple[int | None, int]
     return (None if n == (1 << 7 * length) - 1 else n), at + length
 
 
-MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
+MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, CONTENT_ENCODINGS, CONTENT_ENCODING, COMPRESSION}
 TOP = {INFO, TRACKS, CLUSTER, CUES, SEGMENT, EBML, 0x114D9B74, 0x1254C367, 0x1941A469, 0x1043A770}  # what ends an unknown size
 
 
 def elements(data, start: int, end: int, ends=frozenset()):
-    """(id, body start, body end, size known) of the elements side by side in a range; one of `ends` ends it early."""
+    """(id, body start, body end, size known, start) of the elements side by side in a range; one of `ends` ends it early."""
     at = start
     while at < end:
         ident, body = variable(data, at, True)
@@ -135,10 +139,10 @@ def elements(data, start: int, end: int, ends=frozenset()):
         stop = end if size is None else body + size
         if stop > end:
             raise ValueError(f"element {ident:#x} at byte {at} is cut")
-        yield ident, body, stop, size is not None
+        yield ident, body, stop, size is not None, at
         if size is None:
             at = body
-            for _, _, at, _ in elements(data, body, end, ends_of(ident)):
+            for _, _, at, *_ in elements(data, body, end, ends_of(ident)):
                 pass
         else:
             at = stop
@@ -193,45 +197,63 @@ def parse(data: bytes) -> Media:
     """Parse a file as far as it is sound; what stopped it is in faults."""
     media = Media()
 
-    def block(start: int, end: int, time: int, cluster: int, key: bool | None) -> None:
+    def block(start: int, end: int, time: int, cluster: int, key: bool | None, ticks: int | None = None) -> None:
+        """Packets of a block. A simple block says itself whether it is a key frame. A duration is given by the block for
+        all of its frames, or by the track for each."""
         track, at = variable(data, start)
         relative, flags = struct.unpack_from(">hB", data, at)
-        lacing = flags >> 1 & 3
-        step = media.tracks.get(track, {}).get("default_ns", 0) // media.scale
-        for i, (s, n) in enumerate(frames_of(data, at + 3, end, lacing)):
-            media.packets.append((track, time + relative + i * step, s, n, bool(flags & 0x80) if key is None else key, cluster))
+        frames = frames_of(data, at + 3, end, flags >> 1 & 3)
+        each = media.tracks.get(track, {}).get("default_ns", 0)
+        own = ticks * media.scale // len(frames) if ticks is not None else each or None
+        for i, (s, n) in enumerate(frames):
+            ns = (time + relative) * media.scale + i * (each or own or 0)
+            media.packets.append((track, ns // media.scale, s, n, bool(flags & 0x80) if key is None else key, cluster))
+            media.times.append((ns, own))
 
     def walk(start: int, end: int, ends, state: dict) -> None:
-        for ident, s, e, known in elements(data, start, end, ends):
+        for ident, s, e, known, at in elements(data, start, end, ends):
             if ident in MASTERS:
-                inner = dict(state)
+                inner = state
                 if ident == SEGMENT:
                     media.segment = s
                 elif ident == CLUSTER:
-                    inner["cluster"], inner["time"] = s, 0
+                    inner = {**state, "cluster": at, "time": 0}
                 elif ident == TRACK_ENTRY:
-                    inner["entry"] = {}
+                    inner = {**state, "entry": {}}
                 elif ident == CUE_POINT:
-                    inner["cue"] = [0, 0, 0]
-                if ident in (AUDIO, CUE_TRACK_POSITIONS):
-                    inner = state
-                walk(s, e, frozenset() if known else ends_of(ident), inner)
+                    inner = {**state, "cue": [0, []]}
+                elif ident == CUE_TRACK_POSITIONS and "cue" in state:
+                    state["cue"][1].append([0, 0])
+                elif ident == BLOCK_GROUP:
+                    inner = {**state, "group": {}}
+                try:
+                    walk(s, e, frozenset() if known else ends_of(ident), inner)
+                finally:  # what was sound before a damage counts
+                    if ident == BLOCK_GROUP and "block" in inner["group"]:
+                        group = inner["group"]
+                        block(*group["block"], state["time"], state["cluster"], "reference" not in group, group.get("duration"))
                 if ident == TRACK_ENTRY:
                     media.tracks[inner["entry"].get("number", 0)] = inner["entry"]
                 elif ident == CUE_POINT:
-                    media.cues.append(tuple(inner["cue"]))
+                    media.cues += [(inner["cue"][0], *place) for place in inner["cue"][1]]
             elif ident == CLUSTER_TIMESTAMP:
                 state["time"] = number(data, s, e)
             elif ident == SIMPLE_BLOCK:
                 block(s, e, state["time"], state["cluster"], None)
-            elif ident == BLOCK:
-                block(s, e, state["time"], state["cluster"], False)
+            elif ident == BLOCK and "group" in state:
+                state["group"]["block"] = (s, e)
+            elif ident == BLOCK_DURATION and "group" in state:
+                state["group"]["duration"] = number(data, s, e)
+            elif ident == REFERENCE_BLOCK and "group" in state:
+                state["group"]["reference"] = True
             elif ident == TIMESTAMP_SCALE:
                 media.scale = number(data, s, e) or 1_000_000
             elif ident == DURATION:
                 media.duration = real(data, s, e)
-            elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION) and "cue" in state:
-                state["cue"][(CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION).index(ident)] = number(data, s, e)
+            elif ident == CUE_TIME and "cue" in state:
+                state["cue"][0] = number(data, s, e)
+            elif ident in (CUE_TRACK, CUE_CLUSTER_POSITION) and state.get("cue", [0, []])[1]:
+                state["cue"][1][-1][ident == CUE_CLUSTER_POSITION] = number(data, s, e)
             elif "entry" in state:
                 entry = state["entry"]
                 if ident == TRACK_NUMBER:
@@ -246,6 +268,10 @@ def parse(data: bytes) -> Media:
                     entry["rate"] = real(data, s, e)
                 elif ident == BIT_DEPTH:
                     entry["bits"] = number(data, s, e)
+                elif ident == COMPRESSION_KIND:
+                    entry["compression"] = number(data, s, e)
+                elif ident == COMPRESSION_SETTINGS:
+                    entry["settings"] = bytes(data[s:e])
 
     try:
         walk(0, len(data), frozenset(), {"time": 0, "cluster": 0})
@@ -254,29 +280,49 @@ def parse(data: bytes) -> Media:
     return media
 
 
-PACKET = "track int, packet int, timestamp_ns long, start long, size long, keyframe boolean, cluster_start long"
+PACKET = "track int, packet int, timestamp_ns long, duration_ns long, start long, size long, keyframe boolean, cluster_start long, compression int, prefix binary"
+CUE = "track int, timestamp_ns long, cluster_start long"
 
 
-def read_packets(media: DataFrame, key: str, column: str) -> DataFrame:
-    """A packet table: one row per packet of each Matroska value, with track, time and byte range.
-
-    Null and empty values have no packets; damaged ones have the packets before the damage.
-    """
+def _exploded(media: DataFrame, key: str, column: str, schema: str, rows_of) -> DataFrame:
+    """key and the rows that rows_of finds in each value of a column."""
     small_batches(media.sparkSession, 200)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
 
     def batches(it):
         for b in it:
             keys, rows = [], []
-            for k, (key_value, data) in enumerate(zip(b.column(0), b.column(1))):
-                found = parse(data.as_py() or b"")
-                keys += [k] * len(found.packets)
-                rows += [(t, i, time * found.scale, s, n, kf, c) for i, (t, time, s, n, kf, c) in enumerate(found.packets)]
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-            yield pa.record_batch([b.column(0).take(pa.array(keys, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[key, *(x.split()[0] for x in PACKET.split(", "))])
+            for k, data in enumerate(b.column(1)):
+                found = rows_of(parse(data.as_py() or b""))
+                keys += [k] * len(found)
+                rows += found
+            columns = list(zip(*rows)) or [()] * len(fields)
+            yield pa.record_batch([b.column(0).take(pa.array(keys, pa.int64())), *(pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields))], names=[key, *(n for n, _ in fields)])
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, column).mapInArrow(batches, f"`{key}` {kind}, {PACKET}")
+    return media.select(key, column).mapInArrow(batches, f"`{key}` {kind}, {schema}")
+
+
+def read_packets(media: DataFrame, key: str, column: str) -> DataFrame:
+    """A packet table: one row per packet of each Matroska value, with track, time, duration and byte range.
+
+    Ranges are of the bytes as stored. compression is the track's kind of it, or null; where that is header stripping (3)
+    a frame is prefix and then its bytes. Null and empty values have no packets; damaged ones have those before the damage.
+    """
+
+    def rows_of(found: Media) -> list[tuple]:
+        packing = {n: (t.get("compression", 0) if "settings" in t or "compression" in t else None, t.get("settings")) for n, t in found.tracks.items()}
+        packing = {n: (kind, settings if kind == HEADER_STRIPPING else None) for n, (kind, settings) in packing.items()}
+        return [(t, i, ns, length, s, n, kf, c, *packing.get(t, (None, None))) for i, ((t, _, s, n, kf, c), (ns, length)) in enumerate(zip(found.packets, found.times))]
+
+    return _exploded(media, key, column, PACKET, rows_of)
+
+
+def read_cues(media: DataFrame, key: str, column: str) -> DataFrame:
+    """A cue table: one row per place that a cue point names, with track, time and the byte its cluster starts at, which is
+    the cluster_start of that cluster's packets."""
+    return _exploded(media, key, column, CUE, lambda found: [(track, ticks * found.scale, found.segment + at) for ticks, track, at in found.cues])
 
 
 def features(found: Media, data: bytes, payload: bytes) -> str:
@@ -294,7 +340,8 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """Store each text as samples, read the stored bytes back and describe them.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Null and empty texts
-    are one packet of padding; repeated rows each give a row; an empty table gives an empty table.
+    are one packet of padding; very long texts are stored whole; repeated rows each give a row; other columns are left
+    behind whatever their names; an empty table gives an empty table.
     """
     small_batches(docs.sparkSession, 500)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
