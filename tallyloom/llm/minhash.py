@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Memo, id_and_text, small_batches, table, written
-from tallyloom.llm.graph import connected_components
+from tallyloom.llm.graph import connected_components, hot_keys, looked_up
 from tallyloom.llm.repeats import mixed
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5  # at a similarity of 0.8 one pair in 20,000 shares no band
 SIZE = BANDS * ROWS
-BLOCK = 512  # documents of a bucket that are compared at a time
+BLOCK = 512  # documents of a bucket whose texts are compared at a time
+WIDE = 4096  # documents of a bucket whose sketches are compared at a time
+AGREE = 70  # of SIZE components that must agree in 8 bits; at a similarity of 0.8 one pair in 3 * 10^9 has fewer
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 _hashes = Memo(xxhash.xxh3_64_intdigest, 300_000)
@@ -93,7 +95,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b (128 bits that tell different word sequences apart), bands (empty for texts without words)."""
+    """doc_id, a, b (128 bits that tell different word sequences apart), bands (empty for texts without words), and bits, the
+    last 8 bits of each component."""
     small_batches(docs.sparkSession)
 
     def batches(it):
@@ -105,12 +108,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands = band_keys(signatures)
                 sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[2]) for x in found), ">i8").reshape(-1, 2)
                 keys = pa.array([k if len(x[0]) else [] for x, k in zip(found, bands.tolist())], pa.list_(pa.int64()))
+                bits = pa.array([x.tobytes() for x in signatures.astype(np.uint8)], pa.binary())
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(sums[:, 0].astype("i8")), pa.array(sums[:, 1].astype("i8")), keys],
-                    names=["doc_id", "a", "b", "bands"],
+                    [part.column("doc_id"), pa.array(sums[:, 0].astype("i8")), pa.array(sums[:, 1].astype("i8")), keys, bits],
+                    names=["doc_id", "a", "b", "bands", "bits"],
                 )
 
-    return docs.mapInArrow(batches, "doc_id long, a long, b long, bands array<long>")
+    return docs.mapInArrow(batches, "doc_id long, a long, b long, bands array<long>, bits binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -172,16 +176,47 @@ def block_links(ids: np.ndarray, component: np.ndarray, texts: list[str], simila
     return a, b
 
 
-def bucket_links(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+def near_in_sketch(component: np.ndarray, bits: np.ndarray, block: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents that agree in AGREE components with one of another component, and the two blocks that they meet in. Where
+    there are two parts, only documents of different parts are compared."""
+    who, low, high = [], [], []
+    values, label, n = np.unique(component, return_inverse=True, return_counts=True)
+    part = part if part.min() < part.max() else np.arange(len(part))
+    for x in np.flatnonzero(label != n.argmax()):
+        near = np.flatnonzero(((bits == bits[x]).sum(axis=1) >= AGREE) & (label != label[x]) & (part != part[x]))
+        for y in near:
+            who += [x, y]
+        pair = np.repeat(np.stack([np.minimum(block[x], block[near]), np.maximum(block[x], block[near])]), 2, axis=1)
+        low.append(pair[0])
+        high.append(pair[1])
+    if not who:
+        return (np.array([], np.int64),) * 3
+    found = np.unique(np.stack([np.array(who, np.int64), np.concatenate(low), np.concatenate(high)]), axis=1)
+    return found[0], found[1], found[2]
+
+
+def bucket_links(rows: DataFrame, sketched: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Verified links (a, b) between different components in the same bucket.
 
-    A bucket is cut into blocks of about BLOCK documents and each two blocks are compared in a task of their own, so no
-    bucket is too large for one, and only links leave it.
+    A bucket is cut into blocks, and each two blocks are compared in a task of their own, so no bucket is too large for
+    one. Sketches of 125 bytes are compared first, in wide blocks. Only documents with a likely partner there go on, to
+    the narrow blocks that hold both, where their texts are compared exactly; only links leave a task.
     """
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "key"), n).cast("int")
-    cells = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).join(texts, "doc_id")
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", "text")
+    count = lambda size: F.ceil(F.col("n") / size).cast("int")
+    spread = F.xxhash64("doc_id", "key")
+    base = rows.select("key", "doc_id", "component", "n", F.pmod(spread, count(BLOCK)).cast("int").alias("block"), F.pmod(F.shiftright(spread, 20), count(WIDE)).cast("int").alias("own"))
+    wide = base.join(sketched.select("doc_id", "bits").dropDuplicates(["doc_id"]), "doc_id")
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), count(WIDE) - 1)))
+    wide = wide.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", "block", "own", "bits")
+
+    def sieve(t: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, SIZE)
+        who, low, high = near_in_sketch(t.column("component").to_numpy(), bits, t.column("block").to_numpy(), t.column("own").to_numpy())
+        ids, component = t.column("doc_id").to_numpy()[who], t.column("component").to_numpy()[who]
+        return pa.table({"key": np.full(len(who), t.column("key")[0].as_py(), np.int64), "i": low.astype(np.int32), "j": high.astype(np.int32), "doc_id": ids, "component": component})
+
+    likely = wide.groupBy("key", "i", "j").applyInArrow(sieve, "key long, i int, j int, doc_id long, component long")
+    cells = written(likely.distinct(), "likely").join(texts, "doc_id")
 
     def compare(t: pa.Table) -> pa.Table:
         a, b = block_links(t.column("doc_id").to_numpy(), t.column("component").to_numpy(), t.column("text").to_pylist(), similar)
@@ -199,20 +234,24 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     a group of near copies by as many pairs as it has members; texts of a bucket that are then still in different
     components are compared among each other, block by block. So every linked pair that shares a band counts.
 
-    Null and empty texts have no words and are one class. Rows that share a doc_id are one document. A row without a
-    doc_id is in no class: its class_id is null. An empty table gives an empty table.
+    A bucket or a text that very many documents share is met where these lie (graph.looked_up).
+
+    Null and empty texts have no words and are one class; very long texts are compared whole. Rows that share a doc_id are
+    one document. A row without a doc_id is in no class: its class_id is null. Other columns are left behind whatever their
+    names. An empty table gives an empty table.
     """
     base = id_and_text(docs)
     sketched = written(sketches(base.where("doc_id is not null")), "sketches")
     heads = sketched.groupBy("a", "b").agg(F.min("doc_id").alias("head"))
-    member = written(sketched.select("doc_id", "a", "b").join(heads, ["a", "b"]).select("doc_id", "head").distinct(), "members")
+    member = written(looked_up(sketched.select("doc_id", "a", "b"), heads, hot_keys(sketched, "a", "b")).select("doc_id", "head").distinct(), "members")
     same_id = member.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     bands = sketched.join(member.where("doc_id = head").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key")).distinct()
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(bands.join(shared, "key").select("key", "doc_id", "n"), "buckets")
+    sizes = written(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    hot = written(hot_keys(bands, "key"), "hot")
+    buckets = written(looked_up(bands, sizes, hot).select("key", "doc_id", "n"), "buckets")
     weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     centre = buckets.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("weight", "doc_id"))["doc_id"].alias("centre"))
-    spokes = buckets.join(centre, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+    spokes = looked_up(buckets, centre, hot).where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
     tried = written(spokes.distinct(), "pairs")
     candidates = written(buckets.select("doc_id").distinct(), "candidates")  # of known size, so a small one spares the texts a shuffle
     texts = written(base.join(candidates, "doc_id", "left_semi"), "texts")
@@ -220,19 +259,20 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     component = connected_components(links)
     placed = buckets.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     open_keys = placed.where("n > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    unsettled = written(placed.join(open_keys, "key"), "unsettled")
-    more = written(bucket_links(unsettled, texts, similar), "links")
+    unsettled = written(looked_up(placed, open_keys, hot), "unsettled")
+    more = written(bucket_links(unsettled, sketched, texts, similar), "links")
     classes = connected_components(links.union(more).union(same_id))
     out = base.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id; of repeated doc_ids one row stays, rows without an id all."""
+    """docs without the rows whose class has a smaller doc_id. Of rows that share a doc_id the one whose columns have the
+    least hash stays, the same in every run; rows without an id all stay."""
     classes = near_duplicates(docs)
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    held = docs.select(F.col("doc_id").cast("long").alias("kept_id"), F.struct("*").alias("row"))
-    first = held.join(kept, "kept_id").groupBy("kept_id").agg(F.first("row").alias("row")).select("row.*")
+    held = docs.select(F.col("doc_id").cast("long").alias("kept_id"), F.struct("*").alias("row"), F.xxhash64("*").alias("order"))
+    first = held.join(kept, "kept_id").groupBy("kept_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
     return first.union(docs.where("doc_id is null"))
 
 
