@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import SPACES, narrow, text, trimmed
+from tallyloom.functions.text import SPACES, bound, narrow, text, trimmed
 
 # First years of the eras.
 ERAS = {"明治": 1868, "大正": 1912, "昭和": 1926, "平成": 1989, "令和": 2019, "M": 1868, "T": 1912, "S": 1926, "H": 1989, "R": 2019}
@@ -16,29 +16,35 @@ COMPACT_DATE = r"^([0-9]{4})([0-9]{2})([0-9]{2})\z"
 
 def date(c: Column) -> Column:
     """Era dates, yyyy[./-]m[./-]d and yyyymmdd as YYYY-MM-DD; anything else as it was, trimmed."""
-    v = F.regexp_replace(narrow(trimmed(c)), f"[{SPACES}]+", "")
-    part = lambda pattern, i: F.regexp_extract(v, pattern, i)
+    part = lambda v, pattern, i: F.regexp_extract(v, pattern, i)
     two = lambda x: F.lpad(x, 2, "0")
     era = F.create_map(*[F.lit(x) for pair in ERAS.items() for x in pair])
-    year = (F.element_at(era, part(ERA_DATE, 1)) + part(ERA_DATE, 2).cast("int") - 1).cast("string")
-    return (
-        F.when(v.rlike(ERA_DATE), F.concat_ws("-", year, two(part(ERA_DATE, 3)), two(part(ERA_DATE, 4))))
-        .when(v.rlike(PLAIN_DATE), F.concat_ws("-", part(PLAIN_DATE, 1), two(part(PLAIN_DATE, 2)), two(part(PLAIN_DATE, 3))))
-        .when(v.rlike(COMPACT_DATE), F.concat_ws("-", part(COMPACT_DATE, 1), part(COMPACT_DATE, 2), part(COMPACT_DATE, 3)))
-        .otherwise(trimmed(c))
-    )
+
+    def spelt(v: Column, kept: Column) -> Column:
+        year = (F.element_at(era, part(v, ERA_DATE, 1)) + part(v, ERA_DATE, 2).cast("int") - 1).cast("string")
+        return (
+            F.when(v.rlike(ERA_DATE), F.concat_ws("-", year, two(part(v, ERA_DATE, 3)), two(part(v, ERA_DATE, 4))))
+            .when(v.rlike(PLAIN_DATE), F.concat_ws("-", part(v, PLAIN_DATE, 1), two(part(v, PLAIN_DATE, 2)), two(part(v, PLAIN_DATE, 3))))
+            .when(v.rlike(COMPACT_DATE), F.concat_ws("-", part(v, COMPACT_DATE, 1), part(v, COMPACT_DATE, 2), part(v, COMPACT_DATE, 3)))
+            .otherwise(kept)
+        )
+
+    return bound(trimmed(c), lambda t: bound(F.regexp_replace(narrow(t), f"[{SPACES}]+", ""), lambda v: spelt(v, t)))
 
 
 def date_fault(c: Column) -> Column:
     """Why a normalised date is not one, or null. Days up to 31 pass in any month."""
-    c = text(c)
-    year, month, day = (F.substring(c, a, n).try_cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
-    return (
-        F.when(c == "", F.lit(None).cast("string"))
-        .when(~c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.lit("not in YYYY-MM-DD format"))
-        .when(~month.between(1, 12) | ~day.between(1, 31), F.lit("invalid date"))
-        .when(~year.between(1900, 2100), F.concat(F.lit("year "), year.cast("string"), F.lit(" out of range")))
-    )
+
+    def fault(c: Column) -> Column:
+        year, month, day = (F.substring(c, a, n).try_cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
+        return (
+            F.when(c == "", F.lit(None).cast("string"))
+            .when(~c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.lit("not in YYYY-MM-DD format"))
+            .when(~month.between(1, 12) | ~day.between(1, 31), F.lit("invalid date"))
+            .when(~year.between(1900, 2100), F.concat(F.lit("year "), year.cast("string"), F.lit(" out of range")))
+        )
+
+    return bound(text(c), fault)
 
 
 def excel_date(c: Column) -> Column:

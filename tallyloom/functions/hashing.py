@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,20 +22,27 @@ def row_fingerprint(file_hash: Column, row_index: Column, cells: Column) -> Colu
     return F.sha2(F.concat_ws(NUL, file_hash, row_index.cast("string"), F.array_join(cells, "|", "")), 256)
 
 
-def structural_fingerprint(fields: list[str], trim: bool = True) -> Column:
-    """Of name=value lines of the business fields, in the order of their names."""
-    value = trimmed if trim else text
-    named = [F.concat(F.lit(f"{f}="), value(F.col(f"`{f}`"))) for f in sorted(fields) if not f.startswith("_")]
+def cell(name: str) -> Column:
+    return trimmed(F.col(f"`{name}`"))
+
+
+def raw_cell(name: str) -> Column:
+    return text(F.col(f"`{name}`"))
+
+
+def structural_fingerprint(fields: list[str], value: Callable[[str], Column] = cell) -> Column:
+    """Of name=value lines of the business fields, in the order of their names. value gives a field's text: trimmed, as it
+    is (raw_cell), or a column that holds it already."""
+    named = [F.concat(F.lit(f"{f}="), value(f)) for f in sorted(fields) if not f.startswith("_")]
     return F.sha2(F.concat_ws("\n", *named), 256)
 
 
-def pairs(fields: list[str], present: list[str], ordered: bool = False) -> Column:
+def pairs(fields: list[str], present: list[str], ordered: bool = False, value: Callable[[str], Column] = cell) -> Column:
     """name=value of the fields that are there and not blank, joined by a bar."""
     known = [f for f in fields if f in present]
     if not known:
         return F.lit("")
-    items = F.array(*[F.when(trimmed(F.col(f"`{f}`")) != "", F.concat(F.lit(f"{f}="), trimmed(F.col(f"`{f}`")))) for f in known])
-    items = F.array_compact(items)
+    items = F.filter(F.array(*[F.concat(F.lit(f"{f}="), value(f)) for f in known]), lambda x: F.instr(x, "=") < F.length(x))
     return F.array_join(F.array_sort(items) if ordered else items, "|")
 
 

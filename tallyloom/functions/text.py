@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ STORE_SUFFIXES = "支店|本店|営業所|出張所|店舗|店"
 _EDGE = "[" + SPACES + "]+"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it. Expressions nested without it grow by what each repeats, until
+    the code generated for them no longer compiles."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -33,12 +41,15 @@ def trimmed(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return trimmed(c) == ""
+    return ~text(c).rlike(f"[^{SPACES}]")
 
 
 def first_nonblank(*columns: Column) -> Column:
     """The first value that is not blank, trimmed; blank if there is none."""
-    return F.coalesce(*[F.nullif(trimmed(c), F.lit("")) for c in columns], F.lit("")) if columns else F.lit("")
+    if not columns:
+        return F.lit("")
+    filled = F.filter(F.transform(F.array(*[text(c) for c in columns]), trimmed), lambda v: v != "")
+    return F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
 
 
 def narrow(c: Column) -> Column:
@@ -48,10 +59,15 @@ def narrow(c: Column) -> Column:
 
 def wide_kana(c: Column) -> Column:
     """Half-width kana to full-width, a following mark joined to the kana that take it."""
-    for marks, mark in ((VOICED, "ﾞ"), (HALF_VOICED, "ﾟ")):
-        for half, full in marks.items():
-            c = F.replace(c, F.lit(half + mark), F.lit(full))
-    return F.translate(c, HALF_KANA, FULL_KANA)
+
+    def joined(v: Column) -> Column:
+        out = v
+        for marks, mark in ((VOICED, "ﾞ"), (HALF_VOICED, "ﾟ")):
+            for half, full in marks.items():
+                out = F.replace(out, F.lit(half + mark), F.lit(full))
+        return F.when(v.rlike("[ﾞﾟ]"), out).otherwise(v)
+
+    return F.translate(bound(c, joined), HALF_KANA, FULL_KANA)
 
 
 def tidy(c: Column) -> Column:
@@ -67,7 +83,11 @@ def normal_text(c: Column) -> Column:
 
 
 def company_name(c: Column) -> Column:
-    c = normal_text(c)
+    return company_of_normal(normal_text(c))
+
+
+def company_of_normal(c: Column) -> Column:
+    """company_name of what is normal text already."""
     for short, sign, full in LEGAL_FORMS:
         for pattern in [rf"^[(（]{short}[)）]", rf"[(（]{short}[)）]\z", *([rf"^{sign}", rf"{sign}\z"] if sign else [])]:
             c = F.regexp_replace(c, pattern, full)
@@ -80,7 +100,12 @@ def company_key(c: Column) -> Column:
 
 
 def address(c: Column) -> Column:
-    return trimmed(F.regexp_replace(normal_text(c), rf"^[〒{SPACES}]*([0-9]{{3}})-?([0-9]{{4}})[{SPACES}]*", "$1-$2 "))
+    return address_of_normal(normal_text(c))
+
+
+def address_of_normal(c: Column) -> Column:
+    """address of what is normal text already."""
+    return trimmed(F.regexp_replace(c, rf"^[〒{SPACES}]*([0-9]{{3}})-?([0-9]{{4}})[{SPACES}]*", "$1-$2 "))
 
 
 def address_key(c: Column) -> Column:
@@ -103,33 +128,30 @@ def email(c: Column) -> Column:
 def email_fault(c: Column) -> Column:
     """Why a normalised address is not one, or null."""
     part = f"[^@{SPACES}]+"
-    return F.when((text(c) != "") & ~text(c).rlike(rf"^{part}@{part}\.{part}\z"), F.lit("invalid email format"))
+    return F.when(~text(c).rlike(rf"^({part}@{part}\.{part})?\z"), F.lit("invalid email format"))
 
 
 def phone(c: Column) -> Column:
     """Digits only; +81, or 81 before ten or more digits, becomes 0."""
-    c = narrow(trimmed(c))
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    plus = c.startswith("+")
-    return (
-        F.when(plus & digits.startswith("81"), F.concat(F.lit("0"), F.substring(digits, 3, 1 << 20)))
-        .when(plus, F.concat(F.lit("+"), digits))
-        .when(digits.startswith("81") & (F.length(digits) >= 12), F.concat(F.lit("0"), F.substring(digits, 3, 1 << 20)))
-        .otherwise(digits)
-    )
+    digits = F.regexp_replace(narrow(trimmed(c)), r"(?!^\+)[^0-9]", "")
+    return F.regexp_replace(digits, r"^(\+81|81(?=[0-9]{10,}\z))", "0")
 
 
 def phone_fault(c: Column) -> Column:
-    c = text(c)
-    n = F.length(c)
-    counted = lambda what: F.concat(F.lit(f"too {what} ("), n.cast("string"), F.lit(" digits)"))
-    return (
-        F.when(c == "", F.lit(None).cast("string"))
-        .when(~c.rlike(r"^[0-9]+\z"), F.lit("contains non-digit characters"))
-        .when(n < 10, counted("short"))
-        .when(n > 11, counted("long"))
-        .when(~c.startswith("0"), F.lit("does not start with 0"))
-    )
+    """Why a normalised number is not one, or null."""
+
+    def fault(c: Column) -> Column:
+        n = F.length(c)
+        counted = lambda what: F.concat(F.lit(f"too {what} ("), n.cast("string"), F.lit(" digits)"))
+        return (
+            F.when(c == "", F.lit(None).cast("string"))
+            .when(~c.rlike(r"^[0-9]+\z"), F.lit("contains non-digit characters"))
+            .when(n < 10, counted("short"))
+            .when(n > 11, counted("long"))
+            .when(~c.startswith("0"), F.lit("does not start with 0"))
+        )
+
+    return bound(text(c), fault)
 
 
 def preview(c: Column, n: int = 200) -> Column:

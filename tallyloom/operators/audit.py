@@ -9,23 +9,37 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.functions.hashing import cross_source_key
+from tallyloom.operators.settle import settled, with_share
+
+
+CANDIDATES = 50  # customers that a matched call lists; phone_candidates has them all
+
+
+def phone_candidates(customers: DataFrame, phones: list[str], normalized: bool = True) -> DataFrame:
+    """number, customer_id: each customer of each number once, as written or normalised. All of them, however many."""
+    long = customers.select("customer_id", F.explode(F.array(*[text.trimmed(F.col(p)) for p in phones])).alias("number"))
+    return long.withColumn("number", text.phone(F.col("number")) if normalized else F.col("number")).where("number <> ''").distinct()
 
 
 def match_phones(calls: DataFrame, customers: DataFrame, phones: list[str], call_phone: str = "raw_phone") -> DataFrame:
-    """calls with matched_customer_id, candidates and match_type.
+    """calls with matched_customer_id, candidate_count, candidates and match_type.
 
     A call's number is looked up as written, then normalised: exact, normalized, multi_match, no_match, invalid or
     empty. A unique number as written wins even if its normalised form is shared. Candidates are counted per number
-    before the join, so a shared number costs one row.
+    before the join, and only the CANDIDATES smallest ids go with a call, so a number that very many customers share
+    costs no more than any other.
     """
-    long = customers.select("customer_id", F.explode(F.array(*[text.trimmed(F.col(p)) for p in phones])).alias("raw")).where("raw <> ''")
 
-    def index(key: Column, name: str) -> DataFrame:
-        return long.select("customer_id", key.alias(name)).where(F.col(name) != "").groupBy(name).agg(F.array_sort(F.collect_set("customer_id")).alias(f"{name}_ids"))
+    def index(normalized: bool, name: str) -> DataFrame:
+        found = phone_candidates(customers, phones, normalized)
+        counts = found.groupBy("number").agg(F.count("*").alias(f"{name}_n"))
+        first = smallest(found, "number", "customer_id", CANDIDATES)
+        ids = first.groupBy("number").agg(F.array_sort(F.collect_list("customer_id")).alias(f"{name}_ids"))
+        return counts.join(ids, "number").withColumnRenamed("number", name)
 
     out = calls.withColumns({"_raw": text.trimmed(F.col(call_phone)), "_norm": text.phone(F.col(call_phone))})
-    out = out.join(index(F.col("raw"), "_raw"), "_raw", "left").join(index(text.phone(F.col("raw")), "_norm"), "_norm", "left")
-    by_raw, by_norm = F.coalesce(F.size("_raw_ids"), F.lit(0)), F.coalesce(F.size("_norm_ids"), F.lit(0))
+    out = out.join(index(False, "_raw"), "_raw", "left").join(index(True, "_norm"), "_norm", "left")
+    by_raw, by_norm = F.coalesce("_raw_n", F.lit(0)), F.coalesce("_norm_n", F.lit(0))
     kind = (
         F.when(F.col("_raw") == "", "empty")
         .when(by_raw == 1, "exact")
@@ -34,12 +48,20 @@ def match_phones(calls: DataFrame, customers: DataFrame, phones: list[str], call
         .when(F.greatest(by_raw, by_norm) > 1, "multi_match")
         .otherwise("no_match")
     )
-    ids = F.when(by_raw == 1, F.col("_raw_ids")).when(by_norm > 0, F.col("_norm_ids")).otherwise(F.col("_raw_ids"))
-    out = out.withColumns({"normalized_phone": F.col("_norm"), "match_type": kind})
+    of_raw = (by_raw == 1) | (by_norm == 0)
+    ids, number = F.when(of_raw, F.col("_raw_ids")).otherwise(F.col("_norm_ids")), F.when(of_raw, by_raw).otherwise(by_norm)
+    out = out.withColumns({"normalized_phone": F.col("_norm"), "match_type": kind, "_ids": ids, "_number": number.cast("int")})
     some = F.col("match_type").isin("exact", "normalized", "multi_match")
-    out = out.withColumn("candidates", F.when(some, F.array_join(F.transform(ids, lambda x: x.cast("string")), ";")).otherwise(""))
-    out = out.withColumn("candidate_count", F.when(some, F.size(ids)).otherwise(0))
-    return out.withColumn("matched_customer_id", F.when(F.col("match_type").isin("exact", "normalized"), ids[0])).drop("_raw", "_norm", "_raw_ids", "_norm_ids")
+    out = out.withColumn("candidates", F.when(some, F.array_join(F.col("_ids").cast("array<string>"), ";")).otherwise(""))
+    out = out.withColumn("candidate_count", F.when(some, F.col("_number")).otherwise(0))
+    out = out.withColumn("matched_customer_id", F.when(F.col("match_type").isin("exact", "normalized"), F.get("_ids", F.lit(0))))
+    return out.drop("_raw", "_norm", "_raw_n", "_raw_ids", "_norm_n", "_norm_ids", "_ids", "_number")
+
+
+def smallest(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """The rows with the k smallest values of each group. Spark keeps k of a group at most in each task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(value))
+    return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
 SEVERITY = {"multi_match": "high", "no_match": "medium", "invalid": "low"}
@@ -97,22 +119,24 @@ def positional_compare(a: DataFrame, b: DataFrame, columns: list[str], order: st
 
 
 def dictionary(df: DataFrame, column: str, key: str, samples: int = 3) -> DataFrame:
-    """value, n, share and the smallest ids of each value. Ids are kept to `samples` at every step of the aggregation."""
-    low = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, samples)
-    part = df.groupBy(F.col(column).alias("value"), F.pmod(F.xxhash64(key), F.lit(64)).alias("p")).agg(F.count("*").alias("n"), low(key).alias("ids"))
-    out = part.groupBy("value").agg(F.sum("n").alias("n"), F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, samples), ";").alias("sample_ids"))
-    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
+    """value, n, share and the smallest ids of each value. No value's ids are gathered: at every step `samples` are kept."""
+    rows = df.select(F.col(column).alias("value"), F.col(key).alias("_id"))
+    counts = rows.groupBy("value").agg(F.count("*").alias("n"))
+    first = smallest(rows.where("_id is not null").distinct(), "value", "_id", samples)
+    ids = first.groupBy(F.col("value").alias("_value")).agg(F.array_join(F.array_sort(F.collect_list("_id")).cast("array<string>"), ";").alias("sample_ids"))
+    out = counts.join(ids, F.col("value").eqNullSafe(F.col("_value")), "left").drop("_value")
+    return with_share(out.withColumn("sample_ids", F.coalesce("sample_ids", F.lit(""))))
 
 
 def column_profile(df: DataFrame, columns: list[str], order: str = "row_index", most: int = 10_000) -> DataFrame:
-    """field, total, non_empty, missing_rate, distinct_values (at most `most`), capped, smallest, largest."""
+    """field, total, non_empty, missing_rate, distinct_values (at most `most`), capped, exact_distinct, smallest, largest."""
     total = df.agg(F.count("*").alias("total"))
     counts = value_counts(df, columns, order)
     stats = counts.groupBy("field").agg(F.sum("n").alias("non_empty"), F.count("*").alias("d"), F.min("value").alias("smallest"), F.max("value").alias("largest"))
     fields = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
     out = fields.join(stats, "field", "left").join(F.broadcast(total))  # one row
     n = F.coalesce("non_empty", F.lit(0))
-    return out.select("field", "total", n.alias("non_empty"), F.round(1 - n / F.greatest("total", F.lit(1)), 4).alias("missing_rate"), F.least(F.coalesce("d", F.lit(0)), F.lit(most)).alias("distinct_values"), (F.coalesce("d", F.lit(0)) >= most).alias("capped"), "smallest", "largest")
+    return out.select("field", "total", n.alias("non_empty"), F.round(1 - n / F.greatest("total", F.lit(1)), 4).alias("missing_rate"), F.least(F.coalesce("d", F.lit(0)), F.lit(most)).alias("distinct_values"), (F.coalesce("d", F.lit(0)) >= most).alias("capped"), F.coalesce("d", F.lit(0)).alias("exact_distinct"), "smallest", "largest")
 
 
 def value_counts(df: DataFrame, columns: list[str], order: str = "row_index") -> DataFrame:
@@ -173,13 +197,26 @@ def mojibake(df: DataFrame, column: str, key: str) -> DataFrame:
     return df.select(key, count("�").alias("replaced"), latin.alias("latin"), count(r"\x00-\x08\x0B\x0C\x0E-\x1F").alias("control"), ((F.length(c) >= 4) & (latin >= 2)).alias("suspect"))
 
 
+def deletions(c: Column, most: int) -> Column:
+    """A string and all that is left of it with up to `most` characters taken out, each once."""
+    out = last = F.array(c)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.left(s, i - 1), F.substring(s, i + 1, F.length(s))))).otherwise(F.array().cast("array<string>")))))
+        out = F.array_union(out, last)
+    return out
+
+
 def close_names(df: DataFrame, key: str, name: str, block: Column, most: int = 2) -> DataFrame:
-    """a, b, distance: rows of a block whose distinct names are within `most` edits. Equal names meet once, by their first
-    row, and only names of lengths that can be so close are compared."""
-    names = df.groupBy(block.alias("block"), F.col(name).alias("name")).agg(F.min(key).alias("id"))
-    left = names.select("block", F.col("id").alias("a"), F.col("name").alias("x"), F.length("name").alias("n"))
-    right = names.select("block", F.col("id").alias("b"), F.col("name").alias("y"), F.explode(F.sequence(F.length("name") - most, F.length("name") + most)).alias("n"))
-    return left.join(right, ["block", "n"]).where("a < b").withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("a", "b", "distance")
+    """a, b, distance: rows of a block whose distinct names are within `most` edits. Equal names meet once, by their first row.
+
+    Strings within so many edits have a string in common that is left of both when as many characters are taken out, so
+    only names that share one are compared, and a large block of unlike names costs rows in proportion to its size.
+    """
+    names = df.groupBy(block.alias("block"), F.col(name).alias("name")).agg(F.min(key).alias("id")).where("name is not null")
+    parts = names.select("block", "id", "name", F.explode(deletions(F.col("name"), most)).alias("part"))
+    left, right = (parts.select("block", "part", F.col("id").alias(i), F.col("name").alias(n)) for i, n in (("a", "x"), ("b", "y")))
+    pairs = left.join(right, ["block", "part"]).where("a < b").select("a", "b", "x", "y").distinct()
+    return pairs.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("a", "b", "distance")
 
 
 def latest_before(runs: DataFrame) -> DataFrame:
@@ -195,12 +232,14 @@ def latest_before(runs: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     """df with rows numbered from 1 in an order over all of it, without one task that holds all.
 
-    Rows are cut into ranges, counted per range, and numbered within them; what reaches the driver is a count per range.
+    Rows are cut into ranges and sorted there, once, and kept (settled); a row's number is its place in its range and the
+    sizes of the ranges before, of which there is one row each.
     """
-    spread = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
-    base, at = {}, 0
-    for r in sorted(spread.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
-        base[r["_range"]], at = at, at + r["count"]
-    first = F.element_at(F.create_map(*[F.lit(x) for p in (base or {0: 0}).items() for x in p]), F.col("_range"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return spread.withColumn(name, (own + first).cast("long")).drop("_range")
+    at = F.monotonically_increasing_id()  # the range above bit 33, the place in it below
+    spread = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    spread = spread.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    sizes = spread.groupBy("_range").agg(F.count("*").alias("_size"))
+    bases = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    out = spread.join(F.broadcast(bases), "_range")
+    return out.withColumn(name, (F.col("_base") + F.col("_place") + 1).cast("long")).drop("_at", "_range", "_place", "_base")

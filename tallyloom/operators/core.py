@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import dates, text
+from tallyloom.functions import dates, hashing, text
 from tallyloom.functions.hashing import pairs, sha, structural_fingerprint
 
 
@@ -64,16 +64,25 @@ def union_files(*frames: DataFrame) -> DataFrame:
 
 
 def normalize(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
-    """Each business column normalised by what it holds, in one projection."""
-    by_kind = (("phone", text.phone), ("email", text.email), ("company", text.company_name), ("store", text.store_name), ("address", text.address))
-    out = {}
-    for c in business(df):
-        v = text.normal_text(F.col(f"`{c}`"))
-        for kind, function in by_kind:
-            if c in fields.of(df, kind):
+    """Each business column normalised by what it holds, in one projection.
+
+    A column's steps are bound to its value, so the code of the projection grows by columns and not by steps, and columns
+    that nobody asks for are still pruned.
+    """
+    by_kind = (("phone", text.phone), ("email", text.email), ("company", text.company_of_normal), ("address", text.address_of_normal))
+
+    def steps(c: str):
+        kinds = [function for kind, function in by_kind if c in fields.of(df, kind)]
+
+        def apply(v: Column) -> Column:
+            v = text.normal_text(v)
+            for function in kinds:
                 v = function(v)
-        out[c] = dates.date(v) if is_date_column(c) else v
-    return df.withColumns(out)
+            return dates.date(v) if is_date_column(c) else v
+
+        return apply
+
+    return df.withColumns({c: text.bound(F.col(f"`{c}`").cast("string"), steps(c)) for c in business(df)})
 
 
 def quarantine_reason(df: DataFrame, fields: Fields = FIELDS) -> Column:
@@ -88,7 +97,8 @@ def anomalies(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
     """row_index, field, value, reason of phone, e-mail and date values that do not normalise to sound ones."""
     checks = [("phone", fields.value(df, "phone"), lambda v: text.phone_fault(text.phone(v))), ("email", fields.value(df, "email"), lambda v: text.email_fault(text.email(v)))]
     checks += [(c, text.trimmed(F.col(f"`{c}`")), lambda v: dates.date_fault(dates.date(v))) for c in business(df) if is_date_column(c)]
-    found = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), F.when(v != "", fault(v)).alias("reason")) for n, v, fault in checks])
+    judged = lambda n, fault: lambda v: F.struct(F.lit(n).alias("field"), v.alias("value"), F.when(v != "", fault(v)).alias("reason"))
+    found = F.array(*[text.bound(v, judged(n, fault)) for n, v, fault in checks])
     return df.select("row_index", F.inline(found)).where("reason is not null")
 
 
@@ -131,15 +141,20 @@ def fill_forward(df: DataFrame, key: str, carried: list[str], order: str = "row_
     """Adds _filled_<column> for key and carried: the values of the last row so far with a key, all from that one row.
 
     Order is over the whole file. The file is cut into stretches of `bucket` order values, each filled by itself; a
-    stretch's rows before its first key take the last key of the stretches before, of which there is one row each.
+    stretch's rows before its first key take the last key of the stretches before, of which there is one row each. Those
+    rows are cut the same way again, so the one window over all of the file has a row for each `bucket` stretches.
     """
     filled = [key, *carried]
     row = F.when(~text.blank(F.col(key)), F.struct(F.col(order).alias("at"), *[F.col(c).alias(c) for c in filled]))
     cut = df.withColumn("_stretch", F.floor(F.col(order) / bucket))
     within = Window.partitionBy("_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     last = cut.groupBy("_stretch").agg(F.max(row).alias("last"))
-    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    entry = last.select("_stretch", F.last("last", ignorenulls=True).over(before).alias("_entry"))
+    last = last.withColumn("_far", F.floor(F.col("_stretch") / bucket))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    far = last.groupBy("_far").agg(F.max("last").alias("last"))
+    far = far.select("_far", F.last("last", ignorenulls=True).over(before(Window.orderBy("_far"))).alias("_far_entry"))
+    near = F.last("last", ignorenulls=True).over(before(Window.partitionBy("_far").orderBy("_stretch")))
+    entry = last.select("_stretch", "_far", near.alias("_near")).join(far, "_far").select("_stretch", F.coalesce("_near", "_far_entry").alias("_entry"))
     out = cut.withColumn("_own", F.last(row, ignorenulls=True).over(within)).join(entry, "_stretch")
     got = F.coalesce("_own", "_entry")
     return out.withColumns({f"_filled_{c}": got[c] for c in filled}).drop("_own", "_entry", "_stretch")
@@ -184,50 +199,61 @@ class Strategy:
 def identify(df: DataFrame, s: Strategy) -> DataFrame:
     """Adds keys, fingerprints, semantic owner, eligibility and review reason to each record."""
     have = business(df)
-    filled = lambda names: F.coalesce(*[F.when(~text.blank(F.col(f"`{c}`")), F.lit(True)) for c in names if c in have], F.lit(False))
-    native = text.trimmed(F.col(f"`{s.native}`")) if s.native in have else F.lit("")
-    fixed = pairs(list(s.deterministic), have)
-    full = structural_fingerprint(have)
+    at = {c: f"_cell_{i}" for i, c in enumerate(have)}
+    value = lambda c: F.col(at[c])
+    filled = lambda names: F.exists(F.array(*[value(c) for c in names if c in at]), lambda v: v != "") if any(c in at for c in names) else F.lit(False)
     mainline = s.mainline or MAINLINE[s.family]
-    main = structural_fingerprint([f for f in mainline if f in have]) if mainline else full
-    method = F.when(native != "", "native").when(fixed != "", "deterministic").otherwise("fallback")
-    key = (
-        F.when(native != "", sha(f"native\0{s.family}\0{s.native}\0", native))
-        .when(fixed != "", sha(f"deterministic\0{s.family}\0", fixed))
-        .otherwise(sha(f"fallback\0{s.family}\0", full))
+    full = structural_fingerprint(have, value)
+    # each value is trimmed once, and each text that several columns are made of is put together once
+    df = df.withColumns({at[c]: hashing.cell(c) for c in have})
+    df = df.withColumns(
+        {
+            "_native": value(s.native) if s.native in at else F.lit(""),
+            "_fixed": pairs(list(s.deterministic), have, value=value),
+            "_entity": pairs(list(s.entity), have, ordered=True, value=value),
+            "_structural_fingerprint_full": full,
+            "_is_customer": filled(["customer_name", "company_name", "phone", "email"]),
+            "_is_deal": filled(["product", "contract_date", "amount"]),
+            "_weak": ~(filled(SUFFICIENT[s.family][0]) & filled(SUFFICIENT[s.family][1])) if s.family in SUFFICIENT else F.lit(False),
+            "_main": structural_fingerprint([f for f in mainline if f in at], value) if mainline else F.lit(None).cast("string"),
+        }
     )
-    entity = pairs(list(s.entity), have, ordered=True)
-    customer, deal = filled(["customer_name", "company_name", "phone", "email"]), filled(["product", "contract_date", "amount"])
+    customer, deal = F.col("_is_customer"), F.col("_is_deal")
     owner = F.when(customer & deal, "hybrid").when(customer, "customer_like").when(deal, "deal_like").otherwise("unknown")
     if s.family in ("deal_like", "retry_followup"):
         owner = F.lit("deal_like")
     elif s.family in ("call_activity", "visit_activity", "apo_list"):
         owner = F.lit("customer_like")
+    native, fixed, entity = F.col("_native"), F.col("_fixed"), F.col("_entity")
+    key = (
+        F.when(native != "", sha(f"native\0{s.family}\0{s.native}\0", native))
+        .when(fixed != "", sha(f"deterministic\0{s.family}\0", fixed))
+        .otherwise(sha(f"fallback\0{s.family}\0", F.col("_structural_fingerprint_full")))
+    )
+    df = df.withColumns(
+        {
+            "_source_record_key": key,
+            "_source_record_key_method": F.when(native != "", "native").when(fixed != "", "deterministic").otherwise("fallback"),
+            "_entity_match_key": F.when(entity != "", sha(f"entity\0{s.family}\0", entity)).otherwise(""),
+            "_structural_fingerprint": F.col("_main") if mainline else F.col("_structural_fingerprint_full"),
+            "_semantic_owner": owner,
+        }
+    )
     parent = F.col("_parent") if "_parent" in df.columns else F.lit("not_applicable")
-    weak = ~(filled(SUFFICIENT[s.family][0]) & filled(SUFFICIENT[s.family][1])) if s.family in SUFFICIENT else F.lit(False)
-    master = F.lit(s.family == "customer_master_like")
+    owner, method, master = F.col("_semantic_owner"), F.col("_source_record_key_method"), F.lit(s.family == "customer_master_like")
     reason = (
         F.when(F.lit(s.archive), "archive_mode")
         .when(parent == "ambiguous_parent", "mixed_parent_child_ambiguous")
         .when(F.lit(s.mixed) & (parent != "parent_candidate"), "mixed_parent_child_export")
         .when((method == "fallback") & F.lit("fallback" in s.rules), "fallback_key")
-        .when(weak, "activity_timestamp_insufficient")
+        .when(F.col("_weak"), "activity_timestamp_insufficient")
         .when(master & (owner == "hybrid") & F.lit("owner_hybrid" in s.rules), "semantic_owner_hybrid")
         .when(master & (owner == "unknown") & F.lit("owner_unknown" in s.rules), "semantic_owner_unknown")
         .otherwise("")
     )
-    return df.withColumns(
-        {
-            "_source_record_key": key,
-            "_source_record_key_method": method,
-            "_entity_match_key": F.when(entity != "", sha(f"entity\0{s.family}\0", entity)).otherwise(""),
-            "_structural_fingerprint_full": full,
-            "_structural_fingerprint": main,
-            "_semantic_owner": owner,
-            "_review_reason": reason,
-            "_merge_eligibility": F.when(reason == "", "mainline_ready").when(reason == "archive_mode", "archive_only").otherwise("review"),
-        }
-    )
+    df = df.withColumn("_review_reason", reason)
+    eligibility = F.when(F.col("_review_reason") == "", "mainline_ready").when(F.col("_review_reason") == "archive_mode", "archive_only").otherwise("review")
+    return df.withColumn("_merge_eligibility", eligibility).drop(*at.values(), "_native", "_fixed", "_entity", "_main", "_is_customer", "_is_deal", "_weak")
 
 
 def demote_collisions(df: DataFrame) -> DataFrame:
@@ -272,7 +298,9 @@ MATCH_TYPES = ("phone", "email", "name_company", "name_address", "entity_match",
 
 def match_keys(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
     """row_index, match_type, match_key: every key that a row can be matched by."""
-    v = {k: fields.value(df, k) for k in ("phone", "email", "name", "company", "store", "address")}
+    kinds = ("phone", "email", "name", "company", "store", "address")
+    df = df.withColumns({f"_v_{k}": fields.value(df, k) for k in kinds})
+    v = {k: F.col(f"_v_{k}") for k in kinds}
     organisation = F.when(v["company"] != "", text.company_key(v["company"])).when(v["store"] != "", text.store_key(v["store"]))
     named = lambda key: F.when(v["name"] != "", F.concat(F.lower(v["name"]), F.lit("|"), key))
     own = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import similarity
 from tallyloom.functions.text import trimmed
-from tallyloom.operators.audit import latest_before
+from tallyloom.operators.audit import latest_before, numbered
 
 
 def detect_family(names: DataFrame, weights: dict[str, tuple[str, float]], least: float) -> DataFrame:
@@ -59,14 +59,15 @@ def upsert(memory: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 def stage_impact(dictionary: DataFrame, stages: dict[str, tuple[str, str]]) -> DataFrame:
     """Status values with their stage (certain, doubted or unresolved), and ranked by count times doubt.
 
-    The ranking is over distinct status values.
+    The ranking is over distinct status values, of which there may be any number.
     """
     pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in stages.items() for x in (k, v[i])]), F.col("value"))
     sure = pick(1)
     stage = F.when(sure == "high", pick(0)).when(sure.isNotNull(), F.concat(pick(0), F.lit("?"))).otherwise("unresolved")
     weight = F.when(sure == "high", 1).when(sure == "medium", 2).otherwise(3)
     out = dictionary.withColumn("stage", stage).withColumn("impact", F.col("n") * weight)
-    return out.withColumn("priority_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("impact"), "value")))
+    ranked = numbered(out, [F.desc("impact"), F.col("value")], "priority_rank")
+    return ranked.withColumn("priority_rank", F.col("priority_rank").cast("int"))
 
 
 def run_diff(runs: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ A query takes (spark, sf_dir) and reads the tables there in full.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, hashing, similarity, text
 from tallyloom.operators import audit, core, decisions, reviews
+from tallyloom.operators.settle import with_share
 from tallyloom.plans import duck
 from tallyloom.plans.views import CALLS, CONTACT, DATED, MIXED, view
 
@@ -233,7 +234,7 @@ def deterministic_collisions(n):
 def identity_summary(n):
     d = core.demote_collisions(identified(n))
     counts = d.groupBy(F.col("_source_record_key_method").alias("method"), F.col("_semantic_owner").alias("owner"), F.col("_review_reason").alias("review_reason")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
+    return with_share(counts)
 
 
 @contact_query(f"{_COLLIDED} select owner, count(*) filter (final_reason <> '') as review_rows, count(*) as n, round(count(*) filter (final_reason <> '') / count(*), 4) as review_ratio from demoted group by 1 order by 4 desc, 2 desc, 1 limit 1")
@@ -349,7 +350,7 @@ _CELLS = ", cells as (select row_index, u.field, u.value from (select row_index,
 _FIELDS = "(select unnest([" + ", ".join(f"'{c}'" for c in _PROFILED) + "]) as field)"
 
 
-@contact_query(f"{_CELLS} select f.field, (select count(*) from normalized) as total, cast(coalesce(sum(n), 0) as bigint) as non_empty, round(1 - coalesce(sum(n), 0) / (select count(*) from normalized), 4) as missing_rate, least(count(n), 10000) as distinct_values, count(n) >= 10000 as capped, min(value) as smallest, max(value) as largest from {_FIELDS} f left join counted c on c.field = f.field group by 1")
+@contact_query(f"{_CELLS} select f.field, (select count(*) from normalized) as total, cast(coalesce(sum(n), 0) as bigint) as non_empty, round(1 - coalesce(sum(n), 0) / (select count(*) from normalized), 4) as missing_rate, least(count(n), 10000) as distinct_values, count(n) >= 10000 as capped, count(n) as exact_distinct, min(value) as smallest, max(value) as largest from {_FIELDS} f left join counted c on c.field = f.field group by 1")
 def column_profile(n):
     return audit.column_profile(n, _PROFILED)
 
@@ -376,11 +377,11 @@ def mojibake_scan(spark, sf_dir):
 
 _CUSTOMERS = CONTACT
 _MATCHED = f""", longs as (select row_index as customer_id, {duck.trimmed('phone')} as raw from contact where {duck.filled('phone')}),
-raws as (select raw, list_sort(list(distinct customer_id)) as ids from longs group by 1),
-norms as (select {duck.phone('raw')} as norm, list_sort(list(distinct customer_id)) as ids from longs where {duck.phone('raw')} <> '' group by 1),
+raws as (select raw, list_sort(list(distinct customer_id))[:{audit.CANDIDATES}] as ids, count(distinct customer_id) as c from longs group by 1),
+norms as (select {duck.phone('raw')} as norm, list_sort(list(distinct customer_id))[:{audit.CANDIDATES}] as ids, count(distinct customer_id) as c from longs where {duck.phone('raw')} <> '' group by 1),
 tried as (select c.*, {duck.trimmed('raw_phone')} as r, {duck.phone('raw_phone')} as n from calls c),
-hits as (select t.*, raws.ids as rids, norms.ids as nids, coalesce(len(raws.ids), 0) as nr, coalesce(len(norms.ids), 0) as nn from tried t left join raws on raws.raw = t.r left join norms on norms.norm = t.n),
-typed as (select *, case when r = '' then 'empty' when nr = 1 then 'exact' when length(n) < 10 then 'invalid' when nn = 1 then 'normalized' when greatest(nr, nn) > 1 then 'multi_match' else 'no_match' end as match_type, case when nr = 1 then rids when nn > 0 then nids else rids end as ids from hits),
+hits as (select t.*, raws.ids as rids, norms.ids as nids, coalesce(raws.c, 0) as nr, coalesce(norms.c, 0) as nn from tried t left join raws on raws.raw = t.r left join norms on norms.norm = t.n),
+typed as (select *, case when r = '' then 'empty' when nr = 1 then 'exact' when length(n) < 10 then 'invalid' when nn = 1 then 'normalized' when greatest(nr, nn) > 1 then 'multi_match' else 'no_match' end as match_type, case when nr = 1 or nn = 0 then rids else nids end as ids, case when nr = 1 or nn = 0 then nr else nn end as found from hits),
 matched as (select *, n as normalized_phone, match_type in ('exact', 'normalized', 'multi_match') as is_hit from typed)"""
 
 
@@ -388,11 +389,16 @@ def calls_matched(calls, contact):
     return audit.match_phones(calls, contact.select(F.col("row_index").alias("customer_id"), "phone"), ["phone"])
 
 
-@query(_MATCHED + " select row_index, normalized_phone, match_type, case when is_hit then array_to_string(ids, ';') else '' end as candidates, case when is_hit then cast(len(ids) as int) else 0 end as candidate_count, case when match_type in ('exact', 'normalized') then ids[1] end as matched_customer_id from matched", calls=CALLS, contact=CONTACT)
+@query(_MATCHED + " select row_index, normalized_phone, match_type, case when is_hit then array_to_string(ids, ';') else '' end as candidates, case when is_hit then cast(found as int) else 0 end as candidate_count, case when match_type in ('exact', 'normalized') then ids[1] end as matched_customer_id from matched", calls=CALLS, contact=CONTACT)
 def phone_match_join(calls, contact):
     return calls_matched(calls, contact).select("row_index", "normalized_phone", "match_type", "candidates", "candidate_count", "matched_customer_id")
 
 
+@query(_MATCHED + " select norm as number, customer_id from (select distinct customer_id, " + duck.phone("raw") + " as norm from longs) where norm <> ''", calls=CALLS, contact=CONTACT)
+def phone_candidates(calls, contact):
+    return audit.phone_candidates(contact.select(F.col("row_index").alias("customer_id"), "phone"), ["phone"])
+
+
 _QUEUE = _MATCHED + ", queue as (select *, case match_type when 'multi_match' then 'high' when 'no_match' then 'medium' else 'low' end as severity from matched where match_type in ('multi_match', 'no_match', 'invalid'))"
 
 
@@ -412,7 +418,7 @@ def review_packet(calls, contact):
 def bucket_summary(calls, contact):
     by = calls_matched(calls, contact).groupBy("match_type", "normalized_phone").agg(F.count("*").alias("n"), F.min("call_date").alias("a"), F.max("call_date").alias("b"))
     out = by.groupBy("match_type").agg(F.sum("n").alias("n"), F.count("*").alias("phones"), F.min("a").alias("first_date"), F.max("b").alias("last_date"))
-    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
+    return with_share(out)
 
 
 _FP = "call_date || '|' || call_staff || '|' || left(content, 80) as fp"
@@ -486,8 +492,7 @@ def status_impact_rank(spark, sf_dir):
 
 @query("select o_orderstatus, count(*) as n, round(count(*) / sum(count(*)) over (), 4) as share from orders group by 1")
 def share_of_total(spark, sf_dir):
-    n = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
+    return with_share(table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")))
 
 
 @query("select row_index, customer_name, phone, '' as company_name, 'a' as _source_file from contact where row_index % 3 = 0 union all select row_index, customer_name, '', company_name, 'b' from contact where row_index % 3 = 1 union all select row_index, '', phone, company_name, 'c' from contact where row_index % 3 = 2", contact=CONTACT)
@@ -610,7 +615,7 @@ def candidate_enrichment(calls, contact):
     return reviews.enriched(calls_matched(calls, contact), "candidates", contact, "row_index", F.col("customer_name"), "names").select("row_index", "names")
 
 
-_HIGH = _QUEUE + ", high as (select normalized_phone, count(*) as call_count, min(row_index) as first_row, array_to_string(arg_min(ids, row_index), ';') as candidates, cast(len(arg_min(ids, row_index)) as int) as candidate_count from queue where severity = 'high' group by 1)"
+_HIGH = _QUEUE + ", high as (select normalized_phone, count(*) as call_count, min(row_index) as first_row, array_to_string(arg_min(ids, row_index), ';') as candidates, cast(arg_min(found, row_index) as int) as candidate_count from queue where severity = 'high' group by 1)"
 
 
 @query(_HIGH + " select printf('HR-%04d', row_number() over (order by first_row, normalized_phone)) as review_id, normalized_phone, candidates, candidate_count, call_count, '' as decision_status from high", calls=CALLS, contact=CONTACT)
@@ -629,7 +634,7 @@ _ANSWERED = _HIGH + ", answers as (select normalized_phone, split_part(candidate
 
 
 @query(
-    _ANSWERED + " select row_index, case when chosen is not null then 'manual_resolved' else match_type end as match_type, case when chosen is not null then chosen when match_type in ('exact', 'normalized') then cast(ids[1] as varchar) end as matched_customer_id, case when chosen is not null then 1 when is_hit then cast(len(ids) as int) else 0 end as candidate_count "
+    _ANSWERED + " select row_index, case when chosen is not null then 'manual_resolved' else match_type end as match_type, case when chosen is not null then chosen when match_type in ('exact', 'normalized') then cast(ids[1] as varchar) end as matched_customer_id, case when chosen is not null then 1 when is_hit then cast(found as int) else 0 end as candidate_count "
     "from (select m.*, case when m.match_type = 'multi_match' and m.row_index % 2 = 0 then a.chosen end as chosen from matched m left join answers a using (normalized_phone))",
     calls=CALLS,
     contact=CONTACT,
