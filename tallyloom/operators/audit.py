@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text
+from tallyloom.functions import dates, text
 from tallyloom.functions.hashing import cross_source_key
 from tallyloom.operators.settle import settled, with_share
 
@@ -243,3 +243,197 @@ def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     bases = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     out = spread.join(F.broadcast(bases), "_range")
     return out.withColumn(name, (F.col("_base") + F.col("_place") + 1).cast("long")).drop("_at", "_range", "_place", "_base")
+
+
+# --- two sources of the same activities ------------------------------------------------------------------------------
+
+
+def overlap_conclusion(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row on two sources' activities (call_date, call_staff, content): keys of each, shared ones, by content and by date
+    and staff alone, both rates, and what follows: same_export, partial_overlap or separate_systems."""
+    strict = overlap(a, b, cross_source_key(F.col("call_date"), F.col("call_staff"), F.col("content")))
+    loose = overlap(a, b, F.concat_ws("|", text.text(F.col("call_date")), text.trimmed(text.narrow(F.col("call_staff")))))
+    named = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("a_keys", "b_keys", "shared", "a_only", "b_only")])
+    both = named(strict, "strict").join(F.broadcast(named(loose, "loose")))  # one row each
+    rate = lambda p: F.coalesce(F.col(f"{p}_shared") / F.nullif(F.col(f"{p}_a_keys"), F.lit(0)), F.lit(0.0))
+    conclusion = F.when(rate("strict") > 0.9, "same_export").when((rate("strict") > 0.3) | (rate("loose") > 0.5), "partial_overlap").otherwise("separate_systems")
+    return both.withColumns({"strict_rate": F.round(rate("strict"), 4), "loose_rate": F.round(rate("loose"), 4), "conclusion": conclusion})
+
+
+def merge_policies(marked: DataFrame, a: DataFrame) -> DataFrame:
+    """policy, total_rows, a_rows, b_rows, handled, review_rows: what three ways of merging two sources would keep, from the
+    marks of mark_cross_source."""
+    n = a.agg(F.count("*").alias("a"))
+    b = marked.agg(F.count("*").alias("b"), F.count_if("strict_dup").alias("s"), F.count_if("loose_dup").alias("l"))
+    row = lambda name, kept, handled, review: F.struct(F.lit(name).alias("policy"), (F.col("a") + kept).alias("total_rows"), F.col("a").alias("a_rows"), kept.alias("b_rows"), handled.alias("handled"), review.alias("review_rows"))
+    zero = F.lit(0).cast("long")
+    rows = F.array(row("keep_all", F.col("b"), zero, zero), row("soft_dedupe", F.col("b") - F.col("s"), F.col("s"), F.col("l")), row("a_primary", F.col("b") - F.col("s"), F.col("s"), zero))
+    return b.join(F.broadcast(n)).select(F.inline(rows))
+
+
+def activities(*sources: DataFrame) -> DataFrame:
+    """All sources' activities, one after the other, none taken for another's copy."""
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def active(calls: DataFrame) -> DataFrame:
+    return calls.where("review_status = 'active'")
+
+
+def row_source(file: str, row: Column) -> Column:
+    """A row's place in its file, counted with the header."""
+    return F.concat(F.lit(f"{file}:row_"), (row + 2).cast("string"))
+
+
+def staging(df: DataFrame, file: str, fields: dict[str, str], row: str = "row_index") -> DataFrame:
+    """Columns under their staging names, blank where the file has none, with the file, row and source of each."""
+    have = set(df.columns)
+    named = [(text.trimmed(F.col(f"`{c}`")) if c in have else F.lit("")).alias(n) for n, c in fields.items()]
+    return df.select(*named, F.lit(file).alias("raw_source_file"), (F.col(row) + 2).cast("string").alias("raw_row_origin"), row_source(file, F.col(row)).alias("source_fingerprint"))
+
+
+def staging_calls(df: DataFrame, file: str, fields: dict[str, str], matched: bool, row: str = "row_index") -> DataFrame:
+    """Activities of a source of its own (matched: match_phones has been asked), or of a customer sheet whose rows carry the
+    customer above them (_filled_customer_id)."""
+    out = staging(df, file, fields, row)
+    keys = df.select((F.col(row) + 2).cast("string").alias("raw_row_origin"), *([F.col(c).cast("string").alias(c) for c in ("matched_customer_id", "candidate_count", "match_type")] if matched else [text.text(F.col("_filled_customer_id")).alias("matched_customer_id")]))
+    out = out.join(keys, "raw_row_origin")
+    if not matched:
+        found = F.col("matched_customer_id") != ""
+        out = out.withColumns({"candidate_count": F.when(found, "1").otherwise("0"), "match_type": F.when(found, "fill_forward").otherwise("no_match")})
+    return out.withColumns({"source_kind": F.lit("source_a" if matched else "source_b"), "call_date": dates.date(F.col("call_date"))})
+
+
+def status_final(dictionary: DataFrame, answers: DataFrame) -> DataFrame:
+    """value, stage_before, stage, certainty, revised, basis: each status with the stage that somebody confirmed for it
+    (value, confirmed_stage, confirmed_by), else its own where that is certain, else unresolved."""
+    one = answers.where(~text.blank(F.col("confirmed_stage"))).groupBy("value").agg(F.min(F.struct(text.trimmed(F.col("confirmed_stage")).alias("s"), text.trimmed(F.col("confirmed_by")).alias("b"))).alias("_a"))
+    out = dictionary.join(one, "value", "left")
+    sure, said = F.col("certainty") == "high", F.col("_a.s")
+    stage = F.coalesce(said, F.when(sure, F.coalesce(F.nullif(F.col("stage"), F.lit("")), F.lit("unresolved"))), F.lit("unresolved"))
+    basis = F.when(said.isNotNull(), F.concat(F.lit("hearing:"), F.coalesce(F.nullif(F.col("_a.b"), F.lit("")), F.lit("?")))).when(sure, "inherited").otherwise("provisional")
+    out = out.withColumns({"stage_before": F.col("stage"), "_stage": stage, "basis": basis, "_sure": F.when(said.isNotNull() | sure, "high").otherwise(F.coalesce("certainty", F.lit("low")))})
+    return out.select("value", "stage_before", F.col("_stage").alias("stage"), F.col("_sure").alias("certainty"), (said.isNotNull() & (F.col("_stage") != F.coalesce("stage_before", F.lit("")))).alias("revised"), "basis")
+
+
+# --- columns by name and values --------------------------------------------------------------------------------------
+
+# Parts of column names that tell what a column holds.
+DATE_NAMES = ("日", "時刻", "date", "time", "生年月日", "発送", "到着", "完了", "完工", "申請", "着日", "書着", "許可", "連系", "入金", "納品")
+AMOUNT_NAMES = ("原価", "単価", "料金", "粗利", "金額", "月額", "price", "cost", "amount", "計上")
+PERIOD_NAMES, COUNT_NAMES, QUANTITY_NAMES = ("計上月", "年月"), ("枚数", "品数", "回数"), ("kw",)
+# Patterns of the values that names call for, and of those that tell a type alone.
+DATE_VALUE = r"^([0-9]{4}[/\-][0-9]{1,2}[/\-][0-9]{1,2}|(明治|大正|昭和|平成|令和)[0-9]{1,2}年[0-9]{1,2}月[0-9]{1,2}日)\z"
+TIMED_VALUE = r"^[0-9]+時間|^[0-9]{1,5}(\.[0-9]+)?\z"
+PHONE_VALUE, NUMBER_VALUE = r"^[0-9][0-9\-]{8,12}\z", r"^-?[0-9,.]+\z"
+
+
+def infer_types_by_name(df: DataFrame, columns: list[str]) -> DataFrame:
+    """field, type: what a column's name says, if enough of its values agree; else as most of the values are; empty for none.
+
+    A name that speaks of a time or a duration is believed. Dates need 3 values in 10, other names half, values alone 6.
+    """
+    v = F.col("value")
+    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    tests = {
+        "dated": v.rlike(DATE_VALUE) | v.rlike(TIMED_VALUE),
+        "period": v.rlike(r"^[0-9]{4,6}\z"),
+        "whole": v.rlike(r"^[0-9]+\z"),
+        "decimal": v.rlike(r"^[0-9.]+\z"),
+        "number": v.rlike(NUMBER_VALUE),
+        "date": v.rlike(DATE_VALUE),
+        "phone": v.rlike(PHONE_VALUE) & digits.between(10, 11),
+        "email": v.contains("@"),
+    }
+    # of the value types a value counts for the first that it is
+    alone = {"date": tests["date"], "phone": ~tests["date"] & tests["phone"], "email": ~tests["date"] & ~tests["phone"] & tests["email"]}
+    alone["number"] = ~tests["date"] & ~tests["phone"] & ~tests["email"] & tests["number"]
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), text.trimmed(F.col(f"`{c}`")).alias("value")) for c in columns])
+    seen = df.select(F.inline(cells)).where("value <> ''").groupBy("field").agg(F.count("*").alias("n"), *[F.count_if(t).alias(f"t_{k}") for k, t in tests.items()], *[F.count_if(t).alias(f"a_{k}") for k, t in alone.items()])
+    out = df.sparkSession.createDataFrame([(c,) for c in columns], "field string").join(seen, "field", "left")
+    name = F.lower(text.narrow(F.col("field")))
+    has = lambda words: reduce(lambda a, w: a | F.contains(name, F.lit(w)), words, F.lit(False))
+    share = lambda k: F.col(k) / F.col("n")
+    dated, timed, lasting = has(DATE_NAMES), has(("時刻", "time")), has(("時間",))
+    kind = (
+        F.when(F.col("n").isNull(), "empty")
+        .when(dated & timed & ~lasting, "time")
+        .when(dated & lasting, "duration")
+        .when(dated & (share("t_dated") > 0.3), "date")
+        .when(has(PERIOD_NAMES) & ~dated & (share("t_period") > 0.5), "period")
+        .when(has(AMOUNT_NAMES) & ~dated & (share("t_number") > 0.5), "amount")
+        .when(has(COUNT_NAMES) & (share("t_whole") > 0.5), "count")
+        .when(has(QUANTITY_NAMES) & (share("t_decimal") > 0.5), "quantity")
+    )
+    for k in ("date", "phone", "email", "number"):
+        kind = kind.when(share(f"a_{k}") > 0.6, k)
+    return out.select("field", kind.otherwise("text").alias("type"))
+
+
+def comparable(value: Column, name: str, serial: Column | None = None) -> Column:
+    """A cell of a sheet or a text file in one form, to compare them: dates as YYYY-MM-DD, durations as HH:MM:SS. serial is
+    the sheet's number, where the cell held one."""
+    dated = any(w in name.lower() for w in DATE_NAMES)
+    v = text.trimmed(value)
+    plain = F.when(v.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z"), dates.date(v)).otherwise(dates.duration(v) if dated else v)
+    if serial is None or not dated:
+        return plain
+    return F.when(serial >= 1, dates.excel_date(serial)).when(serial >= 0, dates.excel_time(serial)).otherwise(plain)
+
+
+def row_diagnosis(df: DataFrame, key: str, children: list[str], columns: list[str]) -> DataFrame:
+    """One row: how many rows of a sheet are a master's, a child's, both, neither, and empty."""
+    master = ~text.blank(F.col(key))
+    child = reduce(lambda a, c: a | ~text.blank(F.col(f"`{c}`")), children, F.lit(False))
+    filled = reduce(lambda a, c: a | ~text.blank(F.col(f"`{c}`")), columns, F.lit(False))
+    n = F.count_if
+    return df.agg(F.count("*").alias("rows"), n(master).alias("master_rows"), n(child).alias("child_rows"), n(master & child).alias("master_and_child"), n(~master & ~child).alias("unaccounted"), n(~filled).alias("empty_rows"), F.count_distinct(F.when(master, F.col(key))).alias("masters"))
+
+
+def normalization_candidates(profile: DataFrame) -> DataFrame:
+    """field, type, rule of the columns of a dataset_profile that a normaliser should be used for."""
+    has = lambda *words: reduce(lambda a, w: a | F.contains("field", F.lit(w)), words, F.lit(False))
+    rule = (
+        F.when(F.col("date_candidate"), "date")
+        .when(F.col("phone_candidate"), "phone")
+        .when(has("メール") | (F.col("type") == "email"), "email")
+        .when(has("住所", "address"), "address")
+        .when(has("ﾌﾘｶﾞﾅ", "フリガナ"), "kana")
+        .when(F.col("field") == "時刻", "time")
+        .when(F.col("field") == "日時", "datetime")
+    )
+    return profile.select("field", "type", rule.alias("rule")).where("rule is not null")
+
+
+def review_issues(profile: DataFrame, match_types: DataFrame) -> DataFrame:
+    """code, severity, subject, n: what a dataset's profile and its phone matches leave for people to look at."""
+    rules = [("broken_column", "medium", F.col("field").contains("見つかりません")), ("child_columns", "high", F.col("field").contains("::")), ("serial_dates", "low", F.col("date_candidate") & (F.col("type") == "number")), ("empty_column", "info", F.col("non_empty_rate") == 0)]
+    found = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))) for c, s, t in rules]))
+    columns = profile.select(F.inline(found), F.col("field").alias("subject"), F.lit(1).cast("long").alias("n"))
+    return columns.unionByName(match_types.where("match_type = 'invalid'").groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.lit("invalid_phones").alias("code"), F.lit("medium").alias("severity"), F.lit("phone").alias("subject"), "n"))
+
+
+def columns_drift(runs: DataFrame) -> DataFrame:
+    """run_id, previous_run, added, removed: the columns that a run has beyond the run before it, and those it lacks.
+
+    runs: run_id, source, profile, started_at, columns (array). No previous run, no row.
+    """
+    pairs = latest_before(runs).where("previous_run is not null")
+    old = runs.select(F.col("run_id").alias("previous_run"), F.col("columns").alias("_old"))
+    out = pairs.join(old, "previous_run")
+    return out.select("run_id", "previous_run", F.array_except("columns", "_old").alias("added"), F.array_except("_old", "columns").alias("removed"))
+
+
+def mojibake_verdict(df: DataFrame, columns: list[str], sample: int = 50) -> DataFrame:
+    """field, cells, garbled, ratio, verdict of a sample of a file's first rows: ok, suspect (0.02 of the cells or more) or
+    broken (0.3 or more)."""
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), text.text(F.col(f"`{c}`")).alias("v")) for c in columns])
+    v = F.col("v")
+    latin = F.length(F.regexp_replace(v, "[^À-ÿ]", ""))
+    bad = v.contains("\ufffd") | ((F.length(v) >= 4) & (latin >= 2)) | v.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    by = df.orderBy("row_index").limit(sample).select(F.inline(cells)).where("v <> ''").groupBy("field").agg(F.count("*").alias("cells"), F.count_if(bad).alias("garbled"))
+    ratio = F.col("garbled") / F.col("cells")
+    return by.withColumns({"ratio": F.round(ratio, 4), "verdict": F.when(ratio >= 0.3, "broken").when(ratio >= 0.02, "suspect").otherwise("ok")})

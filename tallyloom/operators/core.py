@@ -116,6 +116,19 @@ PARENT_FIELDS = (
 )
 
 
+def any_filled(df: DataFrame, columns: list[str]) -> Column:
+    return F.exists(F.array(*[text.text(F.col(f"`{c}`")) for c in columns]), lambda v: ~text.blank(v)) if columns else F.lit(False)
+
+
+def parent_fields(df: DataFrame, child_columns: list[str]) -> dict[str, Column]:
+    """What a mixed export's own columns say of a parent: for each field that any of them can name, its first value."""
+    own = [c for c in business(df) if c not in child_columns]
+    names: dict[str, list[str]] = {}
+    for key, _, pattern in PARENT_FIELDS:
+        names.setdefault(key, []).extend(c for c in own if re.match(pattern, c, re.I))
+    return {key: text.first_nonblank(*[F.col(f"`{c}`") for c in columns]) for key, columns in names.items() if columns}
+
+
 def parent_extraction(df: DataFrame, child_columns: list[str]) -> DataFrame:
     """Adds _parent (parent_candidate, child_continuation, ambiguous_parent), _parent_reason and _parent_columns."""
     own = [c for c in business(df) if c not in child_columns]
@@ -270,25 +283,27 @@ def demote_collisions(df: DataFrame) -> DataFrame:
 # --- ledger ----------------------------------------------------------------------------------------------------------
 
 
-def merge(rows: DataFrame, ledger: DataFrame, batch: str, run: str) -> tuple[DataFrame, DataFrame]:
+def merge(rows: DataFrame, ledger: DataFrame, batch: str | Column, run: str, order: str = "row_index") -> tuple[DataFrame, DataFrame]:
     """Rows with their dispositions, and the ledger after them.
 
-    rows: row_index, ledger_key, fp and whatever else; ledger: ledger_key, fp, batch, last_run. Rows of a key are taken in
-    row order: inserted, updated, duplicate (the key's last change came from this batch) or unchanged.
+    rows: ledger_key, fp, the order's column and whatever else; ledger: ledger_key, fp, batch, last_run. Rows of a key are
+    taken in order: inserted, updated, duplicate (the key's last change came from this batch) or unchanged.
     """
     known = ledger.select("ledger_key", F.col("fp").alias("_ledger_fp"), F.col("batch").alias("_ledger_batch"))
-    w = Window.partitionBy("ledger_key").orderBy("row_index")
+    rows = rows.withColumn("_batch", F.lit(batch) if isinstance(batch, str) else batch)
+    batch = F.col("_batch")
+    w = Window.partitionBy("ledger_key").orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(known, "ledger_key", "left").withColumn("_prev", F.coalesce(F.lag("fp").over(w), "_ledger_fp"))
     joined = joined.withColumn("_changed", F.col("_prev").isNull() | (F.col("_prev") != F.col("fp")))
-    joined = joined.withColumn("_batch_then", F.when(F.coalesce(F.max("_changed").over(so_far), F.lit(False)), F.lit(batch)).otherwise(F.col("_ledger_batch")))
+    joined = joined.withColumn("_batch_then", F.when(F.coalesce(F.max("_changed").over(so_far), F.lit(False)), batch).otherwise(F.col("_ledger_batch")))
     label = F.when(F.col("_prev").isNull(), "inserted").when(F.col("_prev") != F.col("fp"), "updated").when(F.col("_batch_then") == batch, "duplicate").otherwise("unchanged")
     reasons = {"inserted": "new_identity", "updated": "existing_changed_fingerprint", "duplicate": "same_batch_same_fingerprint", "unchanged": "existing_same_fingerprint"}
     reason = F.element_at(F.create_map(*[F.lit(x) for p in reasons.items() for x in p]), F.col("disposition"))
     out = joined.withColumn("disposition", label).withColumn("disposition_reason", reason)
-    touched = out.groupBy("ledger_key").agg(F.max_by("fp", "row_index").alias("fp"), F.when(F.max("_changed"), F.lit(batch)).otherwise(F.max("_ledger_batch")).alias("batch"), F.lit(run).alias("last_run"))
+    touched = out.groupBy("ledger_key").agg(F.max_by("fp", order).alias("fp"), F.when(F.max("_changed"), F.max_by(batch, order)).otherwise(F.max("_ledger_batch")).alias("batch"), F.lit(run).alias("last_run"))
     after = ledger.join(touched.select("ledger_key"), "ledger_key", "left_anti").select("ledger_key", "fp", "batch", "last_run").unionByName(touched)
-    return out.drop("_prev", "_changed", "_batch_then", "_ledger_fp", "_ledger_batch"), after
+    return out.drop("_batch", "_prev", "_changed", "_batch_then", "_ledger_fp", "_ledger_batch"), after
 
 
 # --- candidates ------------------------------------------------------------------------------------------------------

@@ -147,15 +147,15 @@ def with_contact(sql: str) -> str:
     return f"with contact as ({duck_view(CONTACT)}), {_NORMALIZED} {sql}"
 
 
-def contact_query(sql: str):
-    """Register a query over the normalised contacts."""
+def contact_query(sql: str, whole: bool = False):
+    """Register a query over the normalised contacts; sql follows their definition, or is whole."""
 
     def register(f):
         def run(spark, sf_dir):
             return f(core.normalize(view(spark, sf_dir, CONTACT)))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
-        _QUERIES[f.__name__], _SQL[f.__name__] = run, with_contact(sql)
+        _QUERIES[f.__name__], _SQL[f.__name__] = run, sql if whole else with_contact(sql)
         return f
 
     return register
@@ -714,3 +714,6 @@ _LOADS = "select row_index, case when row_index % 13 = 0 then 'source_c' when ro
 @query("select row_index, case when source_kind = 'source_c' then 'bad_source_kind' else 'no_date_and_content' end as reject_reason from calls where source_kind = 'source_c' or (call_date = '' and trim(content) = '')", calls=_LOADS)
 def load_rejects(calls):
     return reviews.load_rejects(calls).select("row_index", "reject_reason")
+
+
+from tallyloom.plans import flows  # noqa: E402, F401  registers its queries

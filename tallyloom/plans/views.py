@@ -60,6 +60,28 @@ select o_orderkey as row_index,
 from {{orders}}
 """
 
+FLOW = f"""
+select o_orderkey as row_index,
+  case when o_orderkey % 4 = 0 then concat('C', {_S.format('o_custkey')}) else '' end as customer_id,
+  case when o_orderkey % 4 in (0, 1) then concat('顧客', {_S.format('o_custkey')}) else '' end as customer_name,
+  case when o_orderkey % 8 in (0, 1) then concat('03', {_pad('o_custkey', 8)}) else '' end as phone,
+  case when o_orderkey % 16 = 2 or o_orderkey % 24 = 0 then '東京都' else '' end as address,
+  case when o_orderkey % 5 = 0 then '' else o_orderpriority end as history,
+  case when o_orderkey % 3 = 0 then 'memo' else '' end as note
+from {{orders}}
+"""
+
+_NAMES = ["電話番号", "TEL番号", "メール", "会社名", "氏名", "お名前", "住所", "契約日", "対応日", "対応種別", "リスト名", "商材", "訪問予定", "状況", "進捗状況", "金額", "見積番号", "書類", "原価", "備考", "ID", "作成日", "更新日", "項目1", "項目2", "ｺｰﾙ履歴::日付", "<テーブルが見つかりません>", "メーカー", "営業担当", "結果"]
+HEADERS = f"""
+select c_custkey as column_id,
+  concat('file', {_S.format('c_nationkey')}, case when c_nationkey % 3 = 0 then '_list' else '' end, '.csv') as file,
+  cast(floor(c_custkey / 9) as int) as position,
+  case (c_custkey * 7 + c_nationkey) % {len(_NAMES)} {" ".join(f"when {i} then '{n}'" for i, n in enumerate(_NAMES))} end as name,
+  case c_custkey % 4 when 0 then '03-1234-5678' when 1 then 'a@b.jp' when 2 then '' else 'x' end as v1,
+  case c_custkey % 5 when 0 then '０３１２３４５６７８９' when 1 then 'c@d.jp' when 2 then '' else 'y' end as v2
+from {{customer}}
+"""
+
 CALLS = f"""
 select event_id as row_index,
   case user_id % 6 when 0 then {_HYPHEN} when 1 then {_PHONE} when 2 then concat('+81', substring({_PHONE}, 2, 20)) when 3 then '' when 4 then '999' else concat('0800', {_pad('g % 1000000', 7)}) end as raw_phone,
