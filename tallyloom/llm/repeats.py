@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ CHUNK = 1 << 18  # windows handled at a time; more than that in a document go in
 HOT = 2_000  # distinct stretches of an anchor beyond which its windows are split by a longer common part
 GRID = 4  # windows of one such split
 BUFFER = 1 << 20  # bytes of stretches resolved at a time
+LARGE = 4  # buffers of distinct stretches that a key may have to be resolved in one task
 
 
 @dataclass(frozen=True)
@@ -93,8 +95,9 @@ def anchors(s: np.ndarray, window: int, gram: int):
         anchor = (np.uint64(MASK) - (least & np.uint64(MASK))).astype(np.int64)
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
         last = np.append(first[1:], len(anchor)) - 1
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(part * _POWERS[: len(part)])])
-        stretch = (sums[last + window] - sums[first]) * _INVERSE[first]
+        # of the grams' mixed hashes, so that no likeness of texts carries over to the sums
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h ^ np.uint64(_BASE)) * _POWERS[: len(h)])])
+        stretch = (sums[last + w] - sums[first]) * _INVERSE[first]
         stretch = mixed(stretch ^ (last - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         yield h[anchor[first]], stretch, anchor[first] + at, first + at, last + at
 
@@ -331,14 +334,33 @@ def trimmed(keys: list[int], texts: list[bytes], anchor: list[int], kind: Kind,
 def resolved(dealt: DataFrame, kind: Kind) -> DataFrame:
     """id, tag, start, stop of windows that were there before, from contents sorted by key, content, id, tag, start.
 
-    Keys are gathered to about BUFFER bytes of distinct stretches and resolved together. Equal rows count once.
+    Keys are gathered to about BUFFER bytes of distinct stretches and resolved together. Equal rows count once. A key with
+    more distinct stretches than a few BUFFERs is too large for a task: its windows come out one by one instead, with key and
+    content and without a stop, for `equal_windows` to compare.
     """
 
     def batches(it):
         keys, anchor = [], []
         texts, firsts, same = [], [], []  # distinct stretches, their first place, and places with the first's verdict
         size, key_before, text_before, place_before = 0, None, None, None
-        out = []
+        key_begins, key_size, large = 0, 0, False  # the last key: where its stretches begin, their bytes, whether those are too many
+        out, single = [], []
+
+        def postpone(content, i, tag, start):
+            for at in range(0, len(content) - kind.window * kind_item + 1, kind_item):
+                window = content[at : at + kind.window * kind_item]
+                single.append((int.from_bytes(_short(window), "big", signed=True), window, i, tag, start + at // kind_item))
+
+        def postpone_last_key():
+            """Take the last key's stretches out of the buffer and let their windows go one by one."""
+            nonlocal size
+            begins = next((n for n, x in enumerate(same) if x[0] >= key_begins), len(same))
+            for n, i, tag, start in same[begins:]:
+                postpone(texts[n], i, tag, start)
+            size -= sum(map(len, texts[key_begins:]))
+            for held in (keys, anchor, texts, firsts):
+                del held[key_begins:]
+            del same[begins:]
 
         def flush():
             nonlocal keys, anchor, texts, firsts, same, size
@@ -370,14 +392,19 @@ def resolved(dealt: DataFrame, kind: Kind) -> DataFrame:
                 if key != key_before:
                     if size > BUFFER:
                         flush()
-                    text_before = None
-                if content != text_before:
+                    text_before, key_begins, key_size, large = None, len(texts), 0, False
+                if large:
+                    if (content, i, tag, start) != (text_before, *place_before):
+                        postpone(content, i, tag, start)
+                    text_before = content
+                elif content != text_before:
                     same.append((len(texts), i, tag, start))
                     texts.append(content)
                     keys.append(key)
                     anchor.append(a)
                     firsts.append((i, tag, start))
                     size += len(content)
+                    key_size += len(content)
                     text_before = content
                 elif (i, tag, start) == place_before:
                     pass
@@ -387,18 +414,54 @@ def resolved(dealt: DataFrame, kind: Kind) -> DataFrame:
                 else:
                     same.append((len(texts) - 1, i, tag, start))
                 key_before, place_before = key, (i, tag, start)
+                if not large and key_size > LARGE * BUFFER:
+                    large = True
+                    postpone_last_key()
+                if len(single) > 20_000:
+                    yield _windows(single)
+                    single = []
             if out:
                 yield _batch(out)
                 out = []
         flush()
         if out:
             yield _batch(out)
+        if single:
+            yield _windows(single)
+
+    names = ["id", "tag", "start", "stop", "key", "content"]
 
     def _batch(out):
         i, tag, start, stop = (np.concatenate(x) for x in zip(*out))
-        return pa.record_batch([pa.array(i), pa.array(tag), pa.array(start), pa.array(stop)], names=["id", "tag", "start", "stop"])
+        none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.binary())]
+        return pa.record_batch([pa.array(i), pa.array(tag), pa.array(start), pa.array(stop), *none], names=names)
+
+    def _windows(single):
+        key, content, i, tag, start = zip(*single)
+        return pa.record_batch([pa.array(i, pa.int64()), pa.array(tag, pa.int64()), pa.array(start, pa.int64()), pa.nulls(len(i), pa.int64()), pa.array(key, pa.int64()), pa.array(content, pa.binary())], names=names)
 
     kind_item = kind.content("").itemsize
+    return dealt.mapInArrow(batches, "id long, tag long, start long, stop long, key long, content binary")
+
+
+def equal_windows(dealt: DataFrame, kind: Kind) -> DataFrame:
+    """id, tag, start, stop of single windows that were there before, from rows sorted by key, content, id, tag, start. Only
+    the window before and the first place of it are held."""
+
+    def batches(it):
+        last, first_id, place_before = None, None, None
+        for b in it:
+            keep = []
+            for n, (key, content, i, tag, start) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "content", "id", "tag", "start")))):
+                if (key, content) != last:
+                    last, first_id = (key, content), i
+                elif (i, tag, start) != place_before and (kind.same_document or i != first_id):
+                    keep.append(n)
+                place_before = (i, tag, start)
+            found = b.select(["id", "tag", "start"]).take(pa.array(keep, pa.int64()))
+            stop = pc.add(found.column("start"), kind.window)
+            yield pa.record_batch([*found.columns, stop], names=["id", "tag", "start", "stop"])
+
     return dealt.mapInArrow(batches, "id long, tag long, start long, stop long")
 
 
@@ -416,7 +479,10 @@ def marked(docs: DataFrame, kind: Kind) -> DataFrame:
         F.expr(f"(shiftright(place, 14) & 17179869183) - (shiftright(place, 7) & 127) + (place & 127) + {kind.window}").alias("stop"),
     )
     held = contents(sieve.where("what > 0"), texts, kind)
-    shared = resolved(held.repartition("key").sortWithinPartitions("key", "content", "id", "tag", "start"), kind)
+    by_content = ["key", "content", "id", "tag", "start"]
+    found = written(resolved(held.repartition("key").sortWithinPartitions(*by_content), kind), "resolved")
+    alone = found.where("content is not null").select(*by_content)
+    shared = found.where("stop is not null").select("id", "tag", "start", "stop").union(equal_windows(alone.repartition("key").sortWithinPartitions(*by_content), kind))
     low = F.lit((1 << 48) - 1)
     shared = shared.select("id", "tag", F.shiftright("start", 48).cast("int").alias("check"), F.col("start").bitwiseAND(low).alias("start"), F.col("stop").bitwiseAND(low).alias("stop"))
     ranges = whole.union(shared).groupBy("id", "tag", "check").agg(F.collect_list(F.struct("start", "stop")).alias("removed"))

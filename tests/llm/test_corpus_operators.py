@@ -308,6 +308,22 @@ def test_hot_passage_is_split(spark, monkeypatch):
     assert rows(substring_dedup.digests(df)) == covered(texts, 50, lambda a, b: a[0] < b[0], lambda t: t.encode().split(), b" ".join)
 
 
+@pytest.mark.parametrize("hot", [5, 10**6])
+def test_key_beyond_the_buffers_goes_window_by_window(spark, monkeypatch, hot):
+    import tallyloom.llm.repeats as repeats
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BUFFER", 300)
+    monkeypatch.setattr(repeats, "LARGE", 2)
+    r = np.random.default_rng(9)
+    texts = [(i, " ".join([*r.choice(WORDS, r.integers(0, 60)), PASSAGE, *r.choice(WORDS, r.integers(0, 60)), *([PASSAGE] if i % 9 == 0 else [])])) for i in range(60)]
+    df = spark.createDataFrame(texts + texts[:7], "doc_id long, text string")
+    want_bytes = covered(texts, 100, lambda a, b: a != b, lambda t: t.encode(), bytes)
+    want_words = covered(texts, 50, lambda a, b: a[0] < b[0], lambda t: t.encode().split(), b" ".join)
+    assert set(rows(suffix_dedup.digests(df).drop("n_spans"))) == set(want_bytes)
+    assert set(rows(substring_dedup.digests(df))) == set(want_words)
+
+
 def test_merged_transforms_are_the_suffix_order():
     r = np.random.default_rng(2)
     texts = [bytes(r.choice([97, 98], r.integers(100, 140)).astype(np.uint8)) for _ in range(8)] + [b"a" * 130, b"a" * 120]
