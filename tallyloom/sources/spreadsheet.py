@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -21,10 +22,36 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def sheet_rows(content: bytes, sheet: str | None = None):
-    """Yields each row of a sheet (the first if none is named) as a list of strings, short rows as they are."""
+# Numbers of the built-in formats that show dates or times.
+DATES = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles whose numbers are shown as dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\[[^]]*\\]', "", f.get("formatCode") or "") for f in root.iter(f"{_MAIN}numFmt")}
+    dated = DATES | {n for n, code in own.items() if re.search("[ymdhs]", code, re.I)}
+    formats = root.find(f"{_MAIN}cellXfs")
+    return {i for i, x in enumerate(formats if formats is not None else []) if int(x.get("numFmtId") or 0) in dated}
+
+
+def _shown(value: str) -> str:
+    """A day number as YYYY-MM-DD, with HH:MM:SS behind it if there is a time, or that alone below one day."""
+    n = float(value)
+    seconds = round(n % 1 * 86400)
+    day = datetime.date(1899, 12, 30) + datetime.timedelta(days=int(n) + seconds // 86400)
+    time = f"{seconds % 86400 // 3600:02d}:{seconds % 3600 // 60:02d}:{seconds % 60:02d}"
+    return time if 0 <= n < 1 else day.isoformat() if not seconds % 86400 else f"{day.isoformat()} {time}"
+
+
+def sheet_rows(content: bytes, sheet: str | None = None, formatted: bool = True):
+    """Yields each row of a sheet (the first if none is named) as a list of strings, short rows as they are. formatted:
+    numbers that the sheet shows as dates come as dates; else as they are stored."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        dated = _date_styles(z) if formatted else set()
         shared = []
         if "xl/sharedStrings.xml" in names:
             for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
@@ -47,19 +74,27 @@ def sheet_rows(content: bytes, sheet: str | None = None):
                     if c.get("t") == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
                     elif value is not None:
-                        cells[at] = shared[int(value.text)] if c.get("t") == "s" else {"1": "TRUE", "0": "FALSE"}.get(value.text, value.text) if c.get("t") == "b" else value.text or ""
+                        kind, v = c.get("t"), value.text or ""
+                        if kind == "s":
+                            v = shared[int(v)]
+                        elif kind == "b":
+                            v = {"1": "TRUE", "0": "FALSE"}.get(v, v)
+                        elif v and kind in (None, "n") and int(c.get("s") or 0) in dated:
+                            v = _shown(v)
+                        cells[at] = v
                 yield cells
                 row.clear()
 
 
-def read(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """source_file, row_index, header, cells of the sheets at a path; each row is as long as its sheet's header."""
+def read(spark: SparkSession, path: str, sheet: str | None = None, formatted: bool = True) -> DataFrame:
+    """source_file, row_index, header, cells of the sheets at a path; each row is as long as its sheet's header. Rows leave a
+    task 5,000 at a time."""
 
     def batches(it):
         for b in it:
             for p, content in zip(b.column("path"), b.column("content")):
                 rows, header, index = [], None, 0
-                for cells in sheet_rows(content.as_py(), sheet):
+                for cells in sheet_rows(content.as_py(), sheet, formatted):
                     if not any(c.strip() for c in cells):
                         continue
                     if header is None:
@@ -67,7 +102,14 @@ def read(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
                         continue
                     rows.append((p.as_py(), index, header, [*cells, *[""] * len(header)][: len(header)]))
                     index += 1
+                    if len(rows) == 5000:
+                        yield _batch(rows)
+                        rows = []
                 if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())))], names=["source_file", "row_index", "header", "cells"])
+                    yield _batch(rows)
+
+    def _batch(rows):
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["source_file", "row_index", "header", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, "source_file string, row_index long, header array<string>, cells array<string>")
