@@ -324,7 +324,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon_size: int = 50_000, k
     """Encode every text and decode its ids again.
 
     doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids array<int> and decoded string. Null and
-    empty texts have no ids and decode to the empty string; repeated rows each give a row; an empty table gives none.
+    empty texts have no ids and decode to the empty string; very long texts are encoded whole; repeated rows each give a row;
+    other columns are left behind whatever their names; an empty table gives none.
     """
     small_batches(docs.sparkSession)
     file = ship_lexicon(docs, tokenizer, lexicon_size)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import written
 
 SHARE = 1_000  # a key with more than this part of all rows is hot; so there are fewer than this many hot keys
-LEAST = 10_000  # rows that a key may have in any case
+LEAST = 2_000  # rows that a key may have in any case
 
 
 def hot_keys(df: DataFrame, *key: str) -> DataFrame:

@@ -138,6 +138,8 @@ def elements(data, start: int, end: int, ends=frozenset()):
         size, body = variable(data, body)
         stop = end if size is None else body + size
         if stop > end:
+            if ident in MASTERS:  # what is left of it is sound
+                yield ident, body, end, True, at
             raise ValueError(f"element {ident:#x} at byte {at} is cut")
         yield ident, body, stop, size is not None, at
         if size is None:

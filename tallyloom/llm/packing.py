@@ -230,7 +230,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document.
 
     A null or empty text is one piece that holds only the end id. Repeated rows are packed each on its own; a null
-    doc_id stays null. An empty table gives an empty table. Ties go by doc_id and piece.
+    doc_id stays null. Very long texts are cut at every `capacity` ids and nowhere else. Other columns are left behind
+    whatever their names. An empty table gives an empty table. Ties go by doc_id and piece.
     """
     spark = docs.sparkSession
     ids = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))

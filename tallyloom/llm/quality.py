@@ -171,8 +171,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     """doc_id, held_out, score, predicted for each row of docs.
 
     Null and empty texts have no words and get the score of that. Without labels of both kinds each score is their rate.
-    A null doc_id is held in, is never learnt from and stays null. Repeated rows each give a row; an empty table gives an
-    empty table.
+    A null doc_id is held in, is never learnt from and stays null. Very long texts are scored whole. Repeated rows each give
+    a row; other columns are left behind whatever their names; an empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))

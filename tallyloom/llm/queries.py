@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tallyloom.llm.bpe_codec import op8_bpe_codec
 from tallyloom.llm.media import op5_matroska_media
 from tallyloom.llm.minhash import op3_minhash_dedup
@@ -16,9 +15,13 @@ from tallyloom.llm.url_filter import op6_sql, op6_url_filters
 
 
 def queries():
+    import corpus_pipeline  # at the repository's top; the operators do without it
+
     ops = [op1_token_counts, op2_best_fit_packing, op3_minhash_dedup, op4_exact_topk, op5_matroska_media, op6_url_filters, op7_suffix_array_dedup, op8_bpe_codec, op9_quality_classifier, op10_substring_dedup]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op4_exact_topk": OP4_SQL, "op6_url_filters": op6_sql()}
+    import corpus_pipeline
+
+    return {"op4_exact_topk": OP4_SQL, "op6_url_filters": op6_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -101,7 +101,8 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs.
 
     Null and empty texts have no words. Rows that share a doc_id are no smaller than each other, so none of them removes
-    words from the others; null ids come before all others. An empty table gives an empty table.
+    words from the others; null ids come before all others. Very long texts are taken in parts that overlap by a window.
+    Other columns are left behind whatever their names. An empty table gives an empty table.
     """
 
     def batches(it):

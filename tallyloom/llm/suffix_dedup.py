@@ -141,7 +141,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have nothing to remove. Of rows that share a doc_id those with equal texts count as one document
     with one result, and those with different texts follow each other in a fixed order; null ids come before all others.
-    An empty table gives an empty table.
+    Very long texts are taken in parts that overlap by a window. Other columns are left behind whatever their names. An empty
+    table gives an empty table.
     """
 
     def batches(it):

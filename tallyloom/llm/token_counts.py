@@ -49,8 +49,9 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
-    One narrow pass, no shuffle. Null and empty texts have 0 tokens; a null doc_id stays null; repeated rows each give
-    a row; an empty table gives an empty table.
+    One narrow pass, no shuffle. Null and empty texts have 0 tokens; very long texts are counted whole; a null doc_id stays
+    null; repeated rows each give a row; other columns are left behind whatever their names; an empty table gives an empty
+    table.
     """
     small_batches(docs.sparkSession)
 
