@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import blank, text, trimmed
-from tallyloom.operators.audit import numbered
+from tallyloom.operators.audit import numbered, smallest
 
 # What a decision and a strategy may be.
 DECISIONS = ("resolved", "skip", "unclear", "defer", "")
@@ -140,6 +140,40 @@ def load_rejects(calls: DataFrame, kinds: tuple[str, ...] = ("source_a", "source
     return calls.withColumn("reject_reason", reason).where("reject_reason is not null")
 
 
+def rejected_records(df: DataFrame, key: str = "customer_id") -> DataFrame:
+    """The customers or deals that may not be loaded, with reject_reason: they have no customer id."""
+    return df.where(blank(F.col(key))).withColumn("reject_reason", F.lit(f"no_{key}"))
+
+
+def prioritized(queue: DataFrame) -> DataFrame:
+    """A review queue in the order in which it should be worked on: place, by priority and then by row."""
+    return numbered(queue, ["priority", "row_index"], "place")
+
+
+def packet(queue: DataFrame, contents: int = 3) -> DataFrame:
+    """normalized_phone, calls, first_date, last_date, contents of a queue: one row a number, with the contents of its first
+    calls by row. Only so many calls of a number are kept at any step."""
+    numbers = queue.groupBy("normalized_phone").agg(F.count("*").alias("calls"), F.min("call_date").alias("first_date"), F.max("call_date").alias("last_date"))
+    first = smallest(queue.select("normalized_phone", "row_index", "content"), "normalized_phone", "row_index", contents)
+    texts = first.groupBy("normalized_phone").agg(F.array_sort(F.collect_list(F.struct("row_index", "content"))).alias("_c"))
+    return numbers.join(texts, "normalized_phone").select("normalized_phone", "calls", "first_date", "last_date", F.array_join("_c.content", " | ").alias("contents"))
+
+
+def bucket_samples(matched: DataFrame, samples: int = 10) -> DataFrame:
+    """match_type, n, numbers and samples of a match: the first numbers of each kind, as they are written."""
+    counts = matched.groupBy("match_type", "raw_phone").agg(F.count("*").alias("n"), F.min("row_index").alias("row_index"))
+    totals = counts.groupBy("match_type").agg(F.sum("n").alias("n"), F.count("*").alias("numbers"))
+    first = smallest(counts, "match_type", "row_index", samples).groupBy("match_type").agg(F.array_sort(F.collect_list(F.struct("row_index", "raw_phone"))).alias("_s"))
+    return totals.join(first, "match_type").select("match_type", "n", "numbers", F.array_join("_s.raw_phone", ";").alias("samples"))
+
+
+def top_phones(matched: DataFrame, k: int = 5) -> DataFrame:
+    """match_type, place, normalized_phone, n: the numbers of each kind of match with most calls."""
+    counts = matched.where("normalized_phone <> ''").groupBy("match_type", "normalized_phone").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("match_type").orderBy(F.desc("n"), "normalized_phone"))
+    return counts.withColumn("place", place).where(F.col("place") <= k).select("match_type", "place", "normalized_phone", "n")
+
+
 def verdict(packet: DataFrame, template: DataFrame, hearing: DataFrame) -> DataFrame:
     """One row: packet_rows, template_rows, resolved, confirmed, verdict, reason.
 

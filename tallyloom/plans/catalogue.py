@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, hashing, similarity, text
 from tallyloom.operators import audit, core, decisions, reviews
+from tallyloom.operators import checks as checks_of
 from tallyloom.operators.settle import with_share
 from tallyloom.plans import duck
 from tallyloom.plans.views import CALLS, CONTACT, DATED, MIXED, view
@@ -458,6 +459,17 @@ def postcheck_suite(checks):
     return checks
 
 
+def _postcheck_suite(spark, sf_dir):
+    """The same checks as DataFrame operations."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    repeated = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
+    lost = o.join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
+    return checks_of.matched({"orders": (o, F.count_distinct("o_orderkey")), "customer": (c, F.count_distinct("c_custkey")), "lineitem_keys": (repeated, 0), "orders_without_customer": (lost, 0)})
+
+
+_QUERIES["postcheck_suite"] = _postcheck_suite
+
+
 _CHANGED = "select o_orderkey as row_index, o_custkey, o_orderstatus, case when o_orderkey % 9 = 0 then 'changed' else o_orderpriority end as o_orderpriority from {orders} where o_orderkey % 31 <> 0"
 _PLAIN = "select o_orderkey as row_index, o_custkey, o_orderstatus, o_orderpriority from {orders}"
 

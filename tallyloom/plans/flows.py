@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audit, checks, core, flow, routing, suggest
+from tallyloom.functions import hashing, similarity, text
+from tallyloom.operators import audit, checks, core, flow, reviews, routing, suggest
 from tallyloom.operators.decisions import Profile
 from tallyloom.plans import duck
-from tallyloom.plans.catalogue import _CELLS, _FIELDS, _MATCHED, _NONE, _PROFILED, _RUNS, _SAFE, _SQL, CALLS, calls_matched, contact_query, query, sides, table
-from tallyloom.plans.views import CONTACT, FLOW, HEADERS, view
+from tallyloom.plans.catalogue import _CELLS, _FIELDS, _IDENTITY as _IDENTIFIED, _KEYS as _MATCH_KEYS, _MATCHED, _NONE, _PROFILED, _QUEUE, _RUNS, _SAFE, _SQL, CALLS, calls_matched, contact_query, identified, query, sides, table
+from tallyloom.plans.views import CONTACT, FILES, FLOW, HEADERS
 
 # --- from files to packs ---------------------------------------------------------------------------------------------
 
@@ -400,3 +401,100 @@ def review_issues(calls, contact):
 def columns_report(n):
     r = suggest.columns_report(audit.column_profile(n, _PROFILED), audit.top_values(n, _PROFILED))
     return r.withColumn("sample", F.array_join("sample", "|"))
+
+
+# --- names, fingerprints, queues -------------------------------------------------------------------------------------
+
+_BARE = "regexp_replace(regexp_replace(regexp_replace(name, '(?i)[.](csv|xlsx|tsv|xls)$', ''), '^[0-9]{6,8}[_\\-\\s]?', ''), '[_\\-\\s]?[0-9]{4,8}$', '')"
+_PARTS = f"list_filter(regexp_split_to_array(lower({duck.narrow(_BARE)}), '[-_\\s.]+'), lambda p: p <> '' and p not in ({', '.join(duck.q(w) for w in similarity.NOISE)}) and not regexp_matches(p, '^(rev[0-9]*|v[0-9]+)$'))"
+_PLACED = f"list_filter(range(1, len(p) + 1), lambda i: p[i] not in ({', '.join(duck.q(w) for w in similarity.PLACES)}))"
+
+
+@query(f", cut as (select file_id, name, {_PARTS} as p from files), kept as (select *, coalesce(list_max({_PLACED}), 0) as n from cut) select file_id, coalesce(nullif(regexp_replace(array_to_string(p[1:n], '_'), '^_+|_+$', '', 'g'), ''), lower(name)) as stem from kept", files=FILES)
+def filename_stems(files):
+    return files.select("file_id", similarity.filename_stem(F.col("name")).alias("stem"))
+
+
+@query("select row_index, sha256('filehash' || chr(0) || cast(row_index as varchar) || chr(0) || customer_id || '|' || customer_name || '|' || phone) as row_fp, 'mixed.csv:row_' || cast(row_index + 2 as varchar) as source_fp from flow", flow=FLOW)
+def row_fingerprints(f):
+    cells = F.array("customer_id", "customer_name", "phone")
+    return f.select("row_index", hashing.row_fingerprint(F.lit("filehash"), F.col("row_index"), cells).alias("row_fp"), audit.row_source("mixed.csv", F.col("row_index")).alias("source_fp"))
+
+
+_COLS = "list_filter(regexp_split_to_array(url, '[/.]'), lambda x: x <> '')"
+
+
+@query(f"select page_id, sha256(array_to_string(list_sort(c), '|')) as schema_fp, sha256(array_to_string(list_sort(list_transform(c, lambda x: trim(lower(x)))), chr(0))) as review_fp, sha256(array_to_string(list_sort(c), ',') || '|' || len(c) || '|utf8|' || case when headerless then '0' else '1' end) as shape from (select page_id, headerless, {_COLS} as c from files)", files=_FILES)
+def file_fingerprints(files):
+    c = F.filter(F.split("url", "[/.]"), lambda x: x != "")
+    return files.select("page_id", routing.schema_key(c).alias("schema_fp"), routing.review_schema_key(c).alias("review_fp"), routing.file_shape(c, F.lit("utf8"), ~F.col("headerless")).alias("shape"))
+
+
+_WORDS = {"blog": ("news", 2.0), "en": ("shop", 1.0), "com": ("shop", 1.0), "fr": ("news", 0.5)}
+
+
+@query(
+    f", shaped as (select page_id, {_COLS} as c, case when page_id % 8 = 0 then 'known' else 'new' end as shape from files), scored as (select page_id, shape, " + ", ".join(f"list_sum(list_transform(c, lambda x: case x {' '.join(f'when {duck.q(k)} then {w}' for k, (g, w) in _WORDS.items() if g == f)} else 0.0 end)) as {f}" for f in ("news", "shop")) + " from shaped) select page_id, case when shape = 'known' then 'old' when greatest(coalesce(news, 0), coalesce(shop, 0)) < 1.5 then 'unknown' when shop >= news then 'shop' else 'news' end as family, case when shape = 'known' then 'confirmed' when greatest(coalesce(news, 0), coalesce(shop, 0)) < 1.5 then 'unknown' else 'low' end as certainty from scored",
+    files=_FILES,
+)
+def family_by_shape(files):
+    shaped = files.withColumns({"columns": F.filter(F.split("url", "[/.]"), lambda x: x != ""), "shape": F.when(F.col("page_id") % 8 == 0, "known").otherwise("new")})
+    known = files.sparkSession.createDataFrame([("known", "old", "confirmed")], "shape string, family string, certainty string")
+    return routing.family_of(shaped.drop("family"), known, _WORDS, 1.5).select("page_id", "family", "certainty")
+
+
+@contact_query(_IDENTIFIED + ", found as (select 'entity_match' as match_type, entity_key as match_key, row_index from identity where entity_key <> '' union all select 'source_record', source_record_key, row_index from identity where method <> 'fallback') select match_type, match_key, min(row_index) as first_row, count(*) as size from found group by 1, 2 having count(*) >= 2")
+def dup_identity_groups(n):
+    return core.duplicate_groups(identified(n)).where("match_type in ('entity_match', 'source_record')")
+
+
+@query(_QUEUE + ", ranked as (select row_index, case severity when 'high' then 1 when 'medium' then 2 else 3 end as priority from queue) select *, row_number() over (order by priority, row_index) as place from ranked", calls=CALLS, contact=CONTACT)
+def prioritized_queue(calls, contact):
+    return reviews.prioritized(audit.review_queue(calls_matched(calls, contact))).select("row_index", "priority", "place")
+
+
+@query(_QUEUE + ", placed as (select *, row_number() over (partition by normalized_phone order by row_index) as k from queue) select normalized_phone, count(*) as calls, min(call_date) as first_date, max(call_date) as last_date, string_agg(case when k <= 3 then content end, ' | ' order by row_index) as contents from placed group by 1", calls=CALLS, contact=CONTACT)
+def review_packet_contents(calls, contact):
+    return reviews.packet(audit.review_queue(calls_matched(calls, contact)))
+
+
+@query(_MATCHED + ", spelt as (select match_type, raw_phone, count(*) as c, min(row_index) as r from matched group by 1, 2), placed as (select *, row_number() over (partition by match_type order by r) as k from spelt) select match_type, cast(sum(c) as bigint) as n, count(*) as numbers, string_agg(case when k <= 10 then raw_phone end, ';' order by r) as samples from placed group by 1", calls=CALLS, contact=CONTACT)
+def bucket_samples(calls, contact):
+    return reviews.bucket_samples(calls_matched(calls, contact))
+
+
+@query(_MATCHED + ", c as (select match_type, normalized_phone, count(*) as n from matched where normalized_phone <> '' group by 1, 2), placed as (select match_type, cast(row_number() over (partition by match_type order by n desc, normalized_phone) as int) as place, normalized_phone, n from c) select * from placed where place <= 5", calls=CALLS, contact=CONTACT)
+def bucket_top_phones(calls, contact):
+    return reviews.top_phones(calls_matched(calls, contact))
+
+
+@query("select row_index, 'no_customer_id' as reject_reason from flow where customer_id = ''", flow=FLOW)
+def rejected_records(f):
+    return reviews.rejected_records(f).select("row_index", "reject_reason")
+
+
+@query(", filled as (select *, last_value(nullif(customer_id, '') ignore nulls) over (order by row_index rows between unbounded preceding and current row) as filled from flow) select 'source_b' as source_kind, '' as call_date, history as content, 'mixed.csv' as raw_source_file, cast(row_index + 2 as varchar) as raw_row_origin, coalesce(filled, '') as matched_customer_id, case when filled is not null then '1' else '0' end as candidate_count, case when filled is not null then 'fill_forward' else 'no_match' end as match_type from filled where history <> '' union all select 'source_a', call_date, content, 'calls.xlsx', cast(row_index + 2 as varchar), cast(row_index as varchar), '1', 'exact' from calls where row_index % 3 = 0", flow=FLOW, calls=CALLS)
+def staging_union(f, calls):
+    children = core.fill_forward(f, "customer_id", ["phone"]).where("history <> ''")
+    b = audit.staging_calls(children, "mixed.csv", {"call_date": "date", "content": "history"}, matched=False)
+    own = calls.where("row_index % 3 = 0").withColumns({"matched_customer_id": F.col("row_index").cast("string"), "candidate_count": F.lit("1"), "match_type": F.lit("exact")})
+    a = audit.staging_calls(own, "calls.xlsx", {"call_date": "call_date", "content": "content"}, matched=True)
+    return audit.activities(b, a).select("source_kind", "call_date", "content", "raw_source_file", "raw_row_origin", "matched_customer_id", "candidate_count", "match_type")
+
+
+@query("select doc_id, regexp_replace(coalesce(text, ''), '[\\x00-\\x1F\\x7F]', '', 'g') as shown, case when length(text) > 30 then left(text, 27) || '...' else text end as short from documents")
+def report_texts(spark, sf_dir):
+    t = table(spark, sf_dir, "documents")
+    return t.select("doc_id", text.printable(F.col("text")).alias("shown"), text.shortened(F.col("text")).alias("short"))
+
+
+_SHEETS = "select o_orderkey as row_index, cast(datediff('day', date '1899-12-30', cast(o_orderdate as date)) as double) as n, strftime(cast(o_orderdate as date), '%Y/%m/%d') as spelt, case when o_orderkey % 5 = 0 then '' when o_orderkey % 5 = 1 then '8時間 5分' else '  x ' end as lasted from orders"
+
+
+@query(f"select row_index, replace(spelt, '/', '-') as from_file, replace(spelt, '/', '-') as from_sheet, case when lasted = '' then '' when lasted = '  x ' then 'x' else '08:05:00' end as duration, cast(n as varchar) as amount from ({_SHEETS})")
+def comparable_cells(spark, sf_dir):
+    o, key, day = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    serial = F.datediff(day, F.lit("1899-12-30").cast("date")).cast("double")
+    lasted = F.when(key % 5 == 0, "").when(key % 5 == 1, "8時間 5分").otherwise("  x ")
+    spelt = F.date_format(day, "yyyy/MM/dd")
+    return o.select(key.alias("row_index"), audit.comparable(spelt, "契約日").alias("from_file"), audit.comparable(serial.cast("string"), "契約日", serial).alias("from_sheet"), audit.comparable(lasted, "時刻").alias("duration"), audit.comparable(serial.cast("string"), "金額", serial).alias("amount"))

@@ -82,6 +82,16 @@ select c_custkey as column_id,
 from {{customer}}
 """
 
+FILES = f"""
+select p_partkey as file_id,
+  concat(case p_partkey % 4 when 0 then '20240131_' when 1 then '240131-' when 2 then '' else '202401 ' end,
+    case p_partkey % 5 when 0 then '顧客一覧' when 1 then 'Ａｐｏ_List' when 2 then 'visit-log' when 3 then 'コピー' else '売上.見込' end,
+    case p_partkey % 6 when 0 then '_最新版' when 1 then '_福岡' when 2 then '_東京_本社' when 3 then '_rev2' when 4 then concat('_', {_S.format('p_partkey % 3')}) else '' end,
+    case p_partkey % 3 when 0 then '_20240201' when 1 then '' else '_final' end,
+    case p_partkey % 3 when 0 then '.csv' when 1 then '.XLSX' else '.tsv' end) as name
+from {{part}}
+"""
+
 CALLS = f"""
 select event_id as row_index,
   case user_id % 6 when 0 then {_HYPHEN} when 1 then {_PHONE} when 2 then concat('+81', substring({_PHONE}, 2, 20)) when 3 then '' when 4 then '999' else concat('0800', {_pad('g % 1000000', 7)}) end as raw_phone,

@@ -2,56 +2,65 @@
 
 from __future__ import annotations
 
-import json
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators import core
 
 LEDGER = "ledger_key string, fp string, batch string, last_run string"
+MERGES = "version long, run string, batch string, base long"
 
 
 class Ledger:
-    """A folder of Parquet versions and one pointer file written last. One writer at a time."""
+    """Parquet versions of a ledger and a table of the merges that made them. One writer at a time.
+
+    A version is written before the row that names it is appended, which is what makes it count; a crash in between leaves
+    a folder that the next merge writes over. Going back is a row that names an earlier version again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def merges(self) -> DataFrame:
+        """The merges so far: the version each made and the one it started from."""
+        try:
+            return self.spark.read.schema(MERGES).parquet(f"{self.path}/merges")
+        except AnalysisException:  # none yet
+            return self.spark.createDataFrame([], MERGES)
 
     def current(self) -> dict:
-        """The current version and what was merged so far, as (run, batch, version it was merged into)."""
-        at, fs = self._pointer()
-        if not fs.exists(at):
-            return {"version": None, "merged": []}
-        return json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0])
+        """The last version's number and how many merges there were; 0 before the first."""
+        last = self.merges().agg(F.max("version"), F.count("*")).first()
+        return {"version": last[0] or 0, "merges": last[1]}
 
     def read(self) -> DataFrame:
         return self._version(self.current()["version"])
 
-    def _version(self, version: str | None) -> DataFrame:
-        return self.spark.read.schema(LEDGER).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], LEDGER)
+    def _version(self, version: int) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(f"{self.path}/versions/{version:08d}") if version else self.spark.createDataFrame([], LEDGER)
+
+    def _commit(self, ledger: DataFrame, version: int, run: str, batch: str, base: int) -> None:
+        ledger.write.mode("overwrite").parquet(f"{self.path}/versions/{version:08d}")
+        self.spark.createDataFrame([(version, run, batch, base)], MERGES).coalesce(1).write.mode("append").parquet(f"{self.path}/merges")
 
     def merge(self, rows: DataFrame, batch: str, run: str) -> DataFrame:
         """Merge a batch of rows and give their dispositions. A batch and run merged before leave the ledger as it is and
         get the dispositions they had then."""
-        state = self.current()
-        for r, b, base in state["merged"]:
-            if (r, b) == (run, batch):
-                return core.merge(rows, self._version(base), batch, run)[0]
-        out, after = core.merge(rows, self._version(state["version"]), batch, run)
-        version = f"v{len(state['merged']) + 1:08d}"
-        after.write.mode("overwrite").parquet(f"{self.path}/{version}")
-        at, fs = self._pointer()
-        stream = fs.create(at, True)
-        stream.write(bytearray(json.dumps({"version": version, "merged": [*state["merged"], (run, batch, state["version"])]}).encode()))
-        stream.close()
+        done = self.merges().where((F.col("run") == run) & (F.col("batch") == batch)).orderBy("version").first()
+        if done:
+            return core.merge(rows, self._version(done.base), batch, run)[0]
+        base = self.current()["version"]
+        out, after = core.merge(rows, self._version(base), batch, run)
+        self._commit(after, base + 1, run, batch, base)
         return out
 
+    def roll_back(self, version: int, run: str) -> None:
+        """Make an earlier version the current one again, as a version of its own."""
+        last = self.current()["version"]
+        self._commit(self._version(version), last + 1, run, f"rollback to {version}", last)
+
 
 def merge_stream(rows: DataFrame, ledger: Ledger, dispositions: str, checkpoint: str) -> StreamingQuery:
     """Start merging a stream of (row_index, ledger_key, fp, ...) rows; their dispositions go to a Parquet folder, a
