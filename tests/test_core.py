@@ -218,3 +218,14 @@ def test_a_run_can_merge_several_batches(spark, tmp_path):
     for batch, fp in (("b1", "1"), ("b2", "2"), ("b3", "3")):
         ledger.merge(spark.createDataFrame([(0, "a", fp)], "row_index long, ledger_key string, fp string"), batch, "r1")
     assert [(r.fp, r.batch) for r in ledger.read().collect()] == [("3", "b3")]
+
+
+def test_a_ledger_goes_back(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    schema = "row_index long, ledger_key string, fp string"
+    for batch, fp in (("b1", "1"), ("b2", "2")):
+        ledger.merge(spark.createDataFrame([(0, "a", fp)], schema), batch, "r1")
+    ledger.roll_back(1, "r2")
+    assert [r.fp for r in ledger.read().collect()] == ["1"] and ledger.current() == {"version": 3, "merges": 3}
+    ledger.merge(spark.createDataFrame([(0, "a", "3")], schema), "b3", "r3")
+    assert [r.fp for r in ledger.read().collect()] == ["3"]
