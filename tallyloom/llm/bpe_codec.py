@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 from itertools import chain
@@ -314,7 +316,9 @@ def ship_lexicon(docs: DataFrame, tokenizer: str, lexicon_size: int) -> str:
     ids = lambda word: tuple(i for w in bpe.words(word) for i in vocabulary.ids(w))
     arrays = compile_transducer({w: ids(w) for w in frequent_words(docs, lexicon_size)})
     file = f"lexicon-{uuid.uuid4().hex}.mat"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-tallyloom-"), file)
+    folder = tempfile.mkdtemp(prefix="spark-tallyloom-")  # the driver's own; executors map the copies that Spark gives them
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, file)
     save_transducer(arrays, path)
     docs.sparkSession.sparkContext.addFile(path)
     return file

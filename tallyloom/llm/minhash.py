@@ -271,7 +271,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     least hash stays, the same in every run; rows without an id all stay."""
     classes = near_duplicates(docs)
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    held = docs.select(F.col("doc_id").cast("long").alias("kept_id"), F.struct("*").alias("row"), F.xxhash64("*").alias("order"))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    held = docs.select(F.col("doc_id").cast("long").alias("kept_id"), F.struct("*").alias("row"), F.xxhash64(*hashed).alias("order"))
     first = held.join(kept, "kept_id").groupBy("kept_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
     return first.union(docs.where("doc_id is null"))
 
