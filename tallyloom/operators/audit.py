@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, text
 from tallyloom.functions.hashing import cross_source_key
-from tallyloom.operators.settle import settled, with_share
+from tallyloom.operators.settle import parted, previous, settled, together, with_share
 
 
 CANDIDATES = 50  # customers that a matched call lists; phone_candidates has them all
@@ -222,11 +222,14 @@ def close_names(df: DataFrame, key: str, name: str, block: Column, most: int = 2
 def latest_before(runs: DataFrame) -> DataFrame:
     """Each run with the latest earlier run of its key, one of the same profile first.
 
-    runs: run_id, source, profile, started_at. Two running values over each key's runs; no run is joined to another.
+    runs: run_id, source, profile, started_at. Two running values over each key's runs, also where one source has very many
+    (settle.parted); no run is joined to another.
     """
-    w = Window.partitionBy("source").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("source", "profile").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("previous_run", F.coalesce(F.last("run_id").over(same), F.last("run_id").over(w)))
+    order, parts = ["started_at", "run_id"], []
+    for part in parted(runs, ["source"], order):
+        part = previous(part, ["source", "profile"], order, {"_same": F.col("run_id")})
+        parts.append(previous(part, ["source"], order, {"_any": F.col("run_id")}))
+    return together(parts).withColumn("previous_run", F.coalesce("_same", "_any")).drop("_same", "_any")
 
 
 def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, hashing, text
 from tallyloom.functions.hashing import pairs, sha, structural_fingerprint
+from tallyloom.operators.settle import parted, previous, together
 
 
 @dataclass(frozen=True)
@@ -287,23 +288,24 @@ def merge(rows: DataFrame, ledger: DataFrame, batch: str | Column, run: str, ord
     """Rows with their dispositions, and the ledger after them.
 
     rows: ledger_key, fp, the order's column and whatever else; ledger: ledger_key, fp, batch, last_run. Rows of a key are
-    taken in order: inserted, updated, duplicate (the key's last change came from this batch) or unchanged.
+    taken in order, also where one key has very many (settle.parted): inserted, updated, duplicate (the key's last change came from this batch) or unchanged.
     """
     known = ledger.select("ledger_key", F.col("fp").alias("_ledger_fp"), F.col("batch").alias("_ledger_batch"))
     rows = rows.withColumn("_batch", F.lit(batch) if isinstance(batch, str) else batch)
     batch = F.col("_batch")
-    w = Window.partitionBy("ledger_key").orderBy(order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(known, "ledger_key", "left").withColumn("_prev", F.coalesce(F.lag("fp").over(w), "_ledger_fp"))
-    joined = joined.withColumn("_changed", F.col("_prev").isNull() | (F.col("_prev") != F.col("fp")))
-    joined = joined.withColumn("_batch_then", F.when(F.coalesce(F.max("_changed").over(so_far), F.lit(False)), batch).otherwise(F.col("_ledger_batch")))
+    parts = []
+    for part in parted(rows.join(known, "ledger_key", "left"), ["ledger_key"], [order]):
+        part = previous(part, ["ledger_key"], [order], {"_last": F.struct("fp")}).withColumn("_prev", F.coalesce("_last.fp", "_ledger_fp"))
+        part = part.withColumn("_changed", F.col("_prev").isNull() | (F.col("_prev") != F.col("fp")))
+        parts.append(previous(part, ["ledger_key"], [order], {"_moved": F.when(F.col("_changed"), F.lit(True))}))
+    joined = together(parts).withColumn("_batch_then", F.when(F.col("_moved"), batch).otherwise(F.col("_ledger_batch")))
     label = F.when(F.col("_prev").isNull(), "inserted").when(F.col("_prev") != F.col("fp"), "updated").when(F.col("_batch_then") == batch, "duplicate").otherwise("unchanged")
     reasons = {"inserted": "new_identity", "updated": "existing_changed_fingerprint", "duplicate": "same_batch_same_fingerprint", "unchanged": "existing_same_fingerprint"}
     reason = F.element_at(F.create_map(*[F.lit(x) for p in reasons.items() for x in p]), F.col("disposition"))
     out = joined.withColumn("disposition", label).withColumn("disposition_reason", reason)
     touched = out.groupBy("ledger_key").agg(F.max_by("fp", order).alias("fp"), F.when(F.max("_changed"), F.max_by(batch, order)).otherwise(F.max("_ledger_batch")).alias("batch"), F.lit(run).alias("last_run"))
     after = ledger.join(touched.select("ledger_key"), "ledger_key", "left_anti").select("ledger_key", "fp", "batch", "last_run").unionByName(touched)
-    return out.drop("_batch", "_prev", "_changed", "_batch_then", "_ledger_fp", "_ledger_batch"), after
+    return out.drop("_batch", "_last", "_moved", "_prev", "_changed", "_batch_then", "_ledger_fp", "_ledger_batch"), after
 
 
 # --- candidates ------------------------------------------------------------------------------------------------------

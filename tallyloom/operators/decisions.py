@@ -8,12 +8,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import similarity
 from tallyloom.functions.text import trimmed
 from tallyloom.operators.audit import latest_before, numbered
+from tallyloom.operators.settle import parted, previous, together
 
 
 def detect_family(names: DataFrame, weights: dict[str, tuple[str, float]], least: float) -> DataFrame:
@@ -92,9 +93,9 @@ def pre_run_diff(runs: DataFrame) -> DataFrame:
     runs: run_id, source, status, started_at, file_fp, schema_fp, column_count. What is not known about a previous run
     doesn't count as a change of it.
     """
-    w = Window.partitionBy("source").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    old = F.last(F.when(F.col("status") == "completed", F.struct("run_id", "file_fp", "schema_fp", "column_count")), ignorenulls=True).over(w)
-    out = runs.withColumn("_old", old)
+    old = F.when(F.col("status") == "completed", F.struct("run_id", "file_fp", "schema_fp", "column_count"))
+    order = ["started_at", "run_id"]
+    out = together([previous(part, ["source"], order, {"_old": old}) for part in parted(runs, ["source"], order)])
     delta = F.col("column_count") - F.col("_old.column_count")
     drift = F.coalesce(delta != 0, F.lit(False)) | F.coalesce(F.col("_old.schema_fp") != F.col("schema_fp"), F.lit(False))
     same = F.coalesce(F.col("_old.file_fp") == F.col("file_fp"), F.lit(False))

@@ -278,3 +278,25 @@ def test_garbled_columns(spark):
 def test_runs_are_compared(spark):
     hints = spark.createDataFrame([("r1", "a", 5), ("r2", "a", 1), ("r2", "b", 9)], "run string, value string, n long")
     assert rows(flow.compare_runs(hints)) == [("a", 6, 2), ("b", 9, 1)]
+
+
+def test_hot_keys_look_back_over_ranges(spark, monkeypatch):
+    """A ledger key, a source and a null source with most of the rows, against the same without any range."""
+    from tallyloom.operators import decisions, settle
+
+    ids = spark.range(0, 900, 1, 5)
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string")))
+    changes = ids.select(F.col("id").alias("row_index"), key.alias("ledger_key"), (F.col("id") % 7 * F.col("id") % 5).cast("string").alias("fp"))
+    ledger = spark.createDataFrame([("hot", "0", "b1", "r0"), ("k1", "4", "b2", "r0"), ("gone", "1", "b1", "r0")], LEDGER)
+    source = F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).when(F.col("id") % 3 == 1, "s").otherwise((F.col("id") % 30).cast("string"))
+    runs = ids.select(F.col("id").alias("run_id"), source.alias("source"), (F.col("id") % 4).cast("string").alias("profile"), (F.col("id") % 211).alias("started_at"), F.when(F.col("id") % 5 == 0, "failed").otherwise("completed").alias("status"), (F.col("id") % 6).cast("string").alias("file_fp"), F.lit("x").alias("schema_fp"), F.lit(3).alias("column_count"))
+
+    def all_of():
+        out, after = core.merge(changes, ledger, "b2", "r1")
+        return [rows(out.select("row_index", "disposition")), rows(after), rows(audit.latest_before(runs).select("run_id", "previous_run")), rows(decisions.pre_run_diff(runs).select("run_id", "previous_run", "change"))]
+
+    plain = all_of()
+    monkeypatch.setattr(settle, "LEAST", 40)
+    monkeypatch.setattr(settle, "SHARE", 20)
+    assert len(settle.parted(changes, ["ledger_key"], ["row_index"])) == 2 and len(settle.parted(runs, ["source"], ["started_at"])) == 2
+    assert all_of() == plain
