@@ -47,14 +47,21 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
+def waiting(number: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The time to a Poisson process' next point, from a random number."""
+    return -np.log(((number >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / rate
+
+
 def bag_signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
     """BagMinHash: for each multiset the earliest point of every component, as 32 bits of its time.
 
-    Weights are whole counts. Over an element's weight axis run Poisson processes, one for each dyadic interval (0, 1],
-    (1, 2], (2, 4], (4, 8] ... with a rate in proportion to its length; a point halves its interval down to one unit of
-    weight and counts for a set that holds as much of the element. An element's processes are the same in every set, so
-    components agree with the probability of the weighted Jaccard similarity. Points come in order of time, and a process
-    ends once it is behind all components of its set.
+    Weights are whole counts. Over an element's weight axis run Poisson processes, at first one for each of the intervals
+    (0, 1], (1, 2], (2, 4], (4, 8] ... with a rate in proportion to its length. A process of more than one unit splits in two
+    at its first point: the point goes to one half, and the other half's first point comes later. A half that lies beyond
+    the set's weight of the element is left at once, so a heavy element costs the logarithm of its weight. A point of a
+    unit's process counts for the component that it draws. Numbers come from the element and the interval alone, so the
+    processes are the same in every set and components agree with the probability of the weighted Jaccard similarity.
+    Points come in order of time, and a process ends once it is behind all components of its set.
     """
     best = np.full((len(sets), size), np.inf)
     owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
@@ -70,20 +77,29 @@ def bag_signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE)
     length = np.where(level > 0, 1 << np.maximum(level - 1, 0), 1)
     low = np.where(level > 0, length, 0)
     seed = mixed(element + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    time = np.zeros(len(owner))
-    step = 0
+    point = mixed(seed + _GOLD)
+    time = waiting(point, size * length)
     while len(owner):
-        step += 1
-        r = mixed(seed + np.uint64(step * int(_GOLD) & (1 << 64) - 1))
-        q = mixed(r + _GOLD)
-        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (size * length)
-        component = ((q >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-        unit = low + (q & (length - 1).astype(np.uint64)).astype(np.int64)
-        live = unit < count
-        np.minimum.at(best.ravel(), owner[live] * size + component[live], time[live])
+        leaf = length == 1
+        component = ((mixed(point[leaf] ^ _GOLD) >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+        np.minimum.at(best.ravel(), owner[leaf] * size + component, time[leaf])
+        after = mixed(point[leaf] + seed[leaf])
+        nodes = [(owner[leaf], count[leaf], low[leaf], length[leaf], seed[leaf], after, time[leaf] + waiting(after, size))]
+        if not leaf.all():
+            o, c, at, n, own, number, t = (x[~leaf] for x in (owner, count, low, length, seed, point, time))
+            half, taken = n // 2, mixed(number ^ own) & np.uint64(1)
+            for side in (0, 1):
+                child = mixed(own + np.uint64((2 * side + 1) * int(_GOLD) & (1 << 64) - 1))
+                fresh = mixed(child + number)
+                first = taken == side
+                start = at + side * half
+                kept = start < c
+                born = np.where(first, number, fresh), np.where(first, t, t + waiting(fresh, size * half))
+                nodes.append(tuple(x[kept] for x in (o, c, start, half, child, *born)))
+        owner, count, low, length, seed, point, time = (np.concatenate(x) for x in zip(*nodes))
         go = time < best.max(axis=1)[owner]
         if not go.all():
-            owner, count, low, length, seed, time = (x[go] for x in (owner, count, low, length, seed, time))
+            owner, count, low, length, seed, point, time = (x[go] for x in (owner, count, low, length, seed, point, time))
     return (mixed(best.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
