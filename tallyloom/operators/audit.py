@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import dates, text
+from tallyloom.functions import dates, similarity, text
 from tallyloom.functions.hashing import cross_source_key
 from tallyloom.operators.settle import parted, previous, settled, together, with_share
 
@@ -219,6 +219,22 @@ def close_names(df: DataFrame, key: str, name: str, block: Column, most: int = 2
     return pairs.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("a", "b", "distance")
 
 
+def close_texts(df: DataFrame, key: str, column: str, block: Column, most: int = 10) -> DataFrame:
+    """a, b, distance: rows of a block whose distinct texts are within `most` edits, where that are many (close_names for few).
+
+    An edit touches two pairs of neighbouring letters at most, so such texts lack 2 * most of each other's pairs at most and
+    have one in common among the first 2 * most + 1 of each, in any fixed order; texts with fewer pairs meet by that.
+    """
+    texts = df.groupBy(block.alias("block"), F.col(column).alias("text")).agg(F.min(key).alias("id")).where("text is not null")
+    pairs = F.array_sort(F.transform(F.array_distinct(similarity.bigrams(F.col("text"))), lambda g: F.xxhash64(g)))
+    first = F.slice(pairs, 1, 2 * most + 1)
+    short = F.when(F.size(pairs) <= 2 * most, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
+    parts = texts.select("block", "id", "text", F.explode(F.array_union(first, short)).alias("part"))
+    left, right = (parts.select("block", "part", F.col("id").alias(i), F.col("text").alias(n)) for i, n in (("a", "x"), ("b", "y")))
+    met = left.join(right, ["block", "part"]).where("a < b").select("a", "b", "x", "y").distinct()
+    return met.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("a", "b", "distance")
+
+
 def latest_before(runs: DataFrame) -> DataFrame:
     """Each run with the latest earlier run of its key, one of the same profile first.
 

@@ -498,3 +498,11 @@ def comparable_cells(spark, sf_dir):
     lasted = F.when(key % 5 == 0, "").when(key % 5 == 1, "8時間 5分").otherwise("  x ")
     spelt = F.date_format(day, "yyyy/MM/dd")
     return o.select(key.alias("row_index"), audit.comparable(spelt, "契約日").alias("from_file"), audit.comparable(serial.cast("string"), "契約日", serial).alias("from_sheet"), audit.comparable(lasted, "時刻").alias("duration"), audit.comparable(serial.cast("string"), "金額", serial).alias("amount"))
+
+
+_LONG = "select c_custkey, concat(c_mktsegment, cast(c_nationkey as string)) as block, concat('customer of ', c_mktsegment, case when c_custkey % 2 = 0 then ' with a long note ' else ' ' end, c_name, case when c_custkey % 3 = 0 then ' and more of it' else '' end) as text from {customer}"
+
+
+@query(", t as (select block, text, min(c_custkey) as id from notes group by 1, 2) select a.id as a, b.id as b, cast(levenshtein(a.text, b.text) as int) as distance from t a join t b on a.block = b.block and a.id < b.id where levenshtein(a.text, b.text) <= 10", notes=_LONG)
+def soft_dedupe_texts(notes):
+    return audit.close_texts(notes, "c_custkey", "text", F.col("block"))

@@ -300,3 +300,21 @@ def test_hot_keys_look_back_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(settle, "SHARE", 20)
     assert len(settle.parted(changes, ["ledger_key"], ["row_index"])) == 2 and len(settle.parted(runs, ["source"], ["started_at"])) == 2
     assert all_of() == plain
+
+
+def test_close_texts_are_those_of_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (5, 40, 90, 90)]
+    texts = []
+    for i in range(80):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(0, 9)):
+            t[r.randrange(len(t))] = r.choice("xyz")
+        texts.append((i, "".join(t)))
+    df = spark.createDataFrame(texts, "id int, t string")
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.id < b.id and a.t <> b.t and levenshtein(a.t, b.t) <= 10"))
+    first = {t: i for i, t in reversed(texts)}
+    want = {(min(first[x.at], first[x.bt]), max(first[x.at], first[x.bt])) for x in pairs.selectExpr("a.t as at", "b.t as bt").collect()}
+    assert {(x.a, x.b) for x in audit.close_texts(df, "id", "t", F.lit(1)).collect()} == want and want
