@@ -307,23 +307,24 @@ def row_source(file: str, row: Column) -> Column:
     return F.concat(F.lit(f"{file}:row_"), (row + 2).cast("string"))
 
 
-def staging(df: DataFrame, file: str, fields: dict[str, str], row: str = "row_index") -> DataFrame:
-    """Columns under their staging names, blank where the file has none, with the file, row and source of each."""
+def staging(df: DataFrame, file: str, fields: dict[str, str], row: str = "row_index", more: dict[str, Column] | None = None) -> DataFrame:
+    """Columns under their staging names, blank where the file has none, with the file, row and source of each, and more
+    columns made of the same row."""
     have = set(df.columns)
     named = [(text.trimmed(F.col(f"`{c}`")) if c in have else F.lit("")).alias(n) for n, c in fields.items()]
-    return df.select(*named, F.lit(file).alias("raw_source_file"), (F.col(row) + 2).cast("string").alias("raw_row_origin"), row_source(file, F.col(row)).alias("source_fingerprint"))
+    return df.select(*named, F.lit(file).alias("raw_source_file"), (F.col(row) + 2).cast("string").alias("raw_row_origin"), row_source(file, F.col(row)).alias("source_fingerprint"), *[v.alias(n) for n, v in (more or {}).items()])
 
 
 def staging_calls(df: DataFrame, file: str, fields: dict[str, str], matched: bool, row: str = "row_index") -> DataFrame:
     """Activities of a source of its own (matched: match_phones has been asked), or of a customer sheet whose rows carry the
-    customer above them (_filled_customer_id)."""
-    out = staging(df, file, fields, row)
-    keys = df.select((F.col(row) + 2).cast("string").alias("raw_row_origin"), *([F.col(c).cast("string").alias(c) for c in ("matched_customer_id", "candidate_count", "match_type")] if matched else [text.text(F.col("_filled_customer_id")).alias("matched_customer_id")]))
-    out = out.join(keys, "raw_row_origin")
-    if not matched:
-        found = F.col("matched_customer_id") != ""
-        out = out.withColumns({"candidate_count": F.when(found, "1").otherwise("0"), "match_type": F.when(found, "fill_forward").otherwise("no_match")})
-    return out.withColumns({"source_kind": F.lit("source_a" if matched else "source_b"), "call_date": dates.date(F.col("call_date"))})
+    customer above them (_filled_customer_id). One row for each of df, also where rows of several files share a number."""
+    if matched:
+        more = {c: F.col(c).cast("string") for c in ("matched_customer_id", "candidate_count", "match_type")}
+    else:
+        customer = text.text(F.col("_filled_customer_id"))
+        more = {"matched_customer_id": customer, "candidate_count": F.when(customer != "", "1").otherwise("0"), "match_type": F.when(customer != "", "fill_forward").otherwise("no_match")}
+    out = staging(df, file, fields, row, more | {"source_kind": F.lit("source_a" if matched else "source_b")})
+    return out.withColumn("call_date", dates.date(F.col("call_date")))
 
 
 def status_final(dictionary: DataFrame, answers: DataFrame) -> DataFrame:

@@ -285,7 +285,14 @@ def demote_collisions(df: DataFrame) -> DataFrame:
 
 
 def merge(rows: DataFrame, ledger: DataFrame, batch: str | Column, run: str, order: str = "row_index") -> tuple[DataFrame, DataFrame]:
-    """Rows with their dispositions, and the ledger after them.
+    """Rows with their dispositions (merged), and the whole ledger after them."""
+    out, touched = merged(rows, ledger, batch, run, order)
+    after = ledger.join(touched.select("ledger_key"), "ledger_key", "left_anti").select("ledger_key", "fp", "batch", "last_run").unionByName(touched)
+    return out, after
+
+
+def merged(rows: DataFrame, ledger: DataFrame, batch: str | Column, run: str, order: str = "row_index") -> tuple[DataFrame, DataFrame]:
+    """Rows with their dispositions, and what the ledger has of their keys after them.
 
     rows: ledger_key, fp, the order's column and whatever else; ledger: ledger_key, fp, batch, last_run. Rows of a key are
     taken in order, also where one key has very many (settle.parted): inserted, updated, duplicate (the key's last change came from this batch) or unchanged.
@@ -304,8 +311,7 @@ def merge(rows: DataFrame, ledger: DataFrame, batch: str | Column, run: str, ord
     reason = F.element_at(F.create_map(*[F.lit(x) for p in reasons.items() for x in p]), F.col("disposition"))
     out = joined.withColumn("disposition", label).withColumn("disposition_reason", reason)
     touched = out.groupBy("ledger_key").agg(F.max_by("fp", order).alias("fp"), F.when(F.max("_changed"), F.max_by(batch, order)).otherwise(F.max("_ledger_batch")).alias("batch"), F.lit(run).alias("last_run"))
-    after = ledger.join(touched.select("ledger_key"), "ledger_key", "left_anti").select("ledger_key", "fp", "batch", "last_run").unionByName(touched)
-    return out.drop("_batch", "_last", "_moved", "_prev", "_changed", "_batch_then", "_ledger_fp", "_ledger_batch"), after
+    return out.drop("_batch", "_last", "_moved", "_prev", "_changed", "_batch_then", "_ledger_fp", "_ledger_batch"), touched
 
 
 # --- candidates ------------------------------------------------------------------------------------------------------

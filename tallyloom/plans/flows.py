@@ -473,12 +473,11 @@ def rejected_records(f):
     return reviews.rejected_records(f).select("row_index", "reject_reason")
 
 
-@query(", filled as (select *, last_value(nullif(customer_id, '') ignore nulls) over (order by row_index rows between unbounded preceding and current row) as filled from flow) select 'source_b' as source_kind, '' as call_date, history as content, 'mixed.csv' as raw_source_file, cast(row_index + 2 as varchar) as raw_row_origin, coalesce(filled, '') as matched_customer_id, case when filled is not null then '1' else '0' end as candidate_count, case when filled is not null then 'fill_forward' else 'no_match' end as match_type from filled where history <> '' union all select 'source_a', call_date, content, 'calls.xlsx', cast(row_index + 2 as varchar), cast(row_index as varchar), '1', 'exact' from calls where row_index % 3 = 0", flow=FLOW, calls=CALLS)
-def staging_union(f, calls):
+@query(_MATCHED + ", filled as (select *, last_value(nullif(customer_id, '') ignore nulls) over (order by row_index rows between unbounded preceding and current row) as filled from flow) select 'source_b' as source_kind, '' as call_date, history as content, 'mixed.csv' as raw_source_file, cast(row_index + 2 as varchar) as raw_row_origin, coalesce(filled, '') as matched_customer_id, case when filled is not null then '1' else '0' end as candidate_count, case when filled is not null then 'fill_forward' else 'no_match' end as match_type from filled where history <> '' union all select 'source_a', call_date, content, 'calls.xlsx', cast(row_index + 2 as varchar), cast(case when match_type in ('exact', 'normalized') then ids[1] end as varchar), cast(case when is_hit then found else 0 end as varchar), match_type from matched", flow=FLOW, calls=CALLS, contact=CONTACT)
+def staging_union(f, calls, contact):
     children = core.fill_forward(f, "customer_id", ["phone"]).where("history <> ''")
     b = audit.staging_calls(children, "mixed.csv", {"call_date": "date", "content": "history"}, matched=False)
-    own = calls.where("row_index % 3 = 0").withColumns({"matched_customer_id": F.col("row_index").cast("string"), "candidate_count": F.lit("1"), "match_type": F.lit("exact")})
-    a = audit.staging_calls(own, "calls.xlsx", {"call_date": "call_date", "content": "content"}, matched=True)
+    a = audit.staging_calls(calls_matched(calls, contact), "calls.xlsx", {"call_date": "call_date", "content": "content"}, matched=True)
     return audit.activities(b, a).select("source_kind", "call_date", "content", "raw_source_file", "raw_row_origin", "matched_customer_id", "candidate_count", "match_type")
 
 
