@@ -1,239 +1,16 @@
-"""Delimited files read without loss: every record comes out as cells, or with the reason why not.
-
-Spark lists and reads the files (binaryFile), so paths can be in any store that Spark reads. Such a file is one record
-stream, since a quoted cell may hold line ends. Files that are UTF-8 without quotes (`is_plain`) are read by `scan_plain`,
-which Spark splits.
-"""
+"""Delimited files read without loss: every record comes out as cells, or with the reason why not (ranges.scan)."""
 
 from __future__ import annotations
 
-import csv
-import io
-import sys
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import trimmed
-from tallyloom.sources import detect
-
-MISALIGNED, UNDECODABLE, BROKEN = "COLUMN_MISALIGNMENT", "DECODE_FAILED", "PARSE_ERROR"
-ROWS = "source_file string, row_index long, cells array<string>, header array<string>, raw string, reason string, detail string, encoding string, delimiter string, quote_mode string"
-STRICT, RELAXED, LITERAL = "strict", "relaxed", "literal"
-
-
-@dataclass(frozen=True)
-class Options:
-    """None means: find out from the file."""
-
-    encoding: str | None = None
-    delimiter: str | None = None
-    quote_mode: str | None = None
-    header: bool | None = None
-    skip_rows: int = 0
-    preview_rows: int | None = None
-
-
-class Lines:
-    """A file's lines, decoded as they are asked for, and those asked for since the last record."""
-
-    def __init__(self, content: bytes, encoding: str):
-        self.stream = io.TextIOWrapper(io.BytesIO(content), {"utf8": "utf-8-sig"}.get(encoding, encoding), "replace", newline="")
-        self.taken: list[str] = []
-
-    def __iter__(self):
-        for line in self.stream:
-            self.taken.append(line)
-            yield line
-
-    def record(self) -> str:
-        raw = "".join(self.taken).removesuffix("\n").removesuffix("\r")
-        self.taken.clear()
-        return raw
-
-
-def _parse(lines, delimiter: str, mode: str):
-    csv.field_size_limit(sys.maxsize)  # a cell may be as large as its file
-    kind = {"quoting": csv.QUOTE_NONE} if mode == LITERAL else {"strict": mode == STRICT}
-    return csv.reader(lines, delimiter=delimiter, **kind)
-
-
-def _quote_mode(content: bytes, encoding: str, delimiter: str) -> str:
-    if b'"' not in content:
-        return STRICT
-    for mode in (STRICT, RELAXED):
-        try:
-            for _ in _parse(Lines(content, encoding).stream, delimiter, mode):
-                pass
-            return mode
-        except csv.Error:
-            continue
-    return LITERAL
-
-
-def records(path: str, content: bytes, o: Options):
-    """Yields rows of ROWS for one file; raw is the record as it stands there.
-
-    Blank lines are skipped, cells trimmed. A record with another number of cells than the header, or half of whose
-    characters can't be decoded, is a failure; fewer such characters are a warning (detail without a reason). A fault of
-    quoting ends the file, which only the strict mode has; without a mode given, one is taken that reads all of it.
-    """
-    encoding = o.encoding or detect.encoding(content[: detect.SAMPLE])
-    start = Lines(content[: 4 * detect.SAMPLE], encoding).stream.read()
-    delimiter = o.delimiter or detect.delimiter(start)
-    mode = o.quote_mode or _quote_mode(content, encoding, delimiter)
-    header, index, head = None, 0, []
-    common = (encoding, delimiter, mode)
-    lines = Lines(content, encoding)
-
-    def row(cells, raw, reason=None, detail=None):
-        return (path, index, None if reason else cells, header, raw, reason, detail, *common)
+from tallyloom.sources.formats import BROKEN, LITERAL, MISALIGNED, OWN, RELAXED, STRICT, UNDECODABLE, Options, unique
+from tallyloom.sources.ranges import scan
 
-    def judged(cells, raw):
-        if len(cells) != len(header):
-            return row(cells, raw, MISALIGNED, f"expected {len(header)} cells, got {len(cells)}")
-        text = "".join(cells)
-        lost = text.count("�")
-        if lost and lost / len(text) >= 0.5:
-            return row(cells, raw, UNDECODABLE, "half of the characters can't be decoded")
-        return row(cells, raw, None, f"{lost} characters can't be decoded" if lost else None)
-
-    def begin():
-        nonlocal header, head
-        named = o.header if o.header is not None else detect.has_header([c for c, _ in head])
-        header = unique(head[0][0]) if named else [f"c{i}" for i in range(len(head[0][0]))]
-        head, rest = [], head[named:]
-        return rest
-
-    def limited():
-        return o.preview_rows is not None and index >= o.preview_rows
-
-    skipped, fault = 0, None
-    try:
-        for cells in _parse(lines, delimiter, mode):
-            raw = lines.record()
-            cells = [c.strip() for c in cells]
-            if not any(cells) and len(cells) < 2:
-                continue
-            if skipped < o.skip_rows:
-                skipped += 1
-                continue
-            if header is None:
-                head.append((cells, raw))
-                if len(head) < 5:
-                    continue
-                ready = begin()
-            else:
-                ready = [(cells, raw)]
-            for record in ready:
-                if limited():
-                    return
-                yield judged(*record)
-                index += 1
-    except csv.Error as e:
-        fault = str(e)
-    if header is None and head:
-        for record in begin():
-            if limited():
-                return
-            yield judged(*record)
-            index += 1
-    if fault and not limited():
-        yield row(None, lines.record(), BROKEN, fault)
-
-
-#: columns that every read has besides those of the file
-OWN = ("row_index", "_source_file")
-
-
-def unique(names: list[str]) -> list[str]:
-    """Header names with a number behind those that repeat, or that are this reader's own."""
-    seen: dict[str, int] = dict.fromkeys(OWN, 1)
-    out: list[str] = []
-    for n in names:
-        name = n
-        while name in seen or name in out:
-            seen[n] = seen.get(n, 1) + 1
-            name = f"{n}_{seen[n]}"
-        seen.setdefault(n, 1)
-        out.append(name)
-    return out
-
-
-def scan(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
-    """All records of the files at a path, good and bad, as rows of ROWS."""
-
-    def batches(it):
-        for b in it:
-            for p, content in zip(b.column("path"), b.column("content")):
-                rows = []
-                for r in records(p.as_py(), content.as_py(), options):
-                    rows.append(r)
-                    if len(rows) == 5000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    def _batch(rows):
-        text, texts = pa.string(), pa.list_(pa.string())
-        kinds = (text, pa.int64(), texts, texts, text, text, text, text, text, text)
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in ROWS.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, ROWS)
-
-
-def is_plain(spark: SparkSession, path: str) -> bool:
-    """Whether the files at a path are sound UTF-8 without a quote: one pass, in parts."""
-    bad = F.col("value").contains('"') | F.col("value").contains("\ufffd") | F.col("value").contains("\0")
-    return spark.read.text(path).where(bad).limit(1).count() == 0
-
-
-def scan_plain(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
-    """As scan, for files that are UTF-8 without quotes: Spark splits them at line ends, so a file may be of any size.
-
-    A file's first lines tell its delimiter and header. row_index is the place in the file's order, though not without gaps:
-    the byte that a split starts at and the line in it.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", "\r$", "").alias("raw"))
-    lines = lines.withColumn("raw", F.when(F.col("_at") == 0, F.regexp_replace("raw", "^\ufeff", "")).otherwise(F.col("raw")))
-    block = lines.groupBy("source_file", "_at").agg(F.min("_line").alias("_first"))  # one row a split
-    lines = lines.join(F.broadcast(block), ["source_file", "_at"]).withColumn("_n", F.col("_at") + F.col("_line") - F.col("_first")).where(F.trim("raw") != "")
-    keep = 6 + options.skip_rows
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy("_n"))
-    heads: dict[str, list[tuple[int, str]]] = {}
-    for r in lines.withColumn("_place", place).where(F.col("_place") <= keep).select("source_file", "_n", "raw", "_place").orderBy("source_file", "_place").collect():  # a few lines a file
-        heads.setdefault(r.source_file, []).append((r._n, r.raw))
-    known = []
-    for file, top in heads.items():
-        top = top[options.skip_rows :]
-        if not top:
-            continue
-        delimiter = options.delimiter or detect.delimiter("\n".join(x for _, x in top))
-        cells = [[c.strip() for c in x.split(delimiter)] for _, x in top[:5]]
-        named = options.header if options.header is not None else detect.has_header(cells)
-        header = unique(cells[0]) if named else [f"c{i}" for i in range(len(cells[0]))]
-        known.append((file, delimiter, header, top[0][0] + int(named)))
-    if not known:
-        return spark.createDataFrame([], ROWS)
-    files = spark.createDataFrame(known, "source_file string, delimiter string, header array<string>, _from long")
-    rows = lines.join(F.broadcast(files), "source_file").where("_n >= _from")  # a row a file
-    cells = F.transform(F.expr("split(raw, concat('\\\\Q', delimiter, '\\\\E'), -1)"), trimmed)
-    wrong = F.size("cells") != F.size("header")
-    return rows.withColumn("cells", cells).select(
-        "source_file",
-        (F.col("_n") - F.col("_from")).alias("row_index"),
-        F.when(~wrong, F.col("cells")).alias("cells"),
-        "header",
-        "raw",
-        F.when(wrong, MISALIGNED).alias("reason"),
-        F.when(wrong, F.format_string("expected %d cells, got %d", F.size("header"), F.size("cells"))).alias("detail"),
-        F.lit("utf8").alias("encoding"),
-        "delimiter",
-        F.lit(STRICT).alias("quote_mode"),
-    )
+__all__ = ["BROKEN", "LITERAL", "MISALIGNED", "OWN", "RELAXED", "STRICT", "UNDECODABLE", "Ingested", "Options", "diagnosis", "raw_line_count", "read", "scan", "tabled", "unique", "write"]
 
 
 @dataclass
@@ -244,7 +21,7 @@ class Ingested:
 
 
 def tabled(found: DataFrame) -> Ingested:
-    """Rows of ROWS as a table: good records by the names of their own file's header, and the failures.
+    """Rows of scan as a table: good records by the names of their own file's header, and the failures.
 
     Files at one path may have columns of their own or in another order; what a file lacks is blank.
     """
@@ -256,10 +33,9 @@ def tabled(found: DataFrame) -> Ingested:
     return Ingested(good, bad, columns)
 
 
-def read(spark: SparkSession, path: str, options: Options = Options(), plain: bool = False) -> Ingested:
-    """The good records of the files at a path as columns of strings with row_index and _source_file, and the failures.
-    plain: the files are UTF-8 without quotes, so large ones are split."""
-    return tabled(scan_plain(spark, path, options) if plain else scan(spark, path, options))
+def read(spark: SparkSession, path: str, options: Options = Options()) -> Ingested:
+    """The good records of the files at a path as columns of strings with row_index and _source_file, and the failures."""
+    return tabled(scan(spark, path, options))
 
 
 def diagnosis(found: DataFrame) -> DataFrame:

@@ -22,10 +22,10 @@ def format_of(path: str) -> str:
     raise ValueError(f"no reader for {path!r}")
 
 
-def read_source(spark: SparkSession, path: str, options: Options = Options(), sheet: str | None = None, plain: bool = False) -> Ingested:
+def read_source(spark: SparkSession, path: str, options: Options = Options(), sheet: str | None = None) -> Ingested:
     """The rows of the files at a path, by their kind. Sheets have no failures: short rows are filled up."""
     if format_of(path) == "csv":
-        return delimited.read(spark, path, options, plain)
+        return delimited.read(spark, path, options)
     found = spreadsheet.read(spark, path, sheet)
     named = found.withColumn("header", F.transform("header", lambda c: F.trim(c)))
     headers = [r.header for r in named.groupBy("header").agg(F.min("source_file").alias("f")).orderBy("f").collect()]  # one a kind of sheet

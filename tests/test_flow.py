@@ -114,26 +114,9 @@ def test_a_cell_of_a_megabyte_keeps_the_rows_behind_it(spark, tmp_path):
 def test_files_with_other_headers_keep_their_names(spark, tmp_path):
     file(tmp_path, "a.csv", b"name,row_index\nx,7\n")
     file(tmp_path, "b.csv", b"phone,name\n01,y\n")
-    for plain in (False, True):
-        found = delimited.read(spark, str(tmp_path / "*.csv"), delimited.Options(header=True), plain)
-        assert found.columns == ["name", "row_index_2", "phone"]
-        assert rows(found.rows.select("name", "row_index_2", "phone")) == [("x", "7", ""), ("y", "", "01")]
-
-
-def test_plain_files_are_split_as_they_are_parsed(spark, tmp_path):
-    text = "name;n\n" + "".join(f" r{i} ;{i}\n" for i in range(3000)) + "short\n"
-    path = file(tmp_path, "p.csv", b"\xef\xbb\xbf" + text.encode())
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        assert delimited.is_plain(spark, path)
-        a, b = (delimited.read(spark, path, delimited.Options(header=True), plain) for plain in (False, True))
-        assert rows(a.rows.select("name", "n")) == rows(b.rows.select("name", "n"))
-        assert [r.n for r in b.rows.orderBy("row_index").collect()] == [str(i) for i in range(3000)]
-        assert [r.reason for r in b.failures.collect()] == [delimited.MISALIGNED]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert not delimited.is_plain(spark, file(tmp_path, "q.csv", b'a,b\n"x",y\n'))
+    found = delimited.read(spark, str(tmp_path / "*.csv"), delimited.Options(header=True))
+    assert found.columns == ["name", "row_index_2", "phone"]
+    assert rows(found.rows.select("name", "row_index_2", "phone")) == [("x", "7", ""), ("y", "", "01")]
 
 
 def test_raw_records_warnings_and_diagnosis(spark, tmp_path):
