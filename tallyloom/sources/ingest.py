@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import audit, core
+from tallyloom.operators.settle import settled
 from tallyloom.sources import delimited, spreadsheet
-from tallyloom.sources.delimited import Ingested, Options, unique
+from tallyloom.sources.delimited import Ingested, Options
 
 
 def format_of(path: str) -> str:
@@ -23,25 +24,10 @@ def format_of(path: str) -> str:
 
 
 def read_source(spark: SparkSession, path: str, options: Options = Options(), sheet: str | None = None) -> Ingested:
-    """The rows of the files at a path, by their kind. Sheets have no failures: short rows are filled up."""
+    """The rows of the files at a path, by their kind, and their failures. What was parsed is kept (settled)."""
     if format_of(path) == "csv":
         return delimited.read(spark, path, options)
-    found = spreadsheet.read(spark, path, sheet)
-    named = found.withColumn("header", F.transform("header", lambda c: F.trim(c)))
-    headers = [r.header for r in named.groupBy("header").agg(F.min("source_file").alias("f")).orderBy("f").collect()]  # one a kind of sheet
-    if not headers:
-        rows = found.select("row_index", F.col("source_file").alias("_source_file"))
-        return Ingested(rows, _no_failures(spark), [])
-    by_header = []
-    for h in headers:
-        own = named.where(F.col("header") == F.array(*[F.lit(c) for c in h]))
-        by_header.append(own.select("row_index", F.col("source_file").alias("_source_file"), *[F.trim(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(unique(h))]))
-    rows = core.union_files(*by_header)
-    return Ingested(rows, _no_failures(spark), [c for c in rows.columns if c not in delimited.OWN])
-
-
-def _no_failures(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "source_file string, row_index long, raw string, raw_sha256 string, preview string, reason string, detail string")
+    return delimited.tabled(settled(spreadsheet.read(spark, path, sheet, options=options)))
 
 
 @dataclass(frozen=True)

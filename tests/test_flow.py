@@ -301,3 +301,37 @@ def test_close_texts_are_those_of_all_pairs(spark):
     first = {t: i for i, t in reversed(texts)}
     want = {(min(first[x.at], first[x.bt]), max(first[x.at], first[x.bt])) for x in pairs.selectExpr("a.t as at", "b.t as bt").collect()}
     assert {(x.a, x.b) for x in audit.close_texts(df, "id", "t", F.lit(1)).collect()} == want and want
+
+
+def test_long_names_and_texts_with_the_same_ends(spark):
+    """Names beyond those that are compared by what is left of them, and blocks whose texts begin and end alike."""
+    import random
+
+    def edits(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            p, d[0] = d[0], i + 1
+            for j, y in enumerate(b):
+                p, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, p + (x != y))
+        return d[-1]
+
+    r = random.Random(8)
+    base = ["".join(r.choice("ab山") for _ in range(n)) for n in (3, 30, 31, 33, 34, 60)]
+    names = []
+    for i in range(70):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(0, 4)):
+            at = r.randrange(len(t))
+            t[at : at + 1] = r.choice([[], ["x"], [t[at], "y"]])
+            t = t or ["z"]
+        names.append((i, "".join(t)))
+    first = {}
+    for i, n in names:
+        first.setdefault(n, i)
+    want = lambda most: sorted((min(i, j), max(i, j), edits(a, b)) for a, i in first.items() for b, j in first.items() if i < j and edits(a, b) <= most)
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(audit.close_names(spark.createDataFrame(names, "id int, name string"), "id", "name", F.lit("all"))) == want(2)
+    for front, back in (("", ""), ("the same ", " of all"), ("aa", "aa")):
+        df = spark.createDataFrame([(i, front + n + back) for i, n in names] + [(99, None)], "id int, t string")
+        for most in (3, 10):
+            assert got(audit.close_texts(df, "id", "t", F.lit(1), most)) == want(most)

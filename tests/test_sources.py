@@ -3,10 +3,12 @@
 import csv
 import io
 import random
+import tracemalloc
+import zipfile
 
 import pytest
 
-from tallyloom.sources import delimited, detect, ranges
+from tallyloom.sources import delimited, detect, ingest, ranges, spreadsheet
 from tallyloom.sources.delimited import LITERAL, RELAXED, STRICT, Options
 
 # --- delimited files -------------------------------------------------------------------------------------------------
@@ -120,3 +122,65 @@ def test_effects_compose():
         for mode in (STRICT, RELAXED):
             for begins in (ranges.OUTSIDE, ranges.INSIDE):
                 assert ranges.effect(a + b, ",", mode, begins) == ranges.effect(b, ",", mode, ranges.effect(a, ",", mode, begins))
+
+
+# --- sheets ----------------------------------------------------------------------------------------------------------
+
+NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def book(path, rows, strings=(), formats=()):
+    """A book with a sheet of rows of cells in XML, shared strings in XML, and a cell style for each format code."""
+    styles = "".join(f'<numFmt numFmtId="{170 + i}" formatCode="{c}"/>' for i, c in enumerate(formats))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {NS} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="one" sheetId="1" r:id="r1"/><sheet name="two" sheetId="2" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {NS}>{''.join(strings)}</sst>")
+        z.writestr("xl/styles.xml", f"<styleSheet {NS}><numFmts>{styles}</numFmts><cellXfs>{''.join(f'<xf numFmtId=\"{170 + i}\"/>' for i in range(len(formats)))}</cellXfs></styleSheet>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {NS}><sheetData>{''.join('<row>' + ''.join(r) + '</row>' for r in rows)}</sheetData></worksheet>")
+    return str(path)
+
+
+def test_readings_and_rich_text(spark, tmp_path):
+    strings = ["<si><t>東京</t><rPh sb='0' eb='2'><t>トウキョウ</t></rPh><phoneticPr fontId='1'/></si>", "<si><r><t>山</t></r><r><rPr/><t>田</t></r><rPh sb='0' eb='2'><t>ヤマダ</t></rPh></si>", "<si><t>a_x000A_b</t></si>"]
+    inline = "<c t='inlineStr'><is><t>大阪</t><rPh sb='0' eb='2'><t>オオサカ</t></rPh></is></c>"
+    path = book(tmp_path / "r.xlsx", [["<c t='s'><v>0</v></c>", "<c t='s'><v>1</v></c>"], [inline, "<c t='s'><v>2</v></c>"]], strings)
+    found = ingest.read_source(spark, path)
+    assert found.columns == ["東京", "山田"] and [tuple(r)[2:] for r in found.rows.collect()] == [("大阪", "a\nb")]
+    assert [(r.place, r.sheet) for r in spreadsheet.sheet_names(spark, path).collect()] == [(0, "one"), (1, "two")]
+
+
+def test_cells_behind_the_header_are_reported(spark, tmp_path):
+    cell = lambda v: f"<c t='inlineStr'><is><t>{v}</t></is></c>"
+    path = book(tmp_path / "w.xlsx", [[cell("a"), cell("b")], [cell(1), cell(2), cell("lost")], [cell(3)], [cell(4), cell(5), cell(" ")]])
+    found = ingest.read_source(spark, path)
+    assert sorted(tuple(r)[2:] for r in found.rows.collect()) == [("3", ""), ("4", "5")]
+    assert [(r.row_index, r.reason, r.raw, r.detail) for r in found.failures.collect()] == [(0, delimited.MISALIGNED, "1\t2\tlost", "expected 2 cells, got 3")]
+    nameless = ingest.read_source(spark, path, Options(header=False, skip_rows=1, preview_rows=2))
+    assert nameless.columns == ["c0", "c1", "c2"] and nameless.rows.count() == 2 and nameless.failures.count() == 0
+
+
+@pytest.mark.parametrize(
+    "value, code, shown",
+    [("1234.5", "#,##0.00", "1,234.50"), ("-1234.5", "#,##0;(#,##0)", "(1,235)"), ("0.256", "0.0%", "25.6%"), ("0", "0.00;-0.00;none", "none"), ("12345678", "#,##0,", "12,346"), ("7", "000", "007")]
+    + [("1234567", "0.00E+00", "1.23E+06"), ("5", '0"円"', "5円"), ("0.5", "#.##", ".5"), ("2.5", "0.0##", "2.5"), ("-3", "0", "-3"), ("1000", "\\¥#,##0", "¥1,000"), ("0.1", "General", "0.1"), ("1.005", "0.00", "1.01"), ("-0.001", "0.00", "0.00"), ("8", "[Red]0_ ", "8")],
+)
+def test_numbers_as_shown(value, code, shown):
+    assert spreadsheet.shown_number(value, code) == shown
+
+
+def test_numbers_without_a_format(spark, tmp_path):
+    assert [spreadsheet.shown_general(v) for v in ("45292", "0.30000000000000004", "-2.50", "1e21", "0.00001234", "12345678901")] == ["45292", "0.3", "-2.5", "1E+21", "1.234E-05", "12345678901"]
+    path = book(tmp_path / "n.xlsx", [[f"<c s='{i}'><v>{v}</v></c>" for i, v in enumerate(("45292.5", "1234.5", "3"))]], formats=["yyyy/mm/dd", "#,##0.0", "General"])
+    assert spreadsheet.read(spark, path, options=Options(header=False)).first().cells == ["2024-01-01 12:00:00", "1,234.5", "3"]
+
+
+def test_a_long_sheet_stays_small(tmp_path):
+    """Rows are freed as they are read: memory doesn't grow with the sheet."""
+    path = book(tmp_path / "l.xlsx", (["<c><v>1</v></c>", f"<c t='inlineStr'><is><t>row {i}</t></is></c>"] for i in range(60_000)))
+    content = open(path, "rb").read()
+    tracemalloc.start()
+    n = sum(1 for _ in spreadsheet.sheet_rows(content))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 8_000_000
