@@ -206,35 +206,88 @@ def deletions(c: Column, most: int) -> Column:
     return out
 
 
+SHORT_NAME = 32  # letters of a name that is still compared by what is left of it
+
+
 def close_names(df: DataFrame, key: str, name: str, block: Column, most: int = 2) -> DataFrame:
     """a, b, distance: rows of a block whose distinct names are within `most` edits. Equal names meet once, by their first row.
 
     Strings within so many edits have a string in common that is left of both when as many characters are taken out, so
-    only names that share one are compared, and a large block of unlike names costs rows in proportion to its size.
+    only names that share one are compared, and a large block of unlike names costs rows in proportion to its size. Names
+    beyond SHORT_NAME letters, of which there would be too many such strings, meet by their segments (close_texts).
     """
-    names = df.groupBy(block.alias("block"), F.col(name).alias("name")).agg(F.min(key).alias("id")).where("name is not null")
-    parts = names.select("block", "id", "name", F.explode(deletions(F.col("name"), most)).alias("part"))
-    left, right = (parts.select("block", "part", F.col("id").alias(i), F.col("name").alias(n)) for i, n in (("a", "x"), ("b", "y")))
-    pairs = left.join(right, ["block", "part"]).where("a < b").select("a", "b", "x", "y").distinct()
-    return pairs.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("a", "b", "distance")
+    names = df.groupBy(block.alias("block"), F.col(name).alias("text")).agg(F.min(key).alias("id")).where("text is not null")
+    parts = names.where(F.length("text") <= SHORT_NAME).select("block", "id", F.explode(deletions(F.col("text"), most)).alias("part"))
+    left, right = (parts.select("block", "part", F.col("id").alias(i)) for i in ("a", "b"))
+    short = left.join(right, ["block", "part"]).where("a < b").select("a", "b")
+    long = segment_pairs(names.where(F.length("text") > SHORT_NAME - most), most)
+    return _within(short.unionByName(long).distinct(), names, most)
 
 
 def close_texts(df: DataFrame, key: str, column: str, block: Column, most: int = 10) -> DataFrame:
     """a, b, distance: rows of a block whose distinct texts are within `most` edits, where that are many (close_names for few).
 
-    An edit touches two pairs of neighbouring letters at most, so such texts lack 2 * most of each other's pairs at most and
-    have one in common among the first 2 * most + 1 of each, in any fixed order; texts with fewer pairs meet by that.
+    What all texts of a block begin and end with makes no difference and is left out; the rest meet by their segments.
     """
     texts = df.groupBy(block.alias("block"), F.col(column).alias("text")).agg(F.min(key).alias("id")).where("text is not null")
-    pairs = F.array_sort(F.transform(F.array_distinct(similarity.bigrams(F.col("text"))), lambda g: F.xxhash64(g)))
-    first = F.slice(pairs, 1, 2 * most + 1)
-    short = F.when(F.size(pairs) <= 2 * most, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
-    parts = texts.select("block", "id", "text", F.explode(F.array_union(first, short)).alias("part"))
-    left, right = (parts.select("block", "part", F.col("id").alias(i), F.col("text").alias(n)) for i, n in (("a", "x"), ("b", "y")))
-    met = left.join(right, ["block", "part"]).where("a < b").select("a", "b", "x", "y").distinct()
+    ends = F.array(F.col("text"), F.reverse("text"))
+    same = texts.groupBy("block").agg(*[f(ends[i]).alias(f"_{n}{i}") for i in (0, 1) for n, f in (("low", F.min), ("high", F.max))])
+    # what the first and the last in order share, all between them do
+    letters = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    differ = lambda x, y: F.array_position(F.zip_with(letters(x), letters(y), lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
+    shared = lambda x, y: F.when(x == y, F.length(x)).otherwise(differ(x, y) - 1)
+    same = same.select("block", shared(F.col("_low0"), F.col("_high0")).alias("_front"), shared(F.col("_low1"), F.col("_high1")).alias("_back"), F.least(F.length("_low0"), F.length("_high0")).alias("_short"))
+    cut = texts.join(same, "block")
+    rest = F.length("text") - F.col("_front") - F.when(F.col("_front") + F.col("_back") <= F.col("_short"), F.col("_back")).otherwise(0)
+    cut = cut.select("block", "id", F.substring("text", F.col("_front") + 1, F.greatest(rest, F.lit(0))).alias("text"))
+    return _within(segment_pairs(cut, most).distinct(), cut, most)
+
+
+def _within(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """a, b, distance of those pairs of ids whose texts are of one block and within so many edits."""
+    side = lambda i, t: texts.select(F.col("id").alias(i), F.col("block").alias(f"_{i}"), F.col("text").alias(t))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(F.col("_a").eqNullSafe(F.col("_b")))
     return met.withColumn("distance", F.levenshtein("x", "y", most)).where("distance >= 0").select("a", "b", "distance")
 
 
+def segment_pairs(texts: DataFrame, most: int) -> DataFrame:
+    """a, b, of a < b: pairs of texts (block, id, text) that may be within `most` edits, some of them repeatedly.
+
+    Each text is cut into most + 1 segments of even length. Of two texts within so many edits, one segment of the shorter
+    stands unchanged in the longer one, moved by no more places than edits before and behind it allow. So a text is indexed
+    by its segments and asks, for each length up to `most` shorter than its own, for the segments that it holds in these
+    windows. Keys are hashes of block, length, segment and letters; what they bring together is compared by the caller.
+    Texts of at most `most` letters have no such segments and meet all of a like length.
+    """
+    k = F.lit(most)
+    n = most + 1
+    x, length = F.col("text"), F.length("text")
+
+    def segment(size: Column, i: Column) -> tuple[Column, Column]:
+        base, long = F.floor(size / n).cast("int"), n - size % n
+        return i * base + F.greatest(i - long, F.lit(0)), base + (i >= long).cast("int")
+
+    numbered_ = F.explode(F.sequence(F.lit(0), k)).alias("i")
+    mine = texts.where(length > k).select("block", "id", "text", length.alias("size"), numbered_)
+    start, size = segment(F.col("size"), F.col("i"))
+    index = mine.select(F.xxhash64("block", "size", "i", F.substring(x, start + 1, size)).alias("key"), F.col("id").alias("of"))
+    asks = texts.where(length > k).select("block", "id", "text", length.alias("own"), F.explode(F.sequence(F.lit(0), k)).alias("d")).where(F.col("own") - F.col("d") > k)
+    asks = asks.withColumn("size", F.col("own") - F.col("d")).select("*", numbered_)
+    start, size = segment(F.col("size"), F.col("i"))
+    i, d = F.col("i"), F.col("d")
+    low = F.greatest(start - i, start + d - (k - i), F.lit(0))
+    high = F.least(start + i, start + d + (k - i), F.col("own") - size)
+    asks = asks.withColumns({"low": low, "high": high, "long": size}).where("low <= high")
+    asks = asks.select("*", F.explode(F.sequence("low", "high")).alias("at"))
+    asks = asks.select(F.xxhash64("block", "size", "i", F.substring(x, F.col("at") + 1, F.col("long"))).alias("key"), "id", "d").distinct()
+    met = asks.join(index, "key").where((F.col("id") != F.col("of")) & ((F.col("d") > 0) | (F.col("id") > F.col("of"))))
+    pair = lambda df, p, q: df.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    brief = texts.where(length <= k).select("block", F.col("id").alias("of"), length.alias("size"))
+    near = texts.where(length <= 2 * k).select("block", "id", length.alias("own"))
+    little = near.join(brief, "block").where((F.col("own") - F.col("size") <= k) & ((F.col("own") > F.col("size")) | ((F.col("own") == F.col("size")) & (F.col("id") > F.col("of")))))
+    return pair(met, "id", "of").unionByName(pair(little, "id", "of"))
+
+
 def latest_before(runs: DataFrame) -> DataFrame:
     """Each run with the latest earlier run of its key, one of the same profile first.
 
