@@ -16,7 +16,9 @@ from tallyloom.llm.graph import hot_keys, looked_up
 
 LETTERS = 32  # counts of a word's code points by their remainder: one edit changes a sum of at most two
 LEAF = 32  # points of a tree's leaf
-CELL = 8192  # words of a length that make a tree; more are split by planes from a sample
+MOST = 100  # what a count is cut to, so that sums stay small; cut counts are no farther apart
+CELL = 32_768  # words of a length that make a tree; more are split by planes from a sample
+BLOCK = 8192  # queries that pass through a tree together
 SAMPLE = 20_000  # words, about, that the planes come from; they only tell how even cells are
 HELD = 200_000  # different words that a task counts before it hands them on
 LONG = 64  # words beyond this length are compared one by one
@@ -71,11 +73,10 @@ def word_counts(docs: DataFrame, divisor: int = 199, shortest: int = 6, least: i
 
 
 def letter_counts(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), LETTERS), np.int32)
-    if words:
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        np.add.at(out, (np.repeat(np.arange(len(words)), [len(w) for w in words]), codes % LETTERS), 1)
-    return out
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % LETTERS
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    counts = np.bincount(row * LETTERS + codes, minlength=len(words) * LETTERS).reshape(-1, LETTERS)
+    return np.minimum(counts, MOST).astype(np.int8)
 
 
 class Tree:
@@ -109,7 +110,7 @@ class Tree:
             node, asked = stack.pop()
             low, high, children, own = self.nodes[node]
             q = queries[asked]
-            asked = asked[(np.maximum(low - q, 0) + np.maximum(q - high, 0)).sum(axis=1) <= radius]
+            asked = asked[(np.maximum(low - q, 0) + np.maximum(q - high, 0)).sum(axis=1, dtype=np.int16) <= radius]
             if not len(asked):
                 continue
             if children:
@@ -119,7 +120,7 @@ class Tree:
                 some = own[at : at + 4 * LEAF]
                 for part in range(0, len(asked), 2048):
                     a = asked[part : part + 2048]
-                    i, j = np.nonzero(np.abs(queries[a][:, None, :] - self.points[some][None]).sum(axis=2) <= radius)
+                    i, j = np.nonzero(np.abs(queries[a][:, None, :] - self.points[some][None]).sum(axis=2, dtype=np.int16) <= radius)
                     yield a[i], some[j]
 
 
@@ -129,21 +130,23 @@ def one_edit(a: str, b: str) -> bool:
     return a != b and a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def _codes(words: list[str], length: int) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
+class Words:
+    """Words of one length, with their letters as a matrix unless they are very long."""
 
+    def __init__(self, words: list[str]):
+        self.words, self.length = words, len(words[0])
+        self.letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1) if self.length <= LONG else None
 
-def verified(short: list[str], long: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (short[i], long[j]) are one edit apart, by the order of their letters."""
-    m, n = len(short[0]), len(long[0])
-    if n > LONG:
-        return np.fromiter((one_edit(short[x], long[y]) for x, y in zip(i, j)), bool, len(i))
-    a, b = _codes(short, m)[i], _codes(long, n)[j]
-    if m == n:
-        return (a != b).sum(axis=1) == 1
-    before = np.logical_and.accumulate(a == b[:, :m], axis=1).sum(axis=1)
-    after = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-    return before + after >= m
+    def one_edit(self, longer: "Words", i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (self[i], longer[j]) are one edit apart, by the order of their letters."""
+        if longer.letters is None:
+            return np.fromiter((one_edit(self.words[x], longer.words[y]) for x, y in zip(i, j)), bool, len(i))
+        a, b, m = self.letters[i], longer.letters[j], self.length
+        if m == longer.length:
+            return (a != b).sum(axis=1) == 1
+        before = np.logical_and.accumulate(a == b[:, :m], axis=1).sum(axis=1)
+        after = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+        return before + after >= m
 
 
 class Planes:
@@ -167,19 +170,17 @@ class Planes:
 
     def cells(self, counts: np.ndarray, length: int, radius: int):
         """Yields (row numbers, cell) for all cells of a length that points within the radius of each row may lie in."""
-        stack = [(self.trees.get(length), 1, np.arange(len(counts)), np.full(len(counts), radius))]
+        stack = [(self.trees.get(length), 1, np.arange(len(counts)))]
         while stack:
-            node, cell, rows, left = stack.pop()
+            node, cell, rows = stack.pop()
             if not len(rows):
                 continue
             if node is None:
                 yield rows, cell
                 continue
-            # a step over a plane costs at least the distance to it, but planes of one dimension may be passed together
             d, m, low, high = node
-            x = counts[rows, d]
-            near_low, near_high = np.maximum(x - m, 0) <= left, np.maximum(m + 1 - x, 0) <= left
-            stack += [(low, 2 * cell, rows[near_low], left[near_low]), (high, 2 * cell + 1, rows[near_high], left[near_high])]
+            x = counts[rows, d].astype(int)
+            stack += [(low, 2 * cell, rows[x - m <= radius]), (high, 2 * cell + 1, rows[m + 1 - x <= radius])]
 
 
 PLACED = "length int, cell long, asks boolean, word string, n long"
@@ -191,61 +192,59 @@ def _placed(words: DataFrame, planes: Planes) -> DataFrame:
 
     def batches(it):
         for b in it:
-            words_, n = b.column("word").to_pylist(), b.column("n").to_pylist()
-            out: list[tuple] = []
-            lengths = np.fromiter(map(len, words_), np.int64, len(words_))
+            words_ = b.column("word").to_pylist()
+            lengths = np.fromiter(map(len, words_), np.int32, len(words_))
             for length in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == length)
                 counts = letter_counts([words_[i] for i in own])
                 for asks, size, radius in ((False, length, 0), (True, length, 2), (True, length + 1, 1)):
                     for rows, cell in planes.cells(counts, size, radius):
-                        out += [(size, cell, asks, words_[i], n[i]) for i in own[rows]]
-            for at in range(0, len(out), 10_000):
-                part = out[at : at + 10_000]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part), (pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int64()))], names=["length", "cell", "asks", "word", "n"])
+                        at, n = pa.array(own[rows]), len(rows)
+                        same = lambda v, k: pa.array(np.full(n, v), k)  # noqa: B023, E731
+                        yield pa.record_batch([same(size, pa.int32()), same(cell, pa.int64()), same(asks, pa.bool_()), b.column("word").take(at), b.column("n").take(at)], names=["length", "cell", "asks", "word", "n"])
 
     return words.select("word", "n").mapInArrow(batches, PLACED)
 
 
+def _runs(it):
+    """Slices of batches whose rows have the same (length, cell, part, asks), with these."""
+    for b in it:
+        keys = np.stack([b.column(c).cast(pa.int64()).to_numpy() for c in ("length", "cell", "part", "asks")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for x, y in zip(cuts, cuts[1:]):
+            if y > x:
+                yield keys[x].tolist(), b.slice(x, y - x)
+
+
 def _matches(it):
-    """Batches of (length, cell, part, asks, word, n), sorted so that a cell's points come before its queries: a tree is built
-    of the points, and the queries pass through it block by block."""
-    key, points, tree = None, [], None
-    asked: list[tuple[str, int]] = []
-
-    def answers():
-        nonlocal tree
-        if not points or not asked:
-            return
+    """Batches sorted by cell, part and asks, so that a cell's points come before its queries: a tree is built of the points,
+    and the queries pass through it in blocks."""
+    key, words, n, tree = None, [], [], None
+    for (length, cell, part, asks), rows in _runs(it):
+        if (length, cell, part) != key:
+            key, words, n, tree = (length, cell, part), [], [], None
+        if not asks:
+            words += rows.column("word").to_pylist()
+            n.append(rows.column("n").to_numpy())
+            continue
+        if not words:
+            continue
         if tree is None:
-            tree = Tree(letter_counts([w for w, _ in points]))
-        names = [w for w, _ in points]
-        for length in {len(w) for w, _ in asked}:
-            own = [x for x in asked if len(x[0]) == length]
-            short = [w for w, _ in own]
-            same = length == len(names[0])
-            for i, j in tree.within(letter_counts(short), 2 if same else 1):
-                if len(i) and (ok := verified(short, names, i, j)).any():
-                    rows = []
-                    for x, y in zip(i[ok].tolist(), j[ok].tolist()):
-                        rows.append((*own[x][:1], *points[y]))
-                        if not same:  # only shorter words ask
-                            rows.append((points[y][0], *own[x]))
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["word", "near", "near_n"])
-
-    for b in it:
-        for length, cell, part, asks, word, n in zip(*(b.column(c).to_pylist() for c in ("length", "cell", "part", "asks", "word", "n"))):
-            if (length, cell, part) != key:
-                yield from answers()
-                key, points, tree, asked = (length, cell, part), [], None, []
-            if not asks:
-                points.append((word, n))
-                continue
-            asked.append((word, n))
-            if len(asked) == 4096:
-                yield from answers()
-                asked = []
-    yield from answers()
+            tree, points, counts = Tree(letter_counts(words)), Words(words), np.concatenate(n)
+        asked, times = rows.column("word").to_pylist(), rows.column("n").to_numpy()
+        for size in (length, length - 1):
+            own = np.flatnonzero(np.fromiter(map(len, asked), np.int64, len(asked)) == size)
+            for at in range(0, len(own), BLOCK):
+                some = own[at : at + BLOCK]
+                block, radius = Words([asked[i] for i in some]), 2 if size == length else 1
+                found = [(i[ok], j[ok]) for i, j in tree.within(letter_counts(block.words), radius) if len(i) for ok in (block.one_edit(points, i, j),)]
+                if not found:
+                    continue
+                i, j = (np.concatenate(x) for x in zip(*found))
+                a, b = pa.array(block.words).take(pa.array(i)), pa.array(words).take(pa.array(j))
+                yield pa.record_batch([a, b, pa.array(counts[j])], names=["word", "near", "near_n"])
+                if size < length:  # only shorter words ask
+                    yield pa.record_batch([b, a, pa.array(times[some][i])], names=["word", "near", "near_n"])
 
 
 def near_words(words: DataFrame, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
