@@ -5,7 +5,7 @@ Spark does not enforce constraints on files, so each is a query that gives the r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import blank
@@ -66,24 +66,40 @@ def matched(counts: dict[str, tuple[DataFrame, Column | int]]) -> DataFrame:
     return out
 
 
-def load(df: DataFrame, path: str, entity: str, log: str, run: str) -> None:
-    """Write a table over what was there as a version of its own, and add what was done to the log. `current` reads the last
-    version; going back is a log row that names an earlier one."""
-    df.write.mode("overwrite").parquet(f"{path}/{entity}/version={run}")
-    record(df.sparkSession.read.parquet(f"{path}/{entity}/version={run}"), log, entity, "load", run)
+LOG = "entity string, action string, run string, row_count long, step long, at timestamp"
 
 
-def record(df: DataFrame, log: str, entity: str, action: str, run: str) -> None:
-    """Append entity, action, run, row_count and the time to a log; the count is taken where the rows are."""
-    line = df.agg(F.count("*").alias("row_count")).select(F.lit(entity).alias("entity"), F.lit(action).alias("action"), F.lit(run).alias("run"), "row_count", F.current_timestamp().alias("at"))
+def load(df: DataFrame, path: str, entity: str, log: str, run: str) -> None:
+    """Write a table over what was there as a version of its own, and add what was done to the log; rows are counted as they
+    are written. `current` reads the last version; going back is a log row that names an earlier one. A run that the log
+    knows is not loaded again, since an earlier step may be gone back to."""
+    if steps(df.sparkSession, log).where((F.col("entity") == entity) & (F.col("run") == run)).limit(1).count():
+        raise ValueError(f"{entity} has a version {run!r} already")
+    seen = Observation("loaded")
+    df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/{entity}/version={run}")
+    record(df.sparkSession, log, entity, "load", run, seen.get["n"])
+
+
+def steps(spark: SparkSession, log: str) -> DataFrame:
+    """The log so far: entity, action, run, row_count, step (1, 2, ... in the order of what was done) and the time."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(LOG).parquet(log) if there else spark.createDataFrame([], LOG)
+
+
+def record(spark: SparkSession, log: str, entity: str, action: str, run: str, row_count: int) -> None:
+    """Append a step to a log. One writer at a time."""
+    last = steps(spark, log).agg(F.max("step")).first()[0] or 0
+    line = spark.createDataFrame([(entity, action, run, row_count, last + 1)], "entity string, action string, run string, row_count long, step long").withColumn("at", F.current_timestamp())
     line.coalesce(1).write.mode("append").parquet(log)
 
 
-def roll_back(spark, path: str, entity: str, log: str, run: str) -> None:
+def roll_back(spark: SparkSession, path: str, entity: str, log: str, run: str) -> None:
     """Make an earlier version the current one."""
-    record(spark.read.parquet(f"{path}/{entity}/version={run}"), log, entity, "rollback", run)
+    record(spark, log, entity, "rollback", run, spark.read.parquet(f"{path}/{entity}/version={run}").count())
 
 
-def current(spark, path: str, entity: str, log: str) -> DataFrame:
-    last = spark.read.parquet(log).where(F.col("entity") == entity).agg(F.max_by("run", "at").alias("run")).first().run
+def current(spark: SparkSession, path: str, entity: str, log: str) -> DataFrame:
+    """The version that the last step of the log names."""
+    last = steps(spark, log).where(F.col("entity") == entity).agg(F.max_by("run", "step").alias("run")).first().run
     return spark.read.parquet(f"{path}/{entity}/version={last}")

@@ -57,16 +57,18 @@ def upsert(memory: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return memory.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
 
 
-def stage_impact(dictionary: DataFrame, stages: dict[str, tuple[str, str]]) -> DataFrame:
-    """Status values with their stage (certain, doubted or unresolved), and ranked by count times doubt.
+def stage_impact(dictionary: DataFrame, stages: DataFrame) -> DataFrame:
+    """Status values (value, n) with their stage (certain, doubted or unresolved), ranked by count times doubt.
 
-    The ranking is over distinct status values, of which there may be any number.
+    stages: value, stage, certainty of the values that are known, as a table of any size. The ranking is over distinct
+    status values, of which there may be any number.
     """
-    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in stages.items() for x in (k, v[i])]), F.col("value"))
-    sure = pick(1)
-    stage = F.when(sure == "high", pick(0)).when(sure.isNotNull(), F.concat(pick(0), F.lit("?"))).otherwise("unresolved")
+    known = stages.groupBy("value").agg(F.min(F.struct("stage", "certainty")).alias("_s")).select("value", F.col("_s.stage").alias("_stage"), F.col("_s.certainty").alias("_sure"))
+    out = dictionary.join(known, "value", "left")
+    sure = F.col("_sure")
+    stage = F.when(sure == "high", F.col("_stage")).when(sure.isNotNull(), F.concat("_stage", F.lit("?"))).otherwise("unresolved")
     weight = F.when(sure == "high", 1).when(sure == "medium", 2).otherwise(3)
-    out = dictionary.withColumn("stage", stage).withColumn("impact", F.col("n") * weight)
+    out = out.withColumn("stage", stage).withColumn("impact", F.col("n") * weight).drop("_stage", "_sure")
     ranked = numbered(out, [F.desc("impact"), F.col("value")], "priority_rank")
     return ranked.withColumn("priority_rank", F.col("priority_rank").cast("int"))
 

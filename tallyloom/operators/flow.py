@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
@@ -300,14 +300,16 @@ def pack_rows(rows: DataFrame) -> DataFrame:
 
 
 def write_packs(rows: DataFrame, path: str) -> dict[str, int]:
-    """Write each pack's rows, in order, as CSV under path, and give their numbers. Raises if they are not all rows."""
+    """Write each pack's rows, in order, as CSV under path/pack=..., and give their numbers, counted as they are written.
+    Raises if they are not all rows. A pack without rows has no folder."""
     packed = pack_rows(rows)
-    counts = dict.fromkeys(core.PACKS, 0) | {r.pack: r.n for r in packed.groupBy("pack").agg(F.count("*").alias("n")).collect()}  # three rows
-    total = rows.count()
-    if sum(counts.values()) != total:
-        raise ValueError(f"hand-off count mismatch: {counts} of {total}")
-    for name in core.PACKS:
-        packed.where(F.col("pack") == name).drop("pack").orderBy("place").write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    seen = Observation("packs")
+    ordered = packed.repartitionByRange("pack", "place").sortWithinPartitions("pack", "place")
+    counted = ordered.observe(seen, *[F.count_if(F.col("pack") == n).alias(n) for n in core.PACKS], F.count("*").alias("_all"))
+    counted.write.mode("overwrite").partitionBy("pack").options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
+    counts = dict(seen.get)
+    if sum(counts[n] for n in core.PACKS) != counts.pop("_all"):
+        raise ValueError(f"hand-off count mismatch: {counts}")
     return counts
 
 
@@ -327,9 +329,18 @@ def latest_runs(runs: DataFrame, offset: int = 0, limit: int = 50, most: int = 5
     return runs.orderBy(F.desc("run_id")).offset(offset).limit(min(limit, most)), runs.count()
 
 
-def write_parts(df: DataFrame, path: str, rows_per_part: int, order: list[str]) -> DataFrame:
-    """Write a large file's rows in parts of so many, in order, each with the header, and give the manifest: part, rows,
-    first_row, last_row."""
+def own_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A file's rows with the columns that it had itself, in its order; those that were added, or that it lacks, are not
+    there."""
+    have = set(df.columns)
+    return df.select(*[F.col(f"`{c}`") for c in columns if c in have])
+
+
+def write_parts(df: DataFrame, path: str, rows_per_part: int, order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Write a large file's rows in parts of so many, in order, each with the header and the file's own columns (all of df,
+    if not given), and give the manifest: part, rows, first_row, last_row."""
     parts = numbered(df, order, "_n").withColumn("part", F.floor((F.col("_n") - 1) / rows_per_part) + 1)
-    parts.repartitionByRange("part").sortWithinPartitions("part", "_n").drop("_n").write.mode("overwrite").partitionBy("part").option("header", True).csv(path)
+    out = parts.repartitionByRange("part").sortWithinPartitions("part", "_n")
+    out = own_columns(out, [*(columns or df.columns), "part"])
+    out.write.mode("overwrite").partitionBy("part").options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
     return parts.groupBy("part").agg(F.count("*").alias("rows"), F.min("_n").alias("first_row"), F.max("_n").alias("last_row"))

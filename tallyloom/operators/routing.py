@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,13 +65,41 @@ def file_batch_id(path: str, content_hash: str, mode: str, config_hash: str) ->
     return hashlib.sha256("\0".join((path, content_hash, mode, config_hash)).encode()).hexdigest()[:16]
 
 
-def file_hashes(spark: SparkSession, path: str, head: int = 512 * 1024) -> DataFrame:
-    """file, size, content_sha256, head_sha256 of the files at a path, each hashed where it is read. head_sha256 is of the
-    first bytes and the size, for files too large to be hashed whole each time."""
-    files = spark.read.format("binaryFile").load(path)
-    start = F.expr(f"substring(content, 1, {head})")
-    quick = F.sha2(F.concat(start, F.col("length").cast("string").cast("binary")), 256)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_sha256"), quick.alias("head_sha256"))
+def file_hashes(spark: SparkSession, path: str, head: int = 512 * 1024, whole: bool = True) -> DataFrame:
+    """file, size, content_sha256, head_sha256 of the files at a path, each read in the task that hashes it.
+
+    Spark lists the files (their content isn't read for that); a task opens them and reads blocks of 4 MB, so a file may be of
+    any size. head_sha256 is of the first bytes and the size, for files too large to be hashed whole each time: without
+    `whole` nothing else is read, and content_sha256 is null.
+    """
+
+    def batches(it):
+        for b in it:
+            rows = []
+            for file, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
+                system, name = opened(file)
+                content = hashlib.sha256()
+                with system.open_input_stream(name) as f:
+                    start = f.read(head)
+                    content.update(start)
+                    while whole and (block := f.read(BLOCK)):
+                        content.update(block)
+                rows.append((file, size, content.hexdigest() if whole else None, hashlib.sha256(start + str(size).encode()).hexdigest()))
+            names = ["file", "size", "content_sha256", "head_sha256"]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.mapInArrow(batches, "file string, size long, content_sha256 string, head_sha256 string")
+
+
+BLOCK = 4 << 20
+
+
+def opened(file: str) -> tuple[FileSystem, str]:
+    """The file system of a file that Spark lists, and its name there."""
+    if file.startswith("file:"):
+        return LocalFileSystem(), file.removeprefix("file:").replace("///", "/", 1)
+    return FileSystem.from_uri(file)
 
 
 # Parts of column names that speak for a table of customers.

@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed now and kept in the checkpoint folder, so that what is read twice is the same both times and lost
-    executors cost a re-read. Where no folder is set, one in the warehouse is, or a temporary one with a local master."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share. Where none is set, one in the warehouse is, or a temporary
+    one with a local master."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         root = context.getConf().get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="spark-tallyloom-") if context.master.startswith("local") else df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+            root = tempfile.mkdtemp(prefix="spark-tallyloom-") if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
         context.setCheckpointDir(root)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the checkpoint folder."""
+    return f"{shared_root(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed now and kept in the checkpoint folder (shared_root), so that what is read twice is the same both times
+    and lost executors cost a re-read."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

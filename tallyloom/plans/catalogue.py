@@ -499,7 +499,8 @@ _WEIGHT = "case coalesce(s.c, 'low') when 'high' then 1 when 'medium' then 2 els
 @query(f"with {_DICTIONARY}, stages(v, g, c) as (values " + ", ".join(f"('{k}', '{g}', '{c}')" for k, (g, c) in _STAGES.items()) + f") select value, n, case when s.c = 'high' then s.g when s.c is not null then s.g || '?' else 'unresolved' end as stage, n * {_WEIGHT} as impact, cast(row_number() over (order by n * {_WEIGHT} desc, value) as int) as priority_rank from dict left join stages s on s.v = value")
 def status_impact_rank(spark, sf_dir):
     d = audit.dictionary(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
-    return decisions.stage_impact(d, _STAGES).select("value", "n", "stage", "impact", "priority_rank")
+    stages = d.sparkSession.createDataFrame([(k, *v) for k, v in _STAGES.items()], "value string, stage string, certainty string")
+    return decisions.stage_impact(d, stages).select("value", "n", "stage", "impact", "priority_rank")
 
 
 @query("select o_orderstatus, count(*) as n, round(count(*) / sum(count(*)) over (), 4) as share from orders group by 1")
@@ -728,4 +729,4 @@ def load_rejects(calls):
     return reviews.load_rejects(calls).select("row_index", "reject_reason")
 
 
-from tallyloom.plans import flows  # noqa: E402, F401  registers its queries
+from tallyloom.plans import flows, stores  # noqa: E402, F401  register their queries

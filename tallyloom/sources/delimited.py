@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.sources.formats import BROKEN, LITERAL, MISALIGNED, OWN, RELAXED, STRICT, UNDECODABLE, Options, unique
 from tallyloom.sources.ranges import scan
 
-__all__ = ["BROKEN", "LITERAL", "MISALIGNED", "OWN", "RELAXED", "STRICT", "UNDECODABLE", "Ingested", "Options", "diagnosis", "raw_line_count", "read", "scan", "tabled", "unique", "write"]
+__all__ = ["BROKEN", "LITERAL", "MISALIGNED", "OWN", "RELAXED", "STRICT", "UNDECODABLE", "Ingested", "Options", "diagnosis", "raw_line_count", "read", "scan", "tabled", "unique", "write", "write_found"]
 
 
 @dataclass
@@ -59,6 +59,20 @@ def raw_line_count(spark: SparkSession, path: str, blank: bool = True) -> int:
     return (lines if blank else lines.where(F.trim("value") != "")).count()
 
 
-def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; a header alone where there are no rows."""
-    df.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+def write(df: DataFrame, path: str, mode: str = "overwrite", delimiter: str = ",", encoding: str = "UTF-8") -> None:
+    """CSV with a header, quotes in cells doubled and blanks kept; a header alone where there are no rows."""
+    options = {"header": True, "emptyValue": "", "nullValue": "", "escape": '"', "sep": delimiter, "encoding": encoding}
+    df.write.mode(mode).options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def write_found(df: DataFrame, path: str, file: str | None = None) -> int:
+    """Write the rows there are, with the file they are of if one is given, and give their number; nothing where there are
+    none. They are counted on the way (one pass)."""
+    if file is not None:
+        df = df.withColumn("file", F.lit(file))
+    seen = Observation("rows")
+    some = df.observe(seen, F.count("*").alias("n"))
+    if df.limit(1).count():
+        write(some, path)
+        return seen.get["n"]
+    return 0

@@ -208,9 +208,19 @@ def sheet_records(content: bytes, o: Options = Options(), sheet: str | None = No
 ROWS = "source_file string, row_index long, header array<string>, cells array<string>, raw string, reason string, detail string"
 
 
+def books(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the books at a path."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def read(spark: SparkSession, path: str, sheet: str | None = None, formatted: bool = True, options: Options = Options()) -> DataFrame:
-    """ROWS of the sheets at a path (sheet_records), a book a task. Rows leave it 5,000 at a time and their XML is freed, so
-    a task holds a book's compressed bytes and its shared strings."""
+    """ROWS of the sheets at a path."""
+    return parse(books(spark, path), sheet, formatted, options)
+
+
+def parse(found: DataFrame, sheet: str | None = None, formatted: bool = True, options: Options = Options()) -> DataFrame:
+    """ROWS of the sheets of books (path, content), as sheet_records has them. Rows leave a task 5,000 at a time and their
+    XML is freed, so it holds a book's compressed bytes and its shared strings."""
     kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.string())
 
     def batch(rows):
@@ -228,7 +238,7 @@ def read(spark: SparkSession, path: str, sheet: str | None = None, formatted: bo
                 if rows:
                     yield batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, ROWS)
+    return found.select("path", "content").mapInArrow(batches, ROWS)
 
 
 def sheet_names(spark: SparkSession, path: str) -> DataFrame:
@@ -241,4 +251,4 @@ def sheet_names(spark: SparkSession, path: str) -> DataFrame:
                     names = [n for n, _ in _sheets(z)]
                 yield pa.record_batch([pa.array([p.as_py()] * len(names)), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.string())], names=["source_file", "place", "sheet"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, "source_file string, place int, sheet string")
+    return books(spark, path).mapInArrow(batches, "source_file string, place int, sheet string")

@@ -40,7 +40,7 @@ def test_mixed_export_of_four_rows(spark, tmp_path):
     assert done.where("_final_disposition = 'review'").first()["_review_reason"] == "mixed_parent_child_ambiguous"
     assert counted(flow.pack_rows(done), "pack") == {"mainline": 2, "review": 1, "quarantine": 1} and ledger.count() == 2
     assert flow.write_packs(done, str(tmp_path / "packs")) == {"mainline": 2, "review": 1, "quarantine": 1}
-    back = spark.read.option("header", True).csv(str(tmp_path / "packs" / "mainline"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "packs" / "pack=mainline"))
     assert back.count() == 2 and back.where("customer_name = '山田' and phone = '0311112222'").count() == 1
     again, _ = flow.merged(done.drop("_ledger_key", "_final_disposition", "_final_disposition_reason").withColumns({"_final_disposition": F.lit(""), "_final_disposition_reason": F.lit("")}), ledger, "r2")
     assert counted(again, "_final_disposition") == {"duplicate": 2, "review": 1, "quarantine": 1}
@@ -150,7 +150,7 @@ def test_dates_of_sheets_and_one_front(spark, tmp_path):
     line = lambda *cells: "<row>" + "".join(f'<c r="{chr(65 + i)}1" s="{s}"><v>{v}</v></c>' if s is not None else f'<c r="{chr(65 + i)}1" t="inlineStr"><is><t>{v}</t></is></c>' for i, (v, s) in enumerate(cells)) + "</row>"
     path = book(tmp_path / "d.xlsx", line(*[(n, None) for n in "abcde"]) + line((45292, 1), (45292.5, 2), (45292, 3), (0.25, 4), (45292, 0)), styles)
     got = spreadsheet.read(spark, path).first().cells
-    assert got == ["2024-01-01", "2024-01-01 12:00:00", "45292", "06:00:00", "45292"]
+    assert got == ["2024-01-01", "2024-01-01 12:00:00", "day45292", "06:00:00", "45292"]
     assert spreadsheet.read(spark, path, formatted=False).first().cells[0] == "45292"
     csv = file(tmp_path, "c.csv", b"b,z\n1,2\n3\n")
     both = ingest.read_inputs(spark, [ingest.Input(path, key="sheet"), ingest.Input(csv, options=delimited.Options(header=True))])
@@ -241,6 +241,8 @@ def test_versions_and_their_log(spark, tmp_path):
     path, log = str(tmp_path / "t"), str(tmp_path / "log")
     checks.load(spark.range(3), path, "e", log, "v1")
     checks.load(spark.range(5), path, "e", log, "v2")
+    with pytest.raises(ValueError):
+        checks.load(spark.range(1), path, "e", log, "v1")
     assert checks.current(spark, path, "e", log).count() == 5
     checks.roll_back(spark, path, "e", log, "v1")
     assert checks.current(spark, path, "e", log).count() == 3

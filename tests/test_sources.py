@@ -1,6 +1,7 @@
 """Readers against plain programs: delimited files in splits of any size, sheets."""
 
 import csv
+import hashlib
 import io
 import random
 import tracemalloc
@@ -8,6 +9,7 @@ import zipfile
 
 import pytest
 
+from tallyloom.operators import routing
 from tallyloom.sources import delimited, detect, ingest, ranges, spreadsheet
 from tallyloom.sources.delimited import LITERAL, RELAXED, STRICT, Options
 
@@ -184,3 +186,22 @@ def test_a_long_sheet_stays_small(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 60_000 and peak < 8_000_000
+
+
+# --- hashes ----------------------------------------------------------------------------------------------------------
+
+
+def test_a_file_beyond_two_gigabytes(spark, tmp_path):
+    size = (1 << 31) + 10
+    with open(tmp_path / "sparse 100%.bin", "wb") as f:
+        f.write(b"head")
+        f.truncate(size)
+    zeros, whole = bytes(1 << 24), hashlib.sha256(b"head" + bytes((1 << 24) - 4))
+    for _ in range((1 << 7) - 1):
+        whole.update(zeros)
+    whole.update(bytes(10))
+    one = routing.file_hashes(spark, str(tmp_path)).first()
+    assert (one.size, one.content_sha256) == (size, whole.hexdigest())
+    assert one.head_sha256 == hashlib.sha256(b"head" + bytes(512 * 1024 - 4) + str(size).encode()).hexdigest()
+    quick = routing.file_hashes(spark, str(tmp_path), whole=False).first()
+    assert quick.content_sha256 is None and quick.head_sha256 == one.head_sha256
