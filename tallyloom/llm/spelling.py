@@ -15,7 +15,7 @@ from tallyloom.llm.common import id_and_text, small_batches, table, written
 from tallyloom.llm.graph import hot_keys, looked_up
 
 LETTERS = 32  # counts of a word's code points by their remainder: one edit changes a sum of at most two
-LEAF = 32  # points of a tree's leaf
+LEAF = 128  # points of a tree's leaf
 MOST = 100  # what a count is cut to, so that sums stay small; cut counts are no farther apart
 CELL = 32_768  # words of a length that make a tree; more are split by planes from a sample
 BLOCK = 8192  # queries that pass through a tree together
@@ -79,49 +79,68 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return np.minimum(counts, MOST).astype(np.int8)
 
 
+def packed(counts: np.ndarray) -> np.ndarray:
+    """Counts cut to two, a bit for each letter that is there and one for each that is there twice: as many bits differ as
+    the cut counts do, which are no farther apart than the counts."""
+    return np.packbits(np.concatenate([counts >= 1, counts >= 2], axis=1), axis=1).view(np.uint64).ravel()
+
+
 class Tree:
-    """A k-d tree of points: halves by the median of the widest dimension, each node with the box of its points."""
+    """A k-d tree of letter counts: halves by the median of one letter, each with the box of its points in that letter."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.nodes = points, []  # node: low, high, then its two nodes or its points
+        self.points, self.codes, self.nodes = points, packed(points), []
         if len(points):
-            self._build(np.arange(len(points)), leaf)
+            self.low, self.high = points.min(axis=0), points.max(axis=0)
+            self._build(np.arange(len(points)), self.low.copy(), self.high.copy(), leaf)
 
-    def _build(self, own: np.ndarray, leaf: int) -> int:
+    def _build(self, own: np.ndarray, low: np.ndarray, high: np.ndarray, leaf: int) -> int:
+        """A node is its points, or a letter, the bounds that its box has there, and for each half a node and its bounds."""
         at = len(self.nodes)
+        self.nodes.append(own)
         p = self.points[own]
-        low, high = p.min(axis=0), p.max(axis=0)
-        self.nodes.append((low, high, None, own))
-        if len(own) > leaf and (high > low).any():
-            # of the dimensions that differ, the one whose median halves best
-            order = np.argsort(low - high, kind="stable")[:4]
-            cuts = [(abs(2 * int((p[:, d] <= m).sum()) - len(own)), d, m) for d in order if high[d] > low[d] for m in (min(int(np.median(p[:, d])), int(high[d]) - 1),)]
+        first, last = p.min(axis=0), p.max(axis=0)
+        if len(own) > leaf and (last > first).any():
+            # of the letters that vary most, the one whose median halves best
+            order = np.argsort(first.astype(int) - last, kind="stable")[:6]
+            cuts = [(abs(2 * int((p[:, d] <= m).sum()) - len(own)), int(d), m) for d in order if last[d] > first[d] for m in (min(int(np.median(p[:, d])), int(last[d]) - 1),)]
             _, d, m = min(cuts)
-            left = p[:, d] <= m
-            children = (self._build(own[left], leaf), self._build(own[~left], leaf))
-            self.nodes[at] = (low, high, children, None)
+            left, halves = p[:, d] <= m, []
+            for half in (left, ~left):
+                x, y = p[half, d].min(), p[half, d].max()
+                box = low.copy(), high.copy()
+                box[0][d], box[1][d] = x, y
+                halves.append((self._build(own[half], *box, leaf), int(x), int(y)))
+            self.nodes[at] = (d, int(low[d]), int(high[d]), halves)
         return at
 
     def within(self, queries: np.ndarray, radius: int):
-        """Yields (query numbers, point numbers) of all pairs at most `radius` apart in L1; subtrees whose box is farther
-        are left out."""
-        stack = [(0, np.arange(len(queries)))] if self.nodes and len(queries) else []
+        """Yields (query numbers, point numbers) of all pairs that may be `radius` apart or less in L1. A step down changes
+        a query's distance to the box in one letter; beyond the radius the subtree is left out."""
+        if not self.nodes or not len(queries):
+            return
+        codes, by_letter = packed(queries), np.ascontiguousarray(queries.T.astype(np.int16))
+        far = (np.maximum(self.low - queries, 0) + np.maximum(queries - self.high, 0)).sum(axis=1, dtype=np.int16)
+        asked = np.flatnonzero(far <= radius)
+        stack = [(0, asked, far[asked])]
         while stack:
-            node, asked = stack.pop()
-            low, high, children, own = self.nodes[node]
-            q = queries[asked]
-            asked = asked[(np.maximum(low - q, 0) + np.maximum(q - high, 0)).sum(axis=1, dtype=np.int16) <= radius]
+            node, asked, far = stack.pop()
             if not len(asked):
                 continue
-            if children:
-                stack += [(c, asked) for c in children]
+            node = self.nodes[node]
+            if isinstance(node, tuple):
+                d, low, high, halves = node
+                x = by_letter[d][asked]
+                rest = far - np.maximum(low - x, 0) - np.maximum(x - high, 0)
+                for child, low, high in halves:
+                    now = rest + np.maximum(low - x, 0) + np.maximum(x - high, 0)
+                    near = now <= radius
+                    stack.append((child, asked[near], now[near]))
                 continue
-            for at in range(0, len(own), 4 * LEAF):  # a leaf may hold many points that are all the same
-                some = own[at : at + 4 * LEAF]
-                for part in range(0, len(asked), 2048):
-                    a = asked[part : part + 2048]
-                    i, j = np.nonzero(np.abs(queries[a][:, None, :] - self.points[some][None]).sum(axis=2, dtype=np.int16) <= radius)
-                    yield a[i], some[j]
+            for at in range(0, len(node), 4 * LEAF):  # a leaf may hold many points that are all the same
+                some = node[at : at + 4 * LEAF]
+                i, j = np.nonzero(np.bitwise_count(codes[asked][:, None] ^ self.codes[some][None]) <= radius)
+                yield asked[i], some[j]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -135,7 +154,10 @@ class Words:
 
     def __init__(self, words: list[str]):
         self.words, self.length = words, len(words[0])
-        self.letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1) if self.length <= LONG else None
+        self.letters = None
+        if self.length <= LONG:
+            letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+            self.letters = letters.astype(np.uint8 if letters.max() < 256 else np.uint32).reshape(len(words), -1)
 
     def one_edit(self, longer: "Words", i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs (self[i], longer[j]) are one edit apart, by the order of their letters."""
