@@ -8,9 +8,11 @@ import tracemalloc
 import zipfile
 
 import pytest
+from pyspark.sql.datasource import CaseInsensitiveDict, EqualTo, GreaterThan, IsNotNull
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyloom.operators import routing
-from tallyloom.sources import delimited, detect, ingest, ranges, spreadsheet
+from tallyloom.sources import datasource, delimited, detect, ingest, ranges, spreadsheet
 from tallyloom.sources.delimited import LITERAL, RELAXED, STRICT, Options
 
 # --- delimited files -------------------------------------------------------------------------------------------------
@@ -205,3 +207,65 @@ def test_a_file_beyond_two_gigabytes(spark, tmp_path):
     assert one.head_sha256 == hashlib.sha256(b"head" + bytes(512 * 1024 - 4) + str(size).encode()).hexdigest()
     quick = routing.file_hashes(spark, str(tmp_path), whole=False).first()
     assert quick.content_sha256 is None and quick.head_sha256 == one.head_sha256
+
+
+# --- data source -----------------------------------------------------------------------------------------------------
+
+
+def cells_of(df, columns):
+    return sorted(map(tuple, df.select(*columns).collect()))
+
+
+def test_the_data_source_reads_as_the_reader_does(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes('﻿name,note,n\n山田,"x, ""y""\nz",1\nshort,2\n\n b , c ,3\n'.encode())
+    (tmp_path / "in" / "b b.csv").write_bytes("n;name\n4;鈴木\n5;佐藤\n".encode("cp932"))
+    path = str(tmp_path / "in")
+    want = ingest.read_source(spark, path + "/*.csv", Options(header=True))
+    found = spark.read.format("tallyloom").option("header", "true").load(path)
+    assert cells_of(found, ["name", "note", "n"]) == cells_of(want.rows, ["name", "note", "n"])
+    bad = spark.read.format("tallyloom").options(header="true", rows="failures").load(path)
+    assert cells_of(bad, ["raw", "reason", "detail"]) == cells_of(want.failures, ["raw", "reason", "detail"]) and bad.count() == 1
+    some = spark.read.format("tallyloom").schema("n string, name string").option("header", "true").load(path)
+    assert cells_of(some.where("name = '鈴木' and n in ('4', '9')"), ["n", "name"]) == [("4", "鈴木")]
+    assert cells_of(some.where("name like '佐%' or n = '1'"), ["n"]) == [("1",), ("5",)] and some.count() == 4
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        filtered = lambda: spark.read.format("tallyloom").options(header="true", pushdown="true").load(path)
+        assert cells_of(filtered().where("name = '鈴木' and n in ('4', '9')"), ["n", "name"]) == [("4", "鈴木")]
+        assert cells_of(filtered().where("name like '佐%'"), ["n"]) == [("5",)] and filtered().where("name = 'no'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_filters_reach_the_data_source():
+    schema = StructType([StructField(n, StringType()) for n in ("a", "b", "_source_file")])
+    reader = datasource.FilteringReader(schema, CaseInsensitiveDict({"path": "x"}))
+    left = list(reader.pushFilters([EqualTo(("a",), "1"), EqualTo(("_source_file",), "f"), IsNotNull(("b",)), GreaterThan(("a",), "0")]))
+    assert [type(f) for f in left] == [EqualTo, GreaterThan] and len(reader.tests) == 2
+
+
+@pytest.mark.parametrize("wide", [7, 64, 10**6])
+def test_ranges_of_a_literal_file(spark, tmp_path, wide):
+    datasource.register(spark)
+    text = 'a,b\r\n' + "".join(f'{i},"x{i}\r\n' for i in range(60)) + "\n\nlast,é"
+    (tmp_path / "l.csv").write_text(text, newline="")
+    found = spark.read.format("tallyloom").options(header="true", quoteMode="literal", rangeBytes=str(wide)).load(str(tmp_path / "l.csv"))
+    want = delimited.read(spark, str(tmp_path / "l.csv"), Options(header=True, quote_mode=LITERAL)).rows.orderBy("row_index").collect()
+    assert [(r.a, r.b) for r in found.orderBy("_at", "_n").collect()] == [(r.a, r.b) for r in want] and len(want) == 61
+    assert found.rdd.getNumPartitions() == -(-len(text.encode()) // wide)
+
+
+def test_a_stream_of_files_goes_on_from_its_offsets(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "in").mkdir()
+
+    def run(name, content):
+        (tmp_path / "in" / name).write_text(content)
+        stream = spark.readStream.format("tallyloom").schema("a string, b string").option("header", "true").load(str(tmp_path / "in"))
+        assert stream.writeStream.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination(120)
+        return cells_of(spark.read.parquet(str(tmp_path / "out")), ["a", "b"])
+
+    assert run("z.csv", 'a,b\n1,"x\ny"\n') == [("1", "x\ny")]
+    assert run("a.csv", "b,a\n2,3\n") == [("1", "x\ny"), ("3", "2")]
