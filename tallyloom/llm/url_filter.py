@@ -32,9 +32,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+# Parameters that tell where a visitor came from and name no other page.
+TRACKING = r"^(utm_[a-z_]*|gclid|fbclid|msclkid)(=|$)"
+
+
 def canonical(url: Column) -> Column:
-    """The address that a server's own redirects lead to: http, no fragment or query, no slash or .html at the end."""
-    return F.when(url.contains("://"), F.concat(F.lit("http://"), host_of(url), F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*\z", "")))
+    """The address that a server's own redirects lead to: http, no fragment, no slash, /index or .html at the path's end. The
+    query stays, since it may name another page, but for the parameters that can't."""
+    query = F.filter(F.split(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    rest = F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise("")
+    return F.when(url.contains("://"), F.concat(F.lit("http://"), host_of(url), F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*\z", ""), rest))
 
 
 def resolved(target: Column, url: Column) -> Column:
@@ -119,7 +126,8 @@ def op6_sql() -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
     tags = lambda tag, kind, target: f"list_transform(list_filter(regexp_extract_all(text, {q(tag)}, 0, 'is'), lambda t: regexp_matches(t, {q(kind)}, 'is')), lambda t: regexp_extract(t, {q(target)}, 1, 'is'))"
-    form = f"'http://' || {_HOST} || regexp_replace({_PATH}, '(/index)?(\\.html?)?/*\\z', '')"
+    query = f"list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda p: p <> '' and not regexp_matches(p, {q(TRACKING)}))"
+    form = f"'http://' || {_HOST} || regexp_replace({_PATH}, '(/index)?(\\.html?)?/*\\z', '') || case when len({query}) > 0 then '?' || array_to_string({query}, '&') else '' end"
     scheme = "'^[A-Za-z][A-Za-z0-9+.\\-]*:"
     return f"""
 with recursive rules(rhost, rpath, rverdict) as (values {values}),

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import clusters, licences, spelling
+from tallyloom.llm import clusters, licences, spelling, url_filter
 from tests.llm.test_corpus_operators import SMALL, rows
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -259,3 +259,21 @@ def test_roots_follow_chains(spark):
     got = {r.word: r.root for r in spelling.roots(found).collect()}
     assert {got[w] for w, _ in chain if w != "alone"} == {"w20"} and got["alone"] == "alone"
     assert spelling.roots(found.where(F.lit(False))).count() == 0
+
+
+# --- urls ------------------------------------------------------------------------------------------------------------
+
+
+def test_queries_that_name_pages_keep_them_apart(spark):
+    forms = {"HTTP://A.net/x/?id=1&utm_source=m#top": "http://a.net/x?id=1", "https://a.net/x?id=2": "http://a.net/x?id=2", "http://a.net/x/index.html?gclid=9": "http://a.net/x", "http://a.net/x?#f?y": "http://a.net/x", "http://a.net/x#f?id=3": "http://a.net/x", "http://a.net?id=1&&b": "http://a.net?id=1&b", "nothing": None}
+    df = spark.createDataFrame(list(forms.items()), "url string, want string")
+    assert {r.url: r.got for r in df.select("url", url_filter.canonical(F.col("url")).alias("got")).collect()} == forms
+    link = '<link rel="canonical" href="http://shop.com/de/x">'
+    pages = [(1, "http://a.net/x?id=1", link), (2, "http://a.net/x?id=2", ""), (3, "https://A.net/x/?id=1&utm_medium=q", ""), (4, "http://a.net/x", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(df).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert rows(url_filter.judge(df).select("page_id", "verdict")) == Counter(con.sql(f"select page_id, verdict from ({url_filter.op6_sql()})").fetchall())
