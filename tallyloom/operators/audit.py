@@ -27,7 +27,8 @@ def match_phones(calls: DataFrame, customers: DataFrame, phones: list[str], call
     A call's number is looked up as written, then normalised: exact, normalized, multi_match, no_match, invalid or
     empty. A unique number as written wins even if its normalised form is shared. Candidates are counted per number
     before the join, and only the CANDIDATES smallest ids go with a call, so a number that very many customers share
-    costs no more than any other.
+    costs no more than any other. Calls without a number have keys of their own in the joins, so they don't meet in one task;
+    a number with very many calls is split by Spark's handling of skewed joins, since calls are the outer side.
     """
 
     def index(normalized: bool, name: str) -> DataFrame:
@@ -38,7 +39,9 @@ def match_phones(calls: DataFrame, customers: DataFrame, phones: list[str], call
         return counts.join(ids, "number").withColumnRenamed("number", name)
 
     out = calls.withColumns({"_raw": text.trimmed(F.col(call_phone)), "_norm": text.phone(F.col(call_phone))})
-    out = out.join(index(False, "_raw"), "_raw", "left").join(index(True, "_norm"), "_norm", "left")
+    own = lambda c: F.when(F.col(c) == "", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(c))
+    out = out.withColumns({"_raw_key": own("_raw"), "_norm_key": own("_norm")})
+    out = out.join(index(False, "_raw_key").withColumnsRenamed({"_raw_key_n": "_raw_n", "_raw_key_ids": "_raw_ids"}), "_raw_key", "left").join(index(True, "_norm_key").withColumnsRenamed({"_norm_key_n": "_norm_n", "_norm_key_ids": "_norm_ids"}), "_norm_key", "left")
     by_raw, by_norm = F.coalesce("_raw_n", F.lit(0)), F.coalesce("_norm_n", F.lit(0))
     kind = (
         F.when(F.col("_raw") == "", "empty")
@@ -55,7 +58,7 @@ def match_phones(calls: DataFrame, customers: DataFrame, phones: list[str], call
     out = out.withColumn("candidates", F.when(some, F.array_join(F.col("_ids").cast("array<string>"), ";")).otherwise(""))
     out = out.withColumn("candidate_count", F.when(some, F.col("_number")).otherwise(0))
     out = out.withColumn("matched_customer_id", F.when(F.col("match_type").isin("exact", "normalized"), F.get("_ids", F.lit(0))))
-    return out.drop("_raw", "_norm", "_raw_n", "_raw_ids", "_norm_n", "_norm_ids", "_ids", "_number")
+    return out.drop("_raw", "_norm", "_raw_key", "_norm_key", "_raw_n", "_raw_ids", "_norm_n", "_norm_ids", "_ids", "_number")
 
 
 def smallest(df: DataFrame, group: str, value: str, k: int) -> DataFrame:

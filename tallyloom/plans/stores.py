@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audit, checks, core, decisions, flow, routing, suggest
+from tallyloom.operators import audit, checks, core, decisions, flow, routing, sketches, suggest
 from tallyloom.operators.settle import shared_folder
 from tallyloom.plans import duck
 from tallyloom.plans.catalogue import _RUNS, query, table
@@ -331,3 +331,19 @@ def stage_table_join(spark, sf_dir):
     certainty = F.when(F.col("_k") % 3 == 0, "high").when(F.col("_k") % 3 == 1, "medium").otherwise("low")
     stages = o.where("_k < 30").select(value.alias("value"), F.concat(F.lit("stage "), (F.col("_k") % 6).cast("string")).alias("stage"), certainty.alias("certainty")).distinct()
     return decisions.stage_impact(found, stages).select("value", "n", "stage", "impact", "priority_rank")
+
+
+# --- profiles --------------------------------------------------------------------------------------------------------
+
+_SKETCHED = ["o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey"]
+
+
+@query("with v as (select unnest([{'field': 'o_orderpriority', 'v': o_orderpriority}, {'field': 'o_orderstatus', 'v': o_orderstatus}, {'field': 'o_custkey', 'v': cast(o_custkey as varchar)}, {'field': 'o_orderkey', 'v': cast(o_orderkey as varchar)}]) as u from orders), c as (select u.field as field, u.v as value, count(*) as n from v group by 1, 2) select field, cast(sum(n) as bigint) as n, cast(sum(n) as bigint) as filled, cast(1.0 as double) as fill_rate, true as distinct_is_close, max(length(value)) as longest, case when field in ('o_orderpriority', 'o_orderstatus') then max(n) end as most_frequent from c group by 1")
+def merged_profiles(spark, sf_dir):
+    """A batch's profile from the sketches of its four files, written beside them and read instead of them."""
+    o = table(spark, sf_dir, "orders").withColumn("_source_file", F.concat(F.lit("part"), (F.col("o_orderkey") % 4).cast("string")))
+    path = shared_folder(spark, "sketches")
+    sketches.sketched(o, _SKETCHED).write.parquet(path)
+    exact = o.select(*[F.count_distinct(c).alias(c) for c in _SKETCHED]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("_exact")) for c in _SKETCHED])))
+    found = sketches.merged(spark.read.parquet(path)).join(F.broadcast(exact), "field")
+    return found.select("field", "n", "filled", F.col("fill_rate").cast("double").alias("fill_rate"), sketches.close(F.col("distinct"), F.col("_exact")).alias("distinct_is_close"), F.col("longest").cast("long").alias("longest"), F.when(F.col("field").isin(_SKETCHED[:2]), F.array_max(F.transform("top_values", lambda x: x["n"]))).alias("most_frequent"))
