@@ -234,7 +234,10 @@ def identity_counts(rows: DataFrame) -> DataFrame:
 def identity_tops(rows: DataFrame, k: int = 5) -> DataFrame:
     """name, place, value, n: the k most frequent reasons for review, and warning indicators: these and how many rows of
     review have no key but the fallback."""
-    counts = identity_counts(rows)
+    return _tops(settled(identity_counts(rows)), k)
+
+
+def _tops(counts: DataFrame, k: int) -> DataFrame:
     reasons = counts.where("name = 'reason'").select("value", "n")
     fallback = counts.where("name = 'review_method' and value = 'fallback'").select(F.lit("fallback_method_review").alias("value"), "n")
     both = reasons.withColumn("name", F.lit("reasons")).unionByName(reasons.unionByName(fallback).withColumn("name", F.lit("indicators")))
@@ -245,7 +248,11 @@ def identity_tops(rows: DataFrame, k: int = 5) -> DataFrame:
 def review_ratios(rows: DataFrame) -> DataFrame:
     """name (family or method), value, review_rows, n, review_ratio, place: the first of each name has the highest ratio,
     of equals the most rows in review."""
-    counts = identity_counts(rows).where("name in ('family', 'method', 'review_family', 'review_method')")
+    return _ratios(identity_counts(rows))
+
+
+def _ratios(counts: DataFrame) -> DataFrame:
+    counts = counts.where("name in ('family', 'method', 'review_family', 'review_method')")
     is_review = F.col("name").startswith("review_")
     by = counts.groupBy(F.regexp_replace("name", "^review_", "").alias("name"), "value").agg(F.sum(F.when(is_review, F.col("n")).otherwise(0)).alias("review_rows"), F.sum(F.when(~is_review, F.col("n")).otherwise(0)).alias("n"))
     by = by.withColumn("review_ratio", F.round(F.col("review_rows") / F.col("n"), 4))
@@ -270,8 +277,9 @@ def tuning_hints(rows: DataFrame) -> DataFrame:
     """kind, value: targets of the three most frequent reasons for review, and families and key methods most of whose rows
     are in review."""
     target = F.element_at(F.create_map(*[F.lit(x) for p in TARGETS.items() for x in p]), F.col("value"))
-    targets = identity_tops(rows, 3).where("name = 'reasons'").select(F.lit("target").alias("kind"), target.alias("value")).where("value is not null").distinct()
-    heavy = review_ratios(rows).where("place = 1 and review_ratio >= 0.5").select(F.concat(F.lit("review_heavy_"), F.col("name")).alias("kind"), "value")
+    counts = settled(identity_counts(rows))  # a row a reason, family, owner or method
+    targets = _tops(counts, 3).where("name = 'reasons'").select(F.lit("target").alias("kind"), target.alias("value")).where("value is not null").distinct()
+    heavy = _ratios(counts).where("place = 1 and review_ratio >= 0.5").select(F.concat(F.lit("review_heavy_"), F.col("name")).alias("kind"), "value")
     return targets.unionByName(heavy)
 
 
@@ -293,7 +301,7 @@ def pack_rows(rows: DataFrame) -> DataFrame:
     Text is ordered by code point. Places are taken in ranges of that order (audit.numbered), so no task holds a pack.
     """
     tie = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]))
-    packed = core.hand_off(rows, "_final_disposition").withColumn("_tie", tie)
+    packed = settled(core.hand_off(rows, "_final_disposition").withColumn("_tie", tie))  # ranges are sampled first, so it would be computed twice
     n = numbered(packed, ["pack", *PACK_ORDER, "_tie"], "_n").drop("_tie")
     first = n.groupBy("pack").agg(F.min("_n").alias("_first"))  # three rows at most
     return n.join(F.broadcast(first), "pack").withColumn("place", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")

@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audit, checks, core, decisions, flow, routing, sketches, suggest
+from tallyloom.operators import audit, checks, core, decisions, flow, keyfilter, routing, sketches, suggest
 from tallyloom.operators.settle import shared_folder
 from tallyloom.plans import duck
 from tallyloom.plans.catalogue import _RUNS, query, table
@@ -347,3 +347,14 @@ def merged_profiles(spark, sf_dir):
     exact = o.select(*[F.count_distinct(c).alias(c) for c in _SKETCHED]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("_exact")) for c in _SKETCHED])))
     found = sketches.merged(spark.read.parquet(path)).join(F.broadcast(exact), "field")
     return found.select("field", "n", "filled", F.col("fill_rate").cast("double").alias("fill_rate"), sketches.close(F.col("distinct"), F.col("_exact")).alias("distinct_is_close"), F.col("longest").cast("long").alias("longest"), F.when(F.col("field").isin(_SKETCHED[:2]), F.array_max(F.transform("top_values", lambda x: x["n"]))).alias("most_frequent"))
+
+
+@query("with old as (select o_custkey as k, o_orderstatus as s from orders where o_orderkey % 5 <> 0), new as (select o_custkey + case when o_orderkey % 10 = 0 then 1000000000 else 0 end as k, o_orderstatus as s from orders where o_orderkey % 5 = 0), sides as (select * from old union all select * from new) select 'unique(k,s)' as rule, k || '|' || s as value, count(*) as n from sides where (k, s) in (select (k, s) from new) group by k, s having count(*) > 1")
+def added_violations(spark, sf_dir):
+    """What a load adds against a unique key, by a filter of the keys that were there."""
+    o = table(spark, sf_dir, "orders")
+    old = o.where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    new = o.where("o_orderkey % 5 = 0").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 10 == 0, 1_000_000_000).otherwise(0)).alias("k"), F.col("o_orderstatus").alias("s"))
+    path = shared_folder(spark, "filter")
+    keyfilter.key_filter(old, ["k", "s"], 100_000).write.parquet(path)
+    return keyfilter.added_violations(new, ["k", "s"], spark.read.parquet(path), lambda: old)

@@ -310,4 +310,5 @@ def scan(spark: SparkSession, path: str, options: Options = Options()) -> DataFr
     out = rows.join(offsets, ["file", "at"]).withColumn("row_index", F.when(fault, F.greatest(index, F.lit(0))).otherwise(index)).where("row_index >= 0")
     if options.preview_rows is not None:
         out = out.where(F.col("row_index") < options.preview_rows)
-    return out.select(F.col("file").alias("source_file"), "row_index", "cells", "header", "raw", "reason", "detail", "encoding", "delimiter", "quote_mode")
+    name = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))  # as it was listed
+    return out.select(name.alias("source_file"), "row_index", "cells", "header", "raw", "reason", "detail", "encoding", "delimiter", "quote_mode")

@@ -116,6 +116,12 @@ def test_skipped_previewed_and_nameless_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_names_of_files_come_as_they_are(spark, tmp_path):
+    (tmp_path / "顧客 +100%.csv").write_bytes(b"a,b\n1,2\n")
+    found = delimited.read(spark, str(tmp_path / "*.csv"), Options(header=True)).rows.first()
+    assert found["_source_file"].endswith("/顧客 +100%.csv") and found.a == "1"
+
+
 def test_effects_compose():
     """Where a text ends is where its second half ends from where its first half does."""
     r = random.Random(2)
