@@ -18,6 +18,7 @@ LETTERS = 32  # counts of a word's code points by their remainder: one edit chan
 LEAF = 128  # points of a tree's leaf
 MOST = 100  # what a count is cut to, so that sums stay small; cut counts are no farther apart
 CELL = 32_768  # words of a length that make a tree; more are split by planes from a sample
+DEEP = 50  # levels of planes at most; a tree has four times as many, and then a large leaf
 BLOCK = 8192  # queries that pass through a tree together
 SAMPLE = 20_000  # words, about, that the planes come from; they only tell how even cells are
 HELD = 200_000  # different words that a task counts before it hands them on
@@ -94,13 +95,13 @@ class Tree:
             self.low, self.high = points.min(axis=0), points.max(axis=0)
             self._build(np.arange(len(points)), self.low.copy(), self.high.copy(), leaf)
 
-    def _build(self, own: np.ndarray, low: np.ndarray, high: np.ndarray, leaf: int) -> int:
+    def _build(self, own: np.ndarray, low: np.ndarray, high: np.ndarray, leaf: int, depth: int = 0) -> int:
         """A node is its points, or a letter, the bounds that its box has there, and for each half a node and its bounds."""
         at = len(self.nodes)
         self.nodes.append(own)
         p = self.points[own]
         first, last = p.min(axis=0), p.max(axis=0)
-        if len(own) > leaf and (last > first).any():
+        if len(own) > leaf and depth < 4 * DEEP and (last > first).any():
             # of the letters that vary most, the one whose median halves best
             order = np.argsort(first.astype(int) - last, kind="stable")[:6]
             cuts = [(abs(2 * int((p[:, d] <= m).sum()) - len(own)), int(d), m) for d in order if last[d] > first[d] for m in (min(int(np.median(p[:, d])), int(last[d]) - 1),)]
@@ -110,7 +111,7 @@ class Tree:
                 x, y = p[half, d].min(), p[half, d].max()
                 box = low.copy(), high.copy()
                 box[0][d], box[1][d] = x, y
-                halves.append((self._build(own[half], *box, leaf), int(x), int(y)))
+                halves.append((self._build(own[half], *box, leaf, depth + 1), int(x), int(y)))
             self.nodes[at] = (d, int(low[d]), int(high[d]), halves)
         return at
 
@@ -180,15 +181,15 @@ class Planes:
             by_length.setdefault(len(w), []).append(w)
         self.trees = {n: self._split(letter_counts(w), max(1.0, cell * share)) for n, w in by_length.items() if len(w) > cell * share}
 
-    def _split(self, p: np.ndarray, most: float):
-        if len(p) <= max(most, 2):
+    def _split(self, p: np.ndarray, most: float, depth: int = 0):
+        if len(p) <= max(most, 2) or depth == DEEP:
             return None
         spread = [(abs(2 * int((p[:, d] <= m).sum()) - len(p)), d, m) for d in range(LETTERS) for m in np.unique(p[:, d])[:-1].tolist()]
         if not spread:
             return None
         _, d, m = min(spread)
         left = p[:, d] <= m
-        return d, m, self._split(p[left], most), self._split(p[~left], most)
+        return d, m, self._split(p[left], most, depth + 1), self._split(p[~left], most, depth + 1)
 
     def cells(self, counts: np.ndarray, length: int, radius: int):
         """Yields (row numbers, cell) for all cells of a length that points within the radius of each row may lie in."""
