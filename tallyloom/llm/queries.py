@@ -9,7 +9,7 @@ from tallyloom.llm.media import op5_matroska_media
 from tallyloom.llm.minhash import op3_minhash_dedup
 from tallyloom.llm.packing import op2_best_fit_packing
 from tallyloom.llm.quality import op9_quality_classifier
-from tallyloom.llm.spelling import op13_spelling_variants
+from tallyloom.llm.spelling import op13_spelling_variants, op13_sql
 from tallyloom.llm.substring_dedup import op10_substring_dedup
 from tallyloom.llm.suffix_dedup import op7_suffix_array_dedup
 from tallyloom.llm.token_counts import op1_token_counts
@@ -27,4 +27,4 @@ def queries():
 def oracle_sql():
     import corpus_pipeline
 
-    return {"op4_exact_topk": OP4_SQL, "op6_url_filters": op6_sql(), "op12_centroid_clusters": op12_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_exact_topk": OP4_SQL, "op6_url_filters": op6_sql(), "op12_centroid_clusters": op12_sql(), "op13_spelling_variants": op13_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -328,3 +328,24 @@ def spelling_variants(docs: DataFrame, divisor: int = 199, shortest: int = 6, le
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_sql(divisor: int = 199, shortest: int = 6, least: int = 5, times: int = 5) -> str:
+    """The same in SQL: the checksum byte by byte, and words one edit apart by what is left when a code point is taken out."""
+    step = "list_reduce(list_prepend(cast(n as ubigint), range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as ubigint)) else c >> 1 end)"
+    code = "list_transform(string_split(doc || ':' || run, ''), lambda c: case when unicode(c) < 128 then [cast(unicode(c) as ubigint)] else [cast(195 as ubigint), cast(unicode(c) - 64 as ubigint)] end)"
+    crc = f"xor(list_reduce(list_prepend(cast(4294967295 as ubigint), flatten({code})), lambda c, b: xor(c >> 8, entries[cast(xor(c, b) & 255 as int) + 1])), cast(4294967295 as ubigint))"
+    return f"""
+with recursive crc as (select list({step} order by n) as entries from range(256) r(n)),
+runs as (select coalesce(cast(doc_id as varchar), '') as doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) group by 1, 2),
+hashed as (select run, n, {crc} as h from runs, crc),
+words as materialized (select case when h % {divisor} = 0 then left(run, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, cast(sum(n) as bigint) as n from hashed group by 1 having length(word) >= {shortest} and sum(hashed.n) >= {least}),
+holes as materialized (select word, n, i, left(word, cast(i as int)) || substr(word, cast(i as int) + 2) as rest from words, unnest(range(length(word))) u(i)),
+near as (select a.word, b.word as near, b.n from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select h.word, w.word, w.n from holes h join words w on w.word = h.rest
+  union select w.word, h.word, h.n from holes h join words w on w.word = h.rest),
+best as (select word, count(*) as n_near, min({{'m': -n, 'near': near}}) as b from near group by 1),
+formed as materialized (select w.word, w.n, case when -b.b.m >= {times} * w.n then b.b.near end as form, coalesce(b.n_near, 0) as n_near, case when -b.b.m >= {times} * w.n then -b.b.m end as form_n from words w left join best b using (word)),
+paths(word, stop) as (select word, word from formed union all select p.word, f.form from paths p join formed f on f.word = p.stop where f.form is not null)
+select f.word, f.form, p.stop as root, f.n, f.n_near, f.form_n from formed f join paths p using (word) join formed l on l.word = p.stop and l.form is null"""

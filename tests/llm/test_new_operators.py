@@ -277,3 +277,14 @@ def test_queries_that_name_pages_keep_them_apart(spark):
     con = duckdb.connect()
     con.register("pages", df.toPandas())
     assert rows(url_filter.judge(df).select("page_id", "verdict")) == Counter(con.sql(f"select page_id, verdict from ({url_filter.op6_sql()})").fetchall())
+
+
+def test_variants_are_those_of_sql(spark, texts):
+    import duckdb
+
+    odd = [(None, "Straße straße STRASSE Straße straßé " * 3), (None, None), (1, ""), (2, "chains chainz " + "chains " * 30), (-3, "Ünïcödé ünïcödé ×÷×÷×÷ " * 5), (4, "ab1cdefgh_ijklmn " * 6)]
+    for given, how in ((texts, (199, 6, 5, 5)), (odd, (3, 2, 1, 2)), (odd, (1, 6, 5, 5))):
+        con = duckdb.connect()
+        df = spark.createDataFrame(given, "doc_id long, text string")
+        con.register("documents", df.toArrow())
+        assert Counter(con.sql(f"select {', '.join(COLUMNS)} from ({spelling.op13_sql(*how)})").fetchall()) == plain_spelling(given, *how)
