@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import clusters, licences, spelling, url_filter
+from tallyloom.llm import clusters, licences, quality, spelling, url_filter
 from tests.llm.test_corpus_operators import SMALL, rows
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -288,3 +288,55 @@ def test_variants_are_those_of_sql(spark, texts):
         df = spark.createDataFrame(given, "doc_id long, text string")
         con.register("documents", df.toArrow())
         assert Counter(con.sql(f"select {', '.join(COLUMNS)} from ({spelling.op13_sql(*how)})").fetchall()) == plain_spelling(given, *how)
+
+
+# --- quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_scores_are_those_of_a_plain_program(spark, texts):
+    """Word vectors, pooling and the network's forward pass, word by word; the weights are the fitted ones."""
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    fitted, network = quality.fit(docs, labels)
+    known = {r.doc_id for r in labels.where("quality in (0, 1)").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    index = [[(i, float(x)) for i, x in enumerate(row) if x] for row in quality.index_vectors()]
+
+    def ids(word):
+        letters = "".join(c for c in word if c.isalnum()).lower()
+        shape = []
+        for c in word:
+            kind = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+            if not shape or shape[-1] != kind:
+                shape.append(kind)
+        return zlib.crc32(letters.encode()) % quality.WORDS, quality.WORDS + zlib.crc32("".join(shape)[:24].encode()) % quality.SHAPES
+
+    sums = defaultdict(lambda: [0.0] * quality.SIZE)
+    for i, text in texts:
+        if i in known:
+            both = [ids(w) for w in text.split()]
+            for at, own in enumerate(both):
+                for near in both[max(at - 2, 0) : at] + both[at + 1 : at + 3]:
+                    for mine in own:
+                        for other in near:
+                            for k, x in index[other]:
+                                sums[mine][k] += x
+    vectors = {}
+    for k, v in sums.items():
+        length = math.sqrt(sum(x * x for x in v))
+        vectors[k] = [x / length for x in v] if length else v
+    assert all(abs(fitted[k][j] - (vectors[k][j] if k in vectors else 0)) < 1e-5 for k in range(len(fitted)) for j in range(0, quality.SIZE, 7))
+
+    def score(text):
+        both = [ids(w) for w in text.split()]
+        zero, n = [0.0] * quality.SIZE, max(len(both), 1)
+        x = [sum(vectors.get(b[side], zero)[j] for b in both) / n for side in (0, 1) for j in range(quality.SIZE)] + [math.log(1 + len(both)) / 10]
+        x = [(v - m) / s for v, m, s in zip(x, network.mean, network.spread)]
+        hidden = [math.tanh(sum(v * network.weights[0][i][h] for i, v in enumerate(x)) + network.weights[1][h]) for h in range(quality.HIDDEN)]
+        z = sum(a * w for a, w in zip(hidden, network.weights[2])) + network.weights[3][0]
+        return 1 / (1 + math.exp(-z / network.temperature))
+
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in quality.quality_scores(docs, labels).collect()}
+    for i, text in texts[::3]:
+        want = score(text)
+        assert abs(got[i][0] - want) < 1e-3 and got[i][2] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i][1] == (want >= 0.7) or abs(want - 0.7) < 1e-3
