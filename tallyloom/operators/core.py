@@ -94,13 +94,18 @@ def quarantine_reason(df: DataFrame, fields: Fields = FIELDS) -> Column:
     return F.when(empty, "ALL_COLUMNS_EMPTY").when(text.first_nonblank(*keys) == "", "BUSINESS_KEY_EMPTY").otherwise("")
 
 
+def row_names(df: DataFrame) -> list[str]:
+    """What tells rows apart: their number, and their file where several may be in one table."""
+    return [c for c in ("_source_file", "row_index") if c in df.columns]
+
+
 def anomalies(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
-    """row_index, field, value, reason of phone, e-mail and date values that do not normalise to sound ones."""
+    """row_index (behind _source_file, if df has it), field, value, reason of phone, e-mail and date values that do not normalise to sound ones."""
     checks = [("phone", fields.value(df, "phone"), lambda v: text.phone_fault(text.phone(v))), ("email", fields.value(df, "email"), lambda v: text.email_fault(text.email(v)))]
     checks += [(c, text.trimmed(F.col(f"`{c}`")), lambda v: dates.date_fault(dates.date(v))) for c in business(df) if is_date_column(c)]
     judged = lambda n, fault: lambda v: F.struct(F.lit(n).alias("field"), v.alias("value"), F.when(v != "", fault(v)).alias("reason"))
     found = F.array(*[text.bound(v, judged(n, fault)) for n, v, fault in checks])
-    return df.select("row_index", F.inline(found)).where("reason is not null")
+    return df.select(*row_names(df), F.inline(found)).where("reason is not null")
 
 
 # --- parents in mixed exports ----------------------------------------------------------------------------------------
@@ -316,11 +321,12 @@ def merged(rows: DataFrame, ledger: DataFrame, batch: str | Column, run: str, or
 
 # --- candidates ------------------------------------------------------------------------------------------------------
 
+# Kinds of keys that rows are matched by, in order.
 MATCH_TYPES = ("phone", "email", "name_company", "name_address", "entity_match", "source_record")
 
 
 def match_keys(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
-    """row_index, match_type, match_key: every key that a row can be matched by."""
+    """row_index (behind _source_file, if df has it), match_type, match_key: every key that a row can be matched by."""
     kinds = ("phone", "email", "name", "company", "store", "address")
     df = df.withColumns({f"_v_{k}": fields.value(df, k) for k in kinds})
     v = {k: F.col(f"_v_{k}") for k in kinds}
@@ -336,18 +342,23 @@ def match_keys(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
         F.when(own("_source_record_key_method") != "fallback", own("_source_record_key")),
     )
     rows = F.array(*[F.struct(F.lit(t).alias("match_type"), k.alias("match_key")) for t, k in zip(MATCH_TYPES, keys)])
-    return df.select("row_index", F.inline(rows)).where("match_key is not null and match_key <> ''")
+    return df.select(*row_names(df), F.inline(rows)).where("match_key is not null and match_key <> ''")
 
 
 def duplicate_groups(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
-    """match_type, match_key, first_row, size: keys that two rows or more share. Counted before the shuffle, so a very
-    common key costs one row a task."""
-    return match_keys(df, fields).groupBy("match_type", "match_key").agg(F.min("row_index").alias("first_row"), F.count("*").alias("size")).where("size >= 2")
+    """match_type, match_key, first_row (and first_file, if df has _source_file), size: keys that two rows or more share.
+    Counted before the shuffle, so a very common key costs one row a task."""
+    names = row_names(df)
+    first = F.min(F.struct(*names)) if len(names) > 1 else F.min("row_index")
+    groups = match_keys(df, fields).groupBy("match_type", "match_key").agg(first.alias("first_row"), F.count("*").alias("size")).where("size >= 2")
+    if len(names) == 1:
+        return groups
+    return groups.select("match_type", "match_key", F.col("first_row._source_file").alias("first_file"), F.col("first_row.row_index").alias("first_row"), "size")
 
 
 def duplicate_members(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
-    """match_type, match_key, first_row, size, row_index: the candidate groups with their rows. A group's name is its
-    match type and first row."""
+    """match_type, match_key, first_row, size, row_index: the candidate groups with their rows (and the files of both, if df
+    has _source_file). A group's name is its match type and first row."""
     return match_keys(df, fields).join(duplicate_groups(df, fields), ["match_type", "match_key"])
 
 
@@ -392,6 +403,7 @@ def breakdown(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
 
 # --- hand-off --------------------------------------------------------------------------------------------------------
 
+# Packs, and the dispositions of the rows in each.
 PACKS = {"mainline": ("inserted", "updated", "duplicate", "unchanged", "archive_only"), "review": ("review", "pending"), "quarantine": ("quarantine",)}
 
 

@@ -147,6 +147,7 @@ def merged(rows: DataFrame, ledger: DataFrame, run: str) -> tuple[DataFrame, Dat
     return done.unionByName(held), after
 
 
+# Names of the counts of a merge by disposition.
 MERGE_COUNTS = {"inserted": "inserted", "updated": "updated", "unchanged": "unchanged", "duplicate": "duplicate", "archive_only": "skipped_archive", "review": "skipped_review"}
 
 
@@ -188,6 +189,7 @@ def parent_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("_parent").alias("kind"), F.col("_parent_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
+# Stages of eligibility, kinds of parents and dispositions, as they are counted.
 STAGES = ("mainline_ready", "review", "archive_only", "quarantine")
 PARENTS = ("not_applicable", "parent_candidate", "ambiguous_parent", "child_continuation")
 DISPOSITIONS = ("mainline_ready", "review", "archive_only", "quarantine", "inserted", "updated", "unchanged", "duplicate")
@@ -292,6 +294,7 @@ def compare_runs(hints: DataFrame) -> DataFrame:
 
 # --- hand-off --------------------------------------------------------------------------------------------------------
 
+# The fields that a pack is in the order of.
 PACK_ORDER = ("_final_disposition", "_final_disposition_reason", "_parent", "_source_file", "_source_key", "_source_record_key", "_structural_fingerprint_full")
 
 

@@ -112,6 +112,19 @@ def test_remembered_decisions(spark):
     assert [decisions.eligibility(n, 10) for n in (0, 2, 3)] == ["full", "partial", "review_required"]
 
 
+def test_rows_of_several_files_share_numbers(spark):
+    one = spark.createDataFrame([(0, "0312345678"), (1, "0312345679"), (2, "12")], "row_index long, phone string")
+    both = one.withColumn("_source_file", F.lit("a")).unionByName(one.withColumn("_source_file", F.lit("b")))
+    groups = sorted((r.match_key, r.first_file, r.first_row, r.size) for r in core.duplicate_groups(both).where("match_type = 'phone'").collect())
+    assert [g for g in groups if g[0] == "0312345679"] == [("0312345679", "a", 1, 2)]
+    members = core.duplicate_members(both).where("match_type = 'phone' and match_key = '0312345679'")
+    assert sorted((r._source_file, r.row_index) for r in members.collect()) == [("a", 1), ("b", 1)]
+    assert sorted((r._source_file, r.row_index) for r in core.anomalies(both).collect()) == [("a", 2), ("b", 2)]
+    assert core.duplicate_groups(one).columns == ["match_type", "match_key", "first_row", "size"]
+    staged = audit.staging_calls(both.withColumns({"matched_customer_id": F.lit(1), "candidate_count": F.lit(1), "match_type": F.lit("exact")}), "f", {"call_date": "d"}, matched=True)
+    assert staged.count() == 6
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
