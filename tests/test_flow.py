@@ -337,3 +337,25 @@ def test_long_names_and_texts_with_the_same_ends(spark):
         df = spark.createDataFrame([(i, front + n + back) for i, n in names] + [(99, None)], "id int, t string")
         for most in (3, 10):
             assert got(audit.close_texts(df, "id", "t", F.lit(1), most)) == want(most)
+
+
+def test_calls_without_a_number_and_on_one_number_spread_out(spark):
+    """Half of the calls have no number, half of the rest one and the same: no task of the join gets twice as many as others."""
+    from pyspark.sql import functions as F
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    number = F.when(F.col("id") % 2 == 0, "").when(F.col("id") % 4 == 1, "0312345678").otherwise(F.concat(F.lit("03"), F.lpad((F.col("id") % 997).cast("string"), 8, "0")))
+    calls = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("row_index"), number.alias("raw_phone"), F.sha2(F.col("id").cast("string"), 512).alias("note"))
+    customers = spark.range(500).select(F.col("id").alias("customer_id"), F.when(F.col("id") == 0, "0312345678").otherwise(F.concat(F.lit("03"), F.lpad(F.col("id").cast("string"), 8, "0"))).alias("phone"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = audit.match_phones(calls, customers, ["phone"])
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        kinds = counted(out, "match_type")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(sizes) == 40_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert kinds["empty"] == 20_000 and kinds["exact"] >= 10_000
