@@ -319,3 +319,11 @@ def applied_template(reviews: DataFrame, template: DataFrame) -> DataFrame:
     out = reviews.join(sure, "name", "left")
     open_ = (F.col("decision") == "unknown") & F.col("_field").isNotNull()
     return out.withColumns({"field": F.when(open_ & (F.col("_field") != ""), F.col("_field")), "decision": F.when(open_, F.when(F.col("_field") == "", "unused").otherwise("accepted")).otherwise(F.col("decision"))}).drop("_field")
+
+
+def template_eligibility(template: DataFrame) -> DataFrame:
+    """schema, decisions, doubtful, eligible of each schema's template (certainty): full without doubtful decisions, partial
+    with at most a fifth of them, else review_required (decisions.eligibility, by rows)."""
+    by = template.groupBy("schema").agg(F.count("*").alias("decisions"), F.count_if(F.col("certainty") == "low").alias("doubtful"))
+    low = F.col("doubtful")
+    return by.withColumn("eligible", F.when(low == 0, "full").when(low <= 0.2 * F.col("decisions"), "partial").otherwise("review_required"))

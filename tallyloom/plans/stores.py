@@ -358,3 +358,51 @@ def added_violations(spark, sf_dir):
     path = shared_folder(spark, "filter")
     keyfilter.key_filter(old, ["k", "s"], 100_000).write.parquet(path)
     return keyfilter.added_violations(new, ["k", "s"], spark.read.parquet(path), lambda: old)
+
+
+# --- what cells, lines and templates are like ------------------------------------------------------------------------
+
+_DATA = "(?i:https?://)|^\\d{4}[./-]\\d{1,2}[./-]\\d{1,2}$|^\\d{1,2}:\\d{2}(:\\d{2})?$|^\\d{2,4}-\\d{2,4}-\\d{3,4}$|[\\x00-\\x1f]|^[0-9０-９]+$"
+
+
+@query("select row_index, " + ", ".join(f"regexp_matches({duck.trimmed(c)}, {duck.q(_DATA)}) as {c}" for c in ("phone", "contract_date", "email", "amount")) + " from contact", contact=CONTACT)
+def data_like_cells(contact):
+    """Which cells are data rather than names, as the header's detection asks."""
+    names = ["phone", "contract_date", "email", "amount"]
+
+    def judged(it):
+        for b in it:
+            yield pa.record_batch([b.column("row_index"), *[pa.array([detect.data_like(v or "") for v in b.column(c).to_pylist()], pa.bool_()) for c in names]], names=["row_index", *names])
+
+    return contact.select(F.col("row_index").cast("long").alias("row_index"), *names).mapInArrow(judged, "row_index long, " + ", ".join(f"{c} boolean" for c in names))
+
+
+@query("select o_orderkey as k, case o_orderkey % 4 when 0 then ',' when 1 then chr(9) when 2 then ';' else ',' end as delimiter from orders")
+def delimiters_found(spark, sf_dir):
+    """The delimiter of files of three lines; without one it is a comma."""
+    k = F.col("o_orderkey")
+    mark = F.when(k % 4 == 0, ",").when(k % 4 == 1, "\t").when(k % 4 == 2, ";").otherwise(" ")
+    line = F.concat(k.cast("string"), mark, F.col("o_orderpriority"), mark, F.col("o_orderstatus"))
+    files = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat_ws("\n", line, line, line).alias("head"))
+
+    def judged(it):
+        for b in it:
+            yield pa.record_batch([b.column("k"), pa.array([detect.delimiter(t) for t in b.column("head").to_pylist()], pa.string())], names=["k", "delimiter"])
+
+    return files.mapInArrow(judged, "k long, delimiter string")
+
+
+@query("select cast(c_nationkey as varchar) as schema, count(*) as decisions, count(*) filter (c_custkey % 7 < c_nationkey % 4) as doubtful, case when count(*) filter (c_custkey % 7 < c_nationkey % 4) = 0 then 'full' when count(*) filter (c_custkey % 7 < c_nationkey % 4) <= 0.2 * count(*) then 'partial' else 'review_required' end as eligible from customer group by 1")
+def template_eligibility(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return suggest.template_eligibility(c.select(F.col("c_nationkey").cast("string").alias("schema"), F.when(F.col("c_custkey") % 7 < F.col("c_nationkey") % 4, "low").otherwise("high").alias("certainty")))
+
+
+_ACTIVITIES = "select event_id as row_index, cast(event_id as string) as call_id, case when user_id % 3 = 0 then '' else '2024-01-01' end as activity_date, case when event_id % 4 = 0 then 'op' else ' ' end as operator, case when event_id % 5 = 0 then 'done' else '' end as result_code from {events}"
+
+
+@query("select row_index, case when activity_date = '' or (trim(operator) = '' and result_code = '') then 'activity_timestamp_insufficient' else '' end as reason from activities", activities=_ACTIVITIES)
+def activity_timestamps(activities):
+    """Calls need a date, and an operator or a result."""
+    strategy = core.Strategy(family="call_activity", native="call_id")
+    return core.identify(activities, strategy).select("row_index", F.col("_review_reason").alias("reason"))
