@@ -395,10 +395,12 @@ def classify(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def breakdown(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
-    """Counts of each value, with 0 for those that don't occur."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    every = df.sparkSession.createDataFrame([(v,) for v in values], "value string")
-    return every.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts of each value, with 0 for those that don't occur. Not a join, whose test for nulls would work out the column
+    once more, in the few tasks that read the rows."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("_asked", F.lit(False))
+    every = df.sparkSession.createDataFrame([(v, 0, True) for v in values], "value string, n long, _asked boolean")
+    both = counts.unionByName(every).groupBy("value").agg(F.sum("n").alias("n"), F.max("_asked").alias("_asked"))
+    return both.where("_asked").drop("_asked")
 
 
 # --- hand-off --------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import audit, core, decisions
+from tallyloom.plans.views import CONTACT, view
 from tallyloom.sources import delimited, detect, spreadsheet
 from tallyloom.streaming.ledger import Ledger, merge_stream, query_id
 
@@ -311,3 +312,16 @@ def test_a_ledger_goes_back(spark, tmp_path):
     assert [r.fp for r in ledger.read().collect()] == ["1"] and ledger.current() == {"version": 3, "merges": 3}
     ledger.merge(spark.createDataFrame([(0, "a", "3")], schema), "b3", "r3")
     assert [r.fp for r in ledger.read().collect()] == ["3"]
+
+
+def test_dense_rows_are_spread_before_they_are_normalised(spark):
+    n = core.normalize(view(spark, "/root/testdata/sf0.001", CONTACT))
+    plan = n._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Project") < plan.index("RepartitionByExpression [c_custkey") < plan.index("parquet")
+
+
+def test_breakdown_works_out_its_column_once(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "kind string")
+    counts = core.breakdown(df.withColumn("kind", F.lower("kind")), "kind", ("a", "b"))
+    assert sorted(map(tuple, counts.collect())) == [("a", 2), ("b", 0)]
+    assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
