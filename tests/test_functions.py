@@ -44,3 +44,10 @@ def test_excel_numbers(spark):
 def test_dice_counts_repeated_pairs(spark):
     df = spark.createDataFrame([("aaaa", "aa"), ("night", "nacht"), ("a", "b"), ("x", "x")], "a string, b string")
     assert [round(r[0], 4) for r in df.select(similarity.dice(F.col("a"), F.col("b"))).collect()] == [0.5, 0.25, 0.0, 1.0]
+
+
+def test_a_stem_is_worked_out_once_where_names_are_compared(spark):
+    c = similarity.filename_stem(F.col("name"))
+    df = spark.createDataFrame([("20240131_shop-福岡.csv",), ("",), (None,), ("copy",)], "name string").select(F.round(similarity.dice(c, F.lit("shops")), 4).alias("d"), c.alias("s"))
+    assert [tuple(r) for r in df.collect()] == [(0.8571, "shop"), (0.0, ""), (0.0, None), (0.2857, "copy")]
+    assert df.select("d")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
