@@ -368,3 +368,16 @@ def test_close_names_send_nothing_through_the_driver(spark):
         joins = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
         assert all(re.fullmatch(r"block#\d+", j) for j in joins)  # what a block's texts share, a row a block
     assert audit.close_names(names, "id", "name", F.col("block")).count() == 200 * 45
+
+
+def test_files_that_are_alike_are_compared_once(spark):
+    shape = ["'list' as stem", "array('a', 'b') as columns", "'s' as schema", "'utf8' as encoding", "true as has_header"]
+    other = [x.replace("'a'", "'z'").replace("'s'", "'t'") for x in shape]
+    files = spark.range(50).selectExpr("id as file_id", *shape).unionByName(spark.range(99, 100).selectExpr("id as file_id", *other))
+    templates = spark.range(5).selectExpr("id as template_id", "array('list') as stems", "array('a', 'b') as columns", "if(id = 2, 's', 'o') as schema", "'utf8' as encoding", "true as has_header")
+    found = suggest.template_matches(files, templates, k=2)
+    got = rows(found.select("file_id", "template_id", "place", "score"))
+    assert [r for r in got if r[0] != 99] == sorted([(i, t, p, s) for i in range(50) for t, p, s in ((2, 1, 1.0), (0, 2, 0.5))], key=repr)
+    assert [r[:3] for r in got if r[0] == 99] == [(99, 0, 1), (99, 1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Generate", 1)[1]
