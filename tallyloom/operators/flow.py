@@ -298,13 +298,17 @@ def compare_runs(hints: DataFrame) -> DataFrame:
 PACK_ORDER = ("_final_disposition", "_final_disposition_reason", "_parent", "_source_file", "_source_key", "_source_record_key", "_structural_fingerprint_full")
 
 
-def pack_rows(rows: DataFrame) -> DataFrame:
-    """rows with pack and place: their number in a pack, in the order of seven fields and then of the whole row.
+def pack_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """rows (of them the columns to keep, if given) with pack and place: their number in a pack, in the order of seven fields
+    and then of the whole row.
 
-    Text is ordered by code point. Places are taken in ranges of that order (audit.numbered), so no task holds a pack.
+    Text is ordered by code point. Places are taken in ranges of that order (audit.numbered), so no task holds a pack. What
+    is the same in the seven fields need not be compared again, so the rest of a row tells equals apart.
     """
-    tie = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]))
-    packed = settled(core.hand_off(rows, "_final_disposition").withColumn("_tie", tie))  # ranges are sampled first, so it would be computed twice
+    rest = [c for c in sorted(rows.columns) if c not in PACK_ORDER]
+    packed = core.hand_off(rows, "_final_disposition").withColumn("_tie", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])))
+    if keep is not None:
+        packed = packed.select("pack", *PACK_ORDER, "_tie", *[F.col(f"`{c}`") for c in keep if c not in PACK_ORDER])
     n = numbered(packed, ["pack", *PACK_ORDER, "_tie"], "_n").drop("_tie")
     first = n.groupBy("pack").agg(F.min("_n").alias("_first"))  # three rows at most
     return n.join(F.broadcast(first), "pack").withColumn("place", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
@@ -315,7 +319,7 @@ def write_packs(rows: DataFrame, path: str) -> dict[str, int]:
     Raises if they are not all rows. A pack without rows has no folder."""
     packed = pack_rows(rows)
     seen = Observation("packs")
-    ordered = packed.repartitionByRange("pack", "place").sortWithinPartitions("pack", "place")
+    ordered = packed.sortWithinPartitions("pack", "place")  # in ranges of this order already (audit.numbered)
     counted = ordered.observe(seen, *[F.count_if(F.col("pack") == n).alias(n) for n in core.PACKS], F.count("*").alias("_all"))
     counted.write.mode("overwrite").partitionBy("pack").options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
     counts = dict(seen.get)

@@ -381,3 +381,16 @@ def test_files_that_are_alike_are_compared_once(spark):
     assert [r[:3] for r in got if r[0] == 99] == [(99, 0, 1), (99, 1, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Generate", 1)[1]
+
+
+def test_packs_are_written_in_the_ranges_they_are_numbered_in(spark, tmp_path):
+    done = spark.range(200).selectExpr("id as row_index", "if(id % 3 = 0, 'review', 'inserted') as _final_disposition", "'x' as _final_disposition_reason", "'p' as _parent", "'f' as _source_file", "'k' as _source_key", "cast(id % 7 as string) as _source_record_key", "'s' as _structural_fingerprint_full")
+    thin = flow.pack_rows(done, ["row_index"])
+    assert thin.columns == ["pack", *flow.PACK_ORDER, "row_index", "place"] and counted(thin, "pack") == {"mainline": 133, "review": 67}
+    assert rows(thin.select("row_index", "pack", "place")) == rows(flow.pack_rows(done).select("row_index", "pack", "place"))
+    flow.write_packs(done, str(tmp_path / "packs"))
+    for pack, n in (("mainline", 133), ("review", 67)):
+        files = sorted((tmp_path / "packs" / f"pack={pack}").glob("part-*.csv"))
+        cells = [line.split(",") for f in files for line in f.read_text().splitlines()]
+        at = cells[0].index("place")
+        assert [int(c[at]) for c in cells if c[at] != "place"] == list(range(1, n + 1))
