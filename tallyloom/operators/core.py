@@ -65,25 +65,26 @@ def union_files(*frames: DataFrame) -> DataFrame:
 
 
 def normalize(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
-    """Each business column normalised by what it holds, in one projection.
+    """Each business column normalised by what it holds.
 
-    A column's steps are bound to its value, so the code of the projection grows by columns and not by steps, and columns
+    Each step is a projection, and names the columns of the one before: as text, as normal text, as what the column holds.
+    So every step is worked out once a value, by generated code, the code grows by columns and not by steps, and columns
     that nobody asks for are still pruned.
     """
-    by_kind = (("phone", text.phone), ("email", text.email), ("company", text.company_of_normal), ("address", text.address_of_normal))
+    by_kind = (("phone", text.phone_of_normal), ("email", text.email_of_normal), ("company", text.company_of_normal), ("address", text.address_of_normal))
 
-    def steps(c: str):
-        kinds = [function for kind, function in by_kind if c in fields.of(df, kind)]
+    def held(c: str) -> Column | None:
+        steps = [function for kind, function in by_kind if c in fields.of(df, kind)] + [dates.date] * is_date_column(c)
+        v = F.col(f"`{c}`")
+        for i, step in enumerate(steps):
+            v = text.bound(v, step) if i else step(v)
+        return v if steps else None
 
-        def apply(v: Column) -> Column:
-            v = text.normal_text(v)
-            for function in kinds:
-                v = function(v)
-            return dates.date(v) if is_date_column(c) else v
-
-        return apply
-
-    return df.withColumns({c: text.bound(F.col(f"`{c}`").cast("string"), steps(c)) for c in business(df)})
+    columns = business(df)
+    as_text = {c: f"_text_{i}" for i, c in enumerate(columns)}
+    out = df.withColumns({t: text.text(F.col(f"`{c}`")) for c, t in as_text.items()})
+    out = out.withColumns({c: text.normal_of_text(F.col(t)) for c, t in as_text.items()}).drop(*as_text.values())
+    return out.withColumns({c: v for c in columns if (v := held(c)) is not None})
 
 
 def quarantine_reason(df: DataFrame, fields: Fields = FIELDS) -> Column:

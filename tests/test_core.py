@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.operators import audit, core, decisions
+from tallyloom.operators.settle import spread
 from tallyloom.plans.views import CONTACT, view
 from tallyloom.sources import delimited, detect, spreadsheet
 from tallyloom.streaming.ledger import Ledger, merge_stream, query_id
@@ -325,3 +327,21 @@ def test_breakdown_works_out_its_column_once(spark):
     counts = core.breakdown(df.withColumn("kind", F.lower("kind")), "kind", ("a", "b"))
     assert sorted(map(tuple, counts.collect())) == [("a", 2), ("b", 0)]
     assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_bytes_of_dense_rows_are_many_parts(spark):
+    """90,000 short rows are about a megabyte, of which adaptive execution would make one task."""
+    rows = spread(spark.range(0, 90_000, 1, 1).withColumnRenamed("id", "c_custkey"), "c_custkey")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert rows.groupBy(F.spark_partition_id().alias("p")).count().count() == int(before)
+
+
+def test_texts_that_are_normal_are_told_by_one_look(spark):
+    """What normal_text passes by comes out as by all of its steps, and company names without a short form as they were."""
+    edges = ["", " ", "a", "a b", "a  b", " a", "a\u3000", "Ａ", "ｱ", "ｶﾞ", "ﾞ", "a\tb", "a\x7fb", "a\x00", "㈱a", "a(株)b", "a（有）", "(同)(資)x", "株式会社　x", "\ufffd", "é e", "\U00020BB7 野", "～", "､x", "\u00a0x", "\ufeff", "東京都 1丁目"]
+    df = spark.createDataFrame([(e,) for e in edges] + [(None,)], "t string").repartition(2)
+    steps = lambda c: text.tidy(text.wide_kana(F.translate(text.text(c), text.FULL_ASCII, text.HALF_ASCII)))
+    got = df.select("t", text.normal_text(F.col("t")).alias("a"), steps(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.t: r.a for r in got}["ｶﾞ"] == "ガ"
+    names = {r.t: r.c for r in df.select("t", text.company_name(F.col("t")).alias("c")).collect()}
+    assert [names[t] for t in ("㈱a", "a(株)b", "a（有）", "(同)(資)x", "a")] == ["株式会社a", "a(株)b", "a有限会社", "合同会社(資)x", "a"]
