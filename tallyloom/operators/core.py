@@ -349,7 +349,11 @@ def match_keys(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
 def duplicate_groups(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
     """match_type, match_key, first_row (and first_file, if df has _source_file), size: keys that two rows or more share.
     Counted before the shuffle, so a very common key costs one row a task."""
-    names = row_names(df)
+    return groups_of(match_keys(df, fields), row_names(df))
+
+
+def groups_of(keys: DataFrame, names: list[str]) -> DataFrame:
+    """duplicate_groups of rows of match_keys that are told apart by these names."""
     first = F.min(F.struct(*names)) if len(names) > 1 else F.min("row_index")
     groups = match_keys(df, fields).groupBy("match_type", "match_key").agg(first.alias("first_row"), F.count("*").alias("size")).where("size >= 2")
     if len(names) == 1:
@@ -359,8 +363,11 @@ def duplicate_groups(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
 
 def duplicate_members(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
     """match_type, match_key, first_row, size, row_index: the candidate groups with their rows (and the files of both, if df
-    has _source_file). A group's name is its match type and first row."""
-    return match_keys(df, fields).join(duplicate_groups(df, fields), ["match_type", "match_key"])
+    has _source_file). A group's name is its match type and first row.
+
+    Rows are shuffled by key once, and both counted and matched there, so their keys are worked out once."""
+    keys = match_keys(df, fields).repartition("match_type", "match_key")
+    return keys.join(groups_of(keys, row_names(df)), ["match_type", "match_key"])
 
 
 @dataclass(frozen=True)

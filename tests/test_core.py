@@ -345,3 +345,10 @@ def test_texts_that_are_normal_are_told_by_one_look(spark):
     assert all(r.a == r.b for r in got) and {r.t: r.a for r in got}["ｶﾞ"] == "ガ"
     names = {r.t: r.c for r in df.select("t", text.company_name(F.col("t")).alias("c")).collect()}
     assert [names[t] for t in ("㈱a", "a(株)b", "a（有）", "(同)(資)x", "a")] == ["株式会社a", "a(株)b", "a有限会社", "合同会社(資)x", "a"]
+
+
+def test_keys_of_candidates_are_shuffled_once(spark):
+    df = spark.createDataFrame([(i, f"03{i % 3:08d}", "") for i in range(9)], "row_index int, phone string, email string")
+    found = core.duplicate_members(df)
+    assert sorted((r.first_row, r.size) for r in found.collect()) == [(i, 3) for i in range(3) for _ in range(3)]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
