@@ -169,7 +169,8 @@ def infer_types(df: DataFrame, columns: list[str], threshold: float = 0.6) -> Da
     value = F.col("value")
     kind = reduce(lambda w, t: w.when(value.rlike(t[1]), t[0]), TYPES[1:], F.when(value.rlike(TYPES[0][1]), TYPES[0][0])).otherwise("text")
     cells = F.array(*[F.struct(F.lit(c).alias("field"), text.trimmed(F.col(c)).alias("value")) for c in columns])
-    seen = df.select(F.inline(cells)).where("value <> ''").groupBy("field").agg(F.count("*").alias("n"), *[F.count_if(kind == t).alias(t) for t, _ in TYPES])
+    kinds = df.select(F.inline(cells)).where("value <> ''").select("field", kind.alias("kind"))  # worked out once, not once a type
+    seen = kinds.groupBy("field").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == t).alias(t) for t, _ in TYPES])
     fits = reduce(lambda w, t: w.when(F.col(t) / F.col("n") > threshold, t), [t for t in ("phone", "email", "number", "boolean")], F.when(F.col("date") / F.col("n") > threshold, "date")).otherwise("text")
     fields = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
     return fields.join(seen, "field", "left").select("field", F.when(F.col("n").isNull(), "empty").otherwise(fits).alias("type"))

@@ -352,3 +352,10 @@ def test_keys_of_candidates_are_shuffled_once(spark):
     found = core.duplicate_members(df)
     assert sorted((r.first_row, r.size) for r in found.collect()) == [(i, 3) for i in range(3) for _ in range(3)]
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_values_type_is_worked_out_once(spark):
+    df = spark.createDataFrame([(0, "1"), (1, "x@y"), (2, "a@b")], "row_index int, v string")
+    types = audit.infer_types(df, ["v"])
+    assert [tuple(r) for r in types.collect()] == [("v", "email")]
+    assert types._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= len(audit.TYPES)
