@@ -355,7 +355,7 @@ def duplicate_groups(df: DataFrame, fields: Fields = FIELDS) -> DataFrame:
 def groups_of(keys: DataFrame, names: list[str]) -> DataFrame:
     """duplicate_groups of rows of match_keys that are told apart by these names."""
     first = F.min(F.struct(*names)) if len(names) > 1 else F.min("row_index")
-    groups = match_keys(df, fields).groupBy("match_type", "match_key").agg(first.alias("first_row"), F.count("*").alias("size")).where("size >= 2")
+    groups = keys.groupBy("match_type", "match_key").agg(first.alias("first_row"), F.count("*").alias("size")).where("size >= 2")
     if len(names) == 1:
         return groups
     return groups.select("match_type", "match_key", F.col("first_row._source_file").alias("first_file"), F.col("first_row.row_index").alias("first_row"), "size")
