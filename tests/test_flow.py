@@ -340,6 +340,24 @@ def test_long_names_and_texts_with_the_same_ends(spark):
             assert got(audit.close_texts(df, "id", "t", F.lit(1), most)) == want(most)
 
 
+def test_texts_that_differ_in_digits_are_all_pairs_in_cells(spark, monkeypatch):
+    """Forms of many texts, also of forms that are close, and texts with more digits than edits; cells of few."""
+    import random
+
+    r = random.Random(5)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = {f(i) for i in range(40) for f in (lambda i: f"a note Customer#{i:04d} more", lambda i: f"a note Customers#{digits(3)} more", lambda i: f"quite another thing {i}", lambda i: digits(5), lambda i: f"no {digits(9)}", lambda i: "same 12" + digits(3))}
+    rows = list(enumerate(sorted(texts) + sorted(texts)[:5])) + [(9_999, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.id < b.id and a.t <> b.t"))
+    first = {t: i for i, t in reversed(rows)}
+    for most, cell in ((3, 7), (6, 7), (10, 2_000)):
+        monkeypatch.setattr(audit, "CELL", cell)
+        found = pairs.withColumn("d", F.expr("levenshtein(a.t, b.t)")).where(F.col("d") <= most).selectExpr("a.t as x", "b.t as y", "d").collect()
+        want = sorted({(min(first[p.x], first[p.y]), max(first[p.x], first[p.y]), p.d) for p in found})
+        assert sorted(map(tuple, audit.close_texts(df, "id", "t", F.lit(1), most).collect())) == want
+
+
 def test_calls_without_a_number_and_on_one_number_spread_out(spark):
     """Half of the calls have no number, half of the rest one and the same: no task of the join gets twice as many as others."""
     from pyspark.sql import functions as F
