@@ -359,3 +359,12 @@ def test_a_values_type_is_worked_out_once(spark):
     types = audit.infer_types(df, ["v"])
     assert [tuple(r) for r in types.collect()] == [("v", "email")]
     assert types._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= len(audit.TYPES)
+
+
+def test_a_report_counts_values_once(spark):
+    """From counts that are kept, profile and most frequent values are the same as from the rows."""
+    df = spark.createDataFrame([(i, "abc"[i % 3], "" if i % 2 else " x ") for i in range(10)], "row_index int, v string, w string")
+    counts = audit.value_counts(df, ["v", "w"]).localCheckpoint()
+    for f in (audit.column_profile, audit.top_values):
+        kept = f(df, ["v", "w"], counts=counts)
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, f(df, ["v", "w"]).collect()))
