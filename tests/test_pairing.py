@@ -62,3 +62,18 @@ def test_keys_that_repeat_or_are_null(spark):
     rows = [("", 1, "1234"), ("", 1, "1235"), ("", 2, "12345"), ("", 2, "1236"), ("", None, "1237"), ("", 3, "123")]
     df = spark.createDataFrame(rows, "b string, id int, t string")
     assert got(audit.close_names(df, "id", "t")) == every(rows, 2)
+
+
+def test_texts_of_a_form_are_those_of_all_pairs(spark, monkeypatch):
+    """Short and long forms, with letters between digits, in cells of few; ids that repeat in other forms and blocks."""
+    r = random.Random(9)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    shapes = (lambda: digits(5), lambda: f"{digits(2)}ab{digits(3)}山a{digits(1)}", lambda: digits(1) + "long " * 13 + digits(4), lambda: "no", lambda: f"12{digits(11)}")
+    texts = {(b, f()) for b in "xy" for f in shapes for _ in range(25)}
+    rows = [(b, i % 90 + 1 if i % 17 else None, t) for i, (b, t) in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "b string, id long, t string")
+    for most, cell, chunk, block in ((10, 4_000, 1 << 16, 64), (10, 6, 40, 4), (4, 12, 40, 3)):
+        monkeypatch.setattr(audit, "CELL", cell)
+        monkeypatch.setattr(pairing, "CHUNK", chunk)
+        monkeypatch.setattr(pairing, "BLOCK", block)
+        assert got(audit.close_texts(df, "id", "t", F.col("b"), most)) == every(rows, most)
