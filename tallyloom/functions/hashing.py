@@ -58,3 +58,13 @@ def short_hash(*parts: str) -> str:
 def cross_source_key(date: Column, staff: Column, content: Column) -> Column:
     """date|staff|first 80 characters, with blanks for what is missing."""
     return F.concat_ws("|", text(date), text(staff), F.left(text(content), F.lit(80)))
+
+
+def packed(c: Column) -> Column:
+    """A fingerprint as its bytes, half as many as its letters; any other text behind more bytes than one has."""
+    return F.when(c.rlike(r"^[0-9a-f]{64}\z"), F.unhex(c)).when(c == "", F.lit(b"")).otherwise(F.concat(F.lit(b"\0" * 33), F.encode(c, "utf-8")))
+
+
+def unpacked(c: Column) -> Column:
+    """What packed was made of."""
+    return F.when(F.length(c) == 32, F.lower(F.hex(c))).otherwise(F.decode(F.substring(c, 34, (1 << 31) - 1), "utf-8"))

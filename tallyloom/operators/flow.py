@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.functions.hashing import pairs, raw_cell, sha, structural_fingerprint
+from tallyloom.functions.hashing import packed, pairs, raw_cell, sha, structural_fingerprint, unpacked
 from tallyloom.operators import core
 from tallyloom.operators.audit import numbered
 from tallyloom.operators.settle import settled
@@ -69,12 +69,24 @@ def normalize_file(df: DataFrame, source: Source, run: str, fields: core.Fields
 def normalize_files(frames: list[tuple[DataFrame, Source]], run: str, fields: core.Fields = core.FIELDS) -> DataFrame:
     """All files' rows in one table, deterministic keys that collide among the kept ones sent to review. The normalised rows
     are kept (settled), since collisions are looked for among them all before any row is judged."""
-    rows = settled(core.union_files(*[normalize_file(df, source, run, fields) for df, source in frames]))
+    rows = _unpacked(settled(_packed(core.union_files(*[normalize_file(df, source, run, fields) for df, source in frames]))))
     good = core.demote_collisions(rows.where("_quarantine_reason = ''"))
     rows = good.unionByName(rows.where("_quarantine_reason <> ''"))
     return rows.withColumns({"_final_disposition": before_merge(), "_final_disposition_reason": before_merge_reason()})
 
 
+# Columns of fingerprints, most of a row's bytes, which are kept and shuffled as bytes.
+FINGERPRINTS = ("_source_record_key", "_entity_match_key", "_structural_fingerprint", "_structural_fingerprint_full", "_ledger_key")
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: packed(F.col(c)) for c, t in df.dtypes if c in FINGERPRINTS and t == "string"})
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: unpacked(F.col(c)) for c, t in df.dtypes if c in FINGERPRINTS and t == "binary"})
+
+
 def before_merge() -> Column:
     return F.when(F.col("_quarantine_reason") != "", "quarantine").otherwise(F.col("_merge_eligibility"))
 
@@ -303,25 +315,30 @@ def pack_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     and then of the whole row.
 
     Text is ordered by code point. Places are taken in ranges of that order (audit.numbered), so no task holds a pack. What
-    is the same in the seven fields need not be compared again, so the rest of a row tells equals apart.
+    is the same in the seven fields need not be compared again, so the rest of a row, column by column as text, tells equals
+    apart. Fingerprints are shuffled, kept and compared as bytes, whose order is that of their letters (behind any other text),
+    and columns are compared as they stand, not as another text beside.
     """
     rest = [c for c in sorted(rows.columns) if c not in PACK_ORDER]
-    packed = core.hand_off(rows, "_final_disposition").withColumn("_tie", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])))
+    held = core.hand_off(rows, "_final_disposition")
     if keep is not None:
-        packed = packed.select("pack", *PACK_ORDER, "_tie", *[F.col(f"`{c}`") for c in keep if c not in PACK_ORDER])
-    n = numbered(packed, ["pack", *PACK_ORDER, "_tie"], "_n").drop("_tie")
+        tie = F.array(*[F.col(f"`{c}`").cast("string") for c in rest])
+        held = held.select("pack", *PACK_ORDER, tie.alias("_tie"), *[F.col(f"`{c}`") for c in keep if c not in PACK_ORDER])
+    small = _packed(held)
+    as_text = lambda c: F.col(f"`{c}`") if c in FINGERPRINTS else F.col(f"`{c}`").cast("string")
+    n = numbered(small, ["pack", *PACK_ORDER, *(["_tie"] if keep is not None else map(as_text, rest))], "_n").drop("_tie")
     first = n.groupBy("pack").agg(F.min("_n").alias("_first"))  # three rows at most
-    return n.join(F.broadcast(first), "pack").withColumn("place", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
+    return _unpacked(n.join(F.broadcast(first), "pack").withColumn("place", F.col("_n") - F.col("_first") + 1).drop("_n", "_first"))
 
 
-def write_packs(rows: DataFrame, path: str) -> dict[str, int]:
+def write_packs(rows: DataFrame, path: str, compression: str = "none") -> dict[str, int]:
     """Write each pack's rows, in order, as CSV under path/pack=..., and give their numbers, counted as they are written.
-    Raises if they are not all rows. A pack without rows has no folder."""
+    Raises if they are not all rows. A pack without rows has no folder. compression: gzip makes files a third as large."""
     packed = pack_rows(rows)
     seen = Observation("packs")
     ordered = packed.sortWithinPartitions("pack", "place")  # in ranges of this order already (audit.numbered)
     counted = ordered.observe(seen, *[F.count_if(F.col("pack") == n).alias(n) for n in core.PACKS], F.count("*").alias("_all"))
-    counted.write.mode("overwrite").partitionBy("pack").options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
+    counted.write.mode("overwrite").partitionBy("pack").options(header=True, escape='"', emptyValue="", nullValue="", compression=compression).csv(path)
     counts = dict(seen.get)
     if sum(counts[n] for n in core.PACKS) != counts.pop("_all"):
         raise ValueError(f"hand-off count mismatch: {counts}")

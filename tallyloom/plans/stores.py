@@ -178,7 +178,7 @@ def sheet_failures(spark, sf_dir):
 @query(_ROWS + ", packed as (select *, case when disposition in ('review', 'pending') then 'review' when disposition = 'quarantine' then 'quarantine' else 'mainline' end as pack from final) select pack, cast(row_index as varchar) as row_index, cast(row_number() over (partition by pack order by disposition, disposition_reason, parent, file, source_key, record_key, full_fp, cast(row_index as varchar)) as varchar) as place, disposition from packed", flow=FLOW)
 def packs_read_back(f):
     path = shared_folder(f.sparkSession, "packs")
-    counts = flow.write_packs(run(f)[0], path)
+    counts = flow.write_packs(run(f)[0], path, "gzip")
     back = f.sparkSession.read.option("header", True).option("escape", '"').csv(path)
     total = sum(counts.values())
     return back.select("pack", "row_index", "place", F.col("_final_disposition").alias("disposition"), F.lit(total).alias("_n")).where("_n > 0").drop("_n")
