@@ -333,7 +333,7 @@ def pack_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def write_packs(rows: DataFrame, path: str, compression: str = "none") -> dict[str, int]:
     """Write each pack's rows, in order, as CSV under path/pack=..., and give their numbers, counted as they are written.
-    Raises if they are not all rows. A pack without rows has no folder. compression: gzip makes files a third as large."""
+    Raises if they are not all rows. A pack without rows has no folder. compression: none or gzip."""
     packed = pack_rows(rows)
     seen = Observation("packs")
     ordered = packed.sortWithinPartitions("pack", "place")  # in ranges of this order already (audit.numbered)
